@@ -6,7 +6,9 @@ import importlib
 
 #: Query name -> module of this package that defines it.
 WHERE = {
+    "op6_near_dups": "near_dups",
     "op8_packing": "packing",
+    "op9_token_store": "token_store",
 }
 
 
