@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.arrows import slices
 from weftline.llm.common import new_path, staged, table
 from weftline.llm.tokens import encoder
 
@@ -92,10 +93,8 @@ def _chunked(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         enc = encoder(tokenizer)
         narrow = enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         kind = "<u2" if narrow else "<u4"
-        for batch in batches:
+        for batch in slices(batches, 1):
             n = batch.num_rows
-            if not n:
-                continue
             ids, offsets = enc.encode(batch.column(1))
             ids = np.insert(ids, offsets[1:], end_id)
             offsets = offsets + np.arange(n + 1)
