@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.arrows import slices
 from weftline.llm.common import staged, table
 from weftline.llm.tokens import encoder
 
@@ -26,7 +27,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, 1, 12_000_000):
             ids, offsets = enc.encode(batch.column(1))
             data, step = ids.tobytes(), 4 * capacity
             rows = []
@@ -92,6 +93,7 @@ def ranked(pieces: DataFrame) -> DataFrame:
     a table of at most one row per task and length carries the counts on. No length meets in one task.
     """
     order = ["length", "doc_id", "start", "ids_crc32"]
+    pieces = staged(pieces, "cut")  # a range exchange reads its input twice
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
