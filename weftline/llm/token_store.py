@@ -93,7 +93,7 @@ def _chunked(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         enc = encoder(tokenizer)
         narrow = enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         kind = "<u2" if narrow else "<u4"
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 8_000_000):
             n = batch.num_rows
             ids, offsets = enc.encode(batch.column(1))
             ids = np.insert(ids, offsets[1:], end_id)

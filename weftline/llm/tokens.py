@@ -27,7 +27,7 @@ class Encoder:
     younger one. That bounds a task's memory at any size of the corpus.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
