@@ -6,6 +6,8 @@ import importlib
 
 #: Query name -> module of this package that defines it.
 WHERE = {
+    "op2_language": "language",
+    "op3_quality": "quality",
     "op6_near_dups": "near_dups",
     "op8_packing": "packing",
     "op9_token_store": "token_store",
