@@ -21,10 +21,10 @@ from weftline.llm.common import crc_mod, table
 
 #: Bytes a filter sees (WIDTH) and moves on by (STRIDE), and the bytes of half a chunk; chunks overlap by half.
 WIDTH, STRIDE, HALF = 8, 4, 256
-EMBED, FILTERS, HIDDEN = 8, 32, 16
+EMBED, FILTERS, HIDDEN = 8, 32, 24
 #: At most about this many labelled documents are learned from, of each at most LEARN_HALVES half chunks in a row.
-SAMPLE, LEARN_HALVES = 2_000, 48
-EPOCHS, BATCH, RATE, SEED = 14, 32, 0.006, 5
+SAMPLE, LEARN_HALVES = 6_000, 32
+EPOCHS, BATCH, RATE, SEED = 12, 32, 0.006, 5
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -6,11 +6,16 @@ import importlib
 
 #: Query name -> module of this package that defines it.
 WHERE = {
+    "op1_licenses": "licenses",
     "op2_language": "language",
     "op3_quality": "quality",
+    "op4_mixing": "mixing",
+    "op5_rules": "quality_rules",
     "op6_near_dups": "near_dups",
+    "op7_secrets": "secret_scan",
     "op8_packing": "packing",
     "op9_token_store": "token_store",
+    "op10_topk": "metric_tree",
 }
 
 
