@@ -22,7 +22,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = 4_000_000)
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(start, stop - start)
+            # copied, as ascii_lower and its like read past the offset of a sliced array of large strings
+            whole = stop - start == batch.num_rows
+            yield batch if whole else batch.take(pa.array(np.arange(start, stop)))
             start = stop
 
 
