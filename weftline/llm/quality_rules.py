@@ -77,10 +77,11 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def cascade_order(rows: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE) -> list[str]:
-    """The rules' names by rejections per second on about ``sample`` rows of ``rows``, the sampled rows written first."""
-    n = rows.count()
-    drawn = staged(rows.sample(fraction=min(1.0, sample / n), seed=7) if n else rows, "rule-sample")
+def cascade_order(docs: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE) -> list[str]:
+    """The rules' names by rejections per second on about ``sample`` rows of ``docs``, which are measured and written first."""
+    n = docs.count()
+    drawn = docs.sample(fraction=min(1.0, sample / n), seed=7) if n else docs
+    drawn = staged(measured(staged(drawn, "rule-sample")), "rule-sample")
 
     def timed(passes: str) -> tuple[float, int]:
         best, rejected = float("inf"), 0
@@ -101,7 +102,7 @@ def judge(docs: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE,
     A row that fails the base or any rule is not kept; null and empty texts fail the base. Rules that a row's values make
     null count as failed.
     """
-    order = order or cascade_order(measured(docs.select("text")), rules, sample)
+    order = order or cascade_order(docs.select("text"), rules, sample)
     first = F.when(F.col("base_failed"), F.lit("base"))
     for name in order:
         first = first.when(~F.coalesce(F.expr(rules[name]), F.lit(False)), F.lit(name))
