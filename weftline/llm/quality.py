@@ -55,16 +55,20 @@ class Network:
     def weights(self) -> list[np.ndarray]:
         return [self.embed, self.conv, self.bias, self.hidden, self.hidden_bias, self.out, self.out_bias]
 
-    def windows(self, data: np.ndarray) -> np.ndarray:
-        """Filter values (windows x FILTERS) before the activation; the last window sees zeros beyond the end."""
+    def windows(self, data: np.ndarray, halves: np.ndarray) -> np.ndarray:
+        """Filter values (windows x FILTERS) before the activation; a text's last window sees zero bytes beyond its end."""
         steps = self.embed[data].reshape(-1, STRIDE * EMBED)
         values = steps @ self.conv[: STRIDE * EMBED]
-        values[:-1] += steps[1:] @ self.conv[STRIDE * EMBED :]
+        after = steps @ self.conv[STRIDE * EMBED :]
+        ends = last_windows(halves)
+        values[:-1] += after[1:]
+        values[ends[:-1]] -= after[ends[:-1] + 1]
+        values[ends] += np.tile(self.embed[0], STRIDE) @ self.conv[STRIDE * EMBED :]
         return values + self.bias
 
     def chunks(self, data: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pooled filters of each chunk, the number of chunks of each text, and the windows that won."""
-        values = self.windows(data).reshape(-1, HALF // STRIDE, FILTERS)
+        values = self.windows(data, halves).reshape(-1, HALF // STRIDE, FILTERS)
         won = values.argmax(axis=1)
         best = np.take_along_axis(values, won[:, None, :], axis=1)[:, 0, :]
         won += np.arange(len(best))[:, None] * (HALF // STRIDE)
@@ -76,7 +80,7 @@ class Network:
         if not texts:
             return np.zeros(0)
         data, halves = padded(texts)
-        values = self.windows(data).reshape(-1, HALF // STRIDE, FILTERS).max(axis=1)
+        values = self.windows(data, halves).reshape(-1, HALF // STRIDE, FILTERS).max(axis=1)
         first, second, count = chunk_halves(halves)
         units = np.maximum(np.maximum(np.maximum(values[first], values[second]), 0) @ self.hidden + self.hidden_bias, 0)
         pooled = np.maximum.reduceat(units, np.cumsum(count) - count)
@@ -101,6 +105,7 @@ class Network:
         rows, cols = np.nonzero(d_feats)
         g, at = d_feats[rows, cols], won[rows, cols]
         seen = np.append(data, np.zeros(STRIDE, np.uint8))[at[:, None] * STRIDE + np.arange(WIDTH)]
+        seen[np.isin(at, last_windows(halves)), STRIDE:] = 0
         inputs = self.embed[seen].reshape(len(at), -1)
         d_conv = np.zeros_like(self.conv)
         d_embed = np.zeros_like(self.embed)
@@ -113,6 +118,11 @@ class Network:
         return [d_embed, d_conv, np.bincount(cols, g, minlength=FILTERS).astype(np.float32), feats.T @ d_raw, d_raw.sum(axis=0), active.T @ miss, miss.sum(keepdims=True)]
 
 
+def last_windows(halves: np.ndarray) -> np.ndarray:
+    """The last window of each text."""
+    return np.cumsum(halves) * (HALF // STRIDE) - 1
+
+
 def chunk_halves(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The first and second half of each chunk, and the chunks of each text: a text of one half is one chunk."""
     count = np.maximum(halves - 1, 1)
