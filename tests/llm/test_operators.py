@@ -62,6 +62,28 @@ def test_near_duplicates_against_all_pairs(docs, empty, size):
     assert near_dups.near_duplicates(empty, size).count() == 0
 
 
+def test_near_duplicates_in_a_group_at_the_threshold(spark):
+    draw = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(120)]
+
+    def variant(words: list[str], rate: float) -> list[str]:
+        return [f"x{draw.integers(60)}" if draw.random() < rate else w for w in words]
+
+    far = variant(base, 0.15)  # some vary a variant
+    texts = [variant(far if k % 4 == 0 else base, draw.uniform(0, 0.16)) for k in range(240)]
+    sets = [set(itertools.pairwise(t)) for t in texts]
+    least = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((least[i], least[j]))
+            least = [a if x == b else x for x in least]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = dict(near_dups.near_duplicates(docs, 2).select("doc_id", "component_id").collect())
+    assert got == dict(enumerate(least))
+    assert 1 < len(set(least)) < 0.8 * len(texts)  # many are linked and many are not
+
+
 def test_hamming_join_keys_find_all_pairs_under_the_distance():
     draw = np.random.default_rng(1)
     for _ in range(300):

@@ -24,8 +24,10 @@ from weftline.llm.common import staged, table
 #: 7,000; with one allowed error a chunk of 4 is matched with probability 0.82, all 8 fail once in a million.
 SYMBOLS, BITS, CHUNKS, DISTANCE = 32, 16, 8, 15
 SEED = 20_231
-#: How often buckets are compared with one hub before the rest is compared in pairs.
+#: How often buckets are compared with one hub before the rest is joined.
 HUB_ROUNDS = 3
+#: Open buckets of at most so many members are joined as they are, larger ones on their differences from the hub.
+SMALL = 16
 
 
 def _functions(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,13 +152,74 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(open_, "key")
 
 
+def _open_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of different components that share an open bucket and may be linked."""
+    hubs = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("pop", (-F.col("rep")).alias("back"), "component")).alias("hub"))
+    hubs = hubs.select("key", "n", (-F.col("hub.back")).alias("hub"), F.col("hub.component").alias("home"))
+    rows = staged(rows.join(hubs, "key").select("key", "rep", "component", "n", "hub", "home"), "open")
+    few = rows.where(F.col("n") <= SMALL)
+    x = few.where("component != home").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
+    y = few.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
+    pairs = x.join(y, "key").where("ca != cb")
+    many = rows.where((F.col("n") > SMALL) & (F.col("rep") != F.col("hub"))).select("hub", "rep", "component", (F.col("component") != F.col("home")).alias("far")).distinct()
+    parts = staged(_differences(many, sets, percent), "differences")
+    x = parts.where("outer").select("part", F.col("rep").alias("a"), *(F.col(k).alias(f"a_{k}") for k in ("component", "n", "d", "added", "lacking")))
+    y = parts.where("inner").select("part", F.col("rep").alias("b"), *(F.col(k).alias(f"b_{k}") for k in ("component", "n", "d", "added", "lacking")))
+    # no difference before this one is shared, or the pair meets there
+    shared = F.least("a_added", "b_added") + F.least("a_lacking", "b_lacking")
+    near = 2 * (100 + percent) * shared >= (100 + percent) * (F.col("a_d") + F.col("b_d")) - (100 - percent) * (F.col("a_n") + F.col("b_n"))
+    met = x.join(y, "part").where((F.col("a_component") != F.col("b_component")) & near)
+    pairs = pairs.select("a", "b").union(met.select("a", "b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Differences from the hub, of which linked members share one.
+
+    Rows are (part, rep, component, n, d, added, lacking, inner, outer); n and d are the sizes of the set and of its
+    difference, ``added`` and ``lacking`` count what of the difference stands here and later in the order.
+
+    d(X) is the size of X's symmetric difference from the hub H, and c = (100 - percent) / (100 + percent). X and Y are
+    linked where their own symmetric difference is at most c (|X| + |Y|); it is d(X) + d(Y) - 2 s, where s counts the
+    differences from H that both have. A far member A is not linked to H, so d(A) > c (|A| + |H|), and a member B that
+    is linked to A has 2 s > d(B) + c (|H| - |B|): about half of B's differences are A's too. For either, s is at least
+    d(X) - c |X| (1 + 100 / percent), as s is no more than the other's d. In one order of all differences, shingles that
+    H lacks before those that it has, A and B then share one of the first d - s + 1 of each.
+    ``outer`` marks those of a far member, ``inner`` those of any member that is linked to a far one.
+    """
+    c = (100 - percent) / (100 + percent)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for hub, rep, comp, far, own, base in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), batch.column(5), strict=True):
+                own, base = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (own, base))
+                more, less = np.setdiff1d(own, base, assume_unique=True), np.setdiff1d(base, own, assume_unique=True)
+                parts = np.concatenate([more, less])
+                d, n = len(parts), len(own)
+                least = max(1, int(np.ceil(d - c * n * (1 + 100 / percent) - 1e-6)))
+                inner = max(0, d + 1 - max(least, int(np.floor((d + c * (len(base) - n)) / 2 - 1e-6)) + 1))
+                outer = max(0, d + 1 - least) if far else 0
+                at = np.arange(max(inner, outer))
+                with np.errstate(over="ignore"):
+                    keys = mixed(parts[: len(at)] * MIX + np.uint64(hub % 2**64))
+                out.append((keys.view(np.int64), np.full(len(at), rep), np.full(len(at), comp), np.full(len(at), n), np.full(len(at), d), np.maximum(len(more) - at, 0), np.minimum(d - at, len(less)), at < inner, at < outer))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["part", "rep", "component", "n", "d", "added", "lacking", "inner", "outer"])
+
+    own = sets.select("rep", F.col("members").alias("x"))
+    base = sets.select(F.col("rep").alias("hub"), F.col("members").alias("y"))
+    return members.join(own, "rep").join(base, "hub").select("hub", "rep", "component", "far", "x", "y").mapInArrow(work, "part long, rep long, component long, n long, d long, added long, lacking long, inner boolean, outer boolean")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
     Documents of equal sets stand as one representative. Every pair of representatives whose signatures differ in at
     most ``distance`` symbols is a candidate. In each bucket, members are first compared with the hub, the member that
-    meets most others; members that are linked already need no more comparison, since only components are asked for;
-    all pairs of members of different components are compared in the end, so that no link between components is lost.
+    meets most others; members that are linked already need no more comparison, since only components are asked for.
+    In the end, members of different components are compared where they share a difference from their hub that a link
+    would need (``_differences``), so that no link between components is lost and no bucket is multiplied by itself.
     Links are confirmed on the full sets.
 
     Null, empty and blank texts have an empty set and are linked with nothing. Rows that share an id are one document:
@@ -193,9 +256,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, distance:
     if not rows.isEmpty():
         labelled = staged(_labelled(rows, links), "open")
         if not labelled.isEmpty():
-            x = labelled.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-            y = labelled.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            pairs = x.join(y, "key").where("a < b and ca != cb").select("a", "b").distinct()
+            pairs = staged(_open_pairs(labelled, sets, percent), "pairs")
             links = staged(links.union(_confirmed(_close(pairs, classes, distance), sets, percent)), "links")
     comp = components(links)
     found = facts.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
