@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 
-from weftline.operators import codes, graph, mixture, tree
+from weftline.operators import codes, graph, hidden, mixture, tree
 
 
 def test_pruning_sums_over_all_inner_states(spark):
@@ -57,3 +57,20 @@ def test_empty_edges(spark):
     labels = spark.createDataFrame([], "site long, label long")
     assert graph.potts_energy(edges, labels).first()["energy"] == 0.0
     assert graph.bond_components(edges).count() == 0
+
+
+def test_forward_over_several_blocks(spark):
+    initial, step, emit = [0.6, 0.4], [[0.9, 0.1], [0.2, 0.8]], [[0.7, 0.3], [0.25, 0.75]]
+    symbols = {0: [k * k % 3 % 2 for k in range(hidden.BLOCK * 3 + 5)], 1: [1], 2: [0] * (hidden.BLOCK + 1)}
+    want = {}
+    for g, seen in symbols.items():
+        w, total = [initial[j] * emit[j][seen[0]] for j in range(2)], 0.0
+        for s in seen[1:]:
+            scale = sum(w)
+            total += math.log(scale)
+            w = [sum(w[i] / scale * step[i][j] for i in range(2)) * emit[j][s] for j in range(2)]
+        want[g] = total + math.log(sum(w))
+    rows = spark.createDataFrame([(g, k, s) for g, seen in symbols.items() for k, s in enumerate(seen)], "g long, k long, s long")
+    got = dict(hidden.forward_log_likelihood(rows, "g", ["k"], "s", initial, step, emit).collect())
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[g], want[g], rel_tol=1e-12) for g in want)
