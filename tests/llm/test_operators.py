@@ -184,6 +184,17 @@ def test_top_k(spark):
     assert metric_tree.top_k(df.limit(0), df).count() == 0
 
 
+def test_top_k_ties_in_other_trees(spark):
+    draw = np.random.default_rng(5)
+    ids = [int(i) for i in draw.permutation(240)]
+    vectors = [(i, [0.5] * 8) for i in ids[:200]] + [(i, draw.normal(size=8).tolist()) for i in ids[200:]] + [(-(1 << 63), [0.5] * 8), ((1 << 63) - 1, [0.5] * 8)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    whole = {i: np.floor(np.array(v) * 1024).astype(np.int64) for i, v in vectors}
+    want = [(q, k + 1, i, s) for q in whole if q % 20 == 0 for k, (s, i) in enumerate(sorted(((int(whole[q] @ v), i) for i, v in whole.items() if i != q), key=lambda x: (-x[0], x[1]))[:10])]
+    got = metric_tree.top_k(df, df.where("vec_id % 20 = 0"), tree=40).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def encoded(name: str) -> list[tuple]:
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -25,6 +25,8 @@ SCALE = 1024
 #: Bounds are computed in doubles; what is this near to a bound is looked at.
 SLACK = 1e-6
 LIMIT = 1 << 26
+#: Sorts below -vec_id of every vec_id, so that a vector with the same score goes before it.
+NONE = -(1 << 63)
 
 NODE = "pivot int, salt int, node int, parent int, leaf boolean, centre binary, radius double, parent_dist double, ids binary, vectors binary, dists binary"
 
@@ -94,7 +96,7 @@ def pages(points: np.ndarray, ids: np.ndarray, ints: np.ndarray, centre: np.ndar
 
 
 def walk(nodes: dict, children: dict, query: np.ndarray, own: int, k: int, norm2: float, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The best k (score, -vec_id) of ``found`` and of the tree's vectors, best first."""
+    """The best k (score, -vec_id) of ``found`` and of the tree's vectors, best first; in ``found``, NONE stands for no vector."""
     q = np.append(query.astype(np.float64), 0.0)
     base = float(q @ q) + norm2
 
@@ -126,7 +128,7 @@ def walk(nodes: dict, children: dict, query: np.ndarray, own: int, k: int, norm2
             good = scores >= found[-1][0]
             ids, scores = ids[good], scores[good]
         if len(ids):
-            found = sorted([*found, *zip(scores.tolist(), (-ids).tolist(), strict=True)], reverse=True)[:k]
+            found = sorted([*found, *zip(scores.tolist(), (-i for i in ids.tolist()), strict=True)], reverse=True)[:k]
     return found
 
 
@@ -145,9 +147,9 @@ def _searched(index: DataFrame, routed: DataFrame, blocks: int, k: int, dims: in
                 children.setdefault(r["parent"], []).append(r["node"])
             for r in right.to_pylist():
                 query = np.frombuffer(r["data"].ljust(8 * dims, b"\0"), dtype="<i8")
-                known = [(r["least"], np.iinfo(np.int64).max)] * k if r["least"] is not None else []
+                known = [(r["least"], NONE)] * k if r["least"] is not None else []
                 for score, minus in walk(nodes, children, query, r["query_id"], k, norm2, known):
-                    if minus != np.iinfo(np.int64).max:
+                    if minus != NONE:
                         rows.append((r["query_id"], -minus, score))
         cols = list(zip(*rows, strict=True)) or [()] * 3
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
@@ -187,7 +189,7 @@ def build(vectors: DataFrame, pivots: np.ndarray, dims: int, norm2: float, tree:
     return index, salts, radii
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", tree: int = TREE) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of every query's vector with the vectors of ``rows``.
 
     Ties go to the smaller id; rows with a query's own id are no candidates for it; a query with fewer candidates gets all.
@@ -211,7 +213,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     norm2 = vectors.select("data").mapInArrow(norms, "n double").agg(F.max("n").alias("n")).first()["n"]
     drawn = vectors.select("data").orderBy(F.xxhash64("vec_id"), "data").limit(PIVOTS).collect()
     pivots = np.unique(np.array([np.frombuffer(bytes(r["data"]).ljust(8 * dims, b"\0"), dtype="<i8") for r in drawn]), axis=0)
-    index, salts, radii = build(vectors, pivots, dims, norm2)
+    index, salts, radii = build(vectors, pivots, dims, norm2, tree)
     centres = {p: _lifted(pivots[p : p + 1], norm2)[0] for p in salts}
     blocks = max(1, -(-asked.count() // QUERIES))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
