@@ -120,6 +120,33 @@ def test_secrets(docs, empty):
     assert secret_scan.redacted(empty).count() == 0
 
 
+def test_secrets_of_any_form_are_linked(docs):
+    plain = "WJalrXUtnFEMI0K7MDENGabcPxRfiCYEXAMPLEKy"
+    secrets = {
+        "user=alice password=Tr0ub4dor&3-horse!": "password=Tr0ub4dor&3-horse!",
+        "login: bob pwd=correcthorsebattery": "pwd=correcthorsebattery",
+        "client_id=abc api_key=Zx81kQ2": "api_key=Zx81kQ2",
+        'user=carol "token": "with a space, and \\" quote"': 'token": "with a space, and \\" quote',
+        "user=dave secret=abcdefghijklmn!tail": "secret=abcdefghijklmn!tail",
+        "user=erin password=12": "password=12",
+        "user=frank key AIzaSyD-9tSrke72_PouQMnMX-a7eZSW0jkFM": "AIzaSyD-9tSrke72_PouQMnMX-a7eZSW0jkFM",
+        f"user=grace SIGNING={plain}": plain,
+        f"user=heidi {plain}x==": f"{plain}x==",
+        "user=ivan see https://a.example/x?sig=Ab3dEf6hIj9kLm2n": "Ab3dEf6hIj9kLm2n",
+        f"login: {plain}": plain,
+        "user=kim token=/password'=abc": "password'=abc",
+    }
+    whole = {"client_id=Abcdefgh_12345678_xyz": [], "https://a.example/wiki/World_War_2_Timeline": [], "password=hunter2": [], "user=judy token=abcdefghijklmnop": ["assign", "client"]}
+    texts = [*secrets, *whole]
+    df = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {texts[r["doc_id"]]: r["spans"] for r in secret_scan.scan(df).collect()}
+    for text, secret in secrets.items():
+        assert secret in [text[p["start"] : p["end"]] for p in got[text]], text
+    assert {t: sorted(p["kind"] for p in got[t]) for t in whole} == whole
+    for r in secret_scan.redacted(df).where(F.col("doc_id") < len(secrets)).collect():
+        assert secrets[texts[r["doc_id"]]] not in r["text"] and "tail" not in r["text"]
+
+
 def test_sainte_lague_is_the_highest_quotient_rule():
     draw = np.random.default_rng(3)
     for _ in range(200):

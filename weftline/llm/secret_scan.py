@@ -1,14 +1,19 @@
 """Secret scans with multipart credential linking (operator 7).
 
-Strong patterns are reported as they are. Weak parts (client names, endpoints, key-shaped strings, short passwords) are
-reported only where complementary parts lie in one scope. Scopes are overlapping intervals of 2 * REACH code points, so
+Strong patterns are reported as they are. Weak parts (client names, endpoints, key-shaped strings, and the values of
+passwords, secrets, tokens and keys that no strong pattern reports whole) are reported only where complementary parts lie
+in one scope. Such a value may be of any length; in quotes it goes to the closing quote of its line. Key-shaped are 16 or
+more of [A-Za-z0-9/+_-] with a digit and letters of both cases; what is part of a client's name or of an endpoint is not,
+as it would complete itself, unless it follows a = in it or is 40 of [A-Za-z0-9/+]. Scopes are overlapping intervals of 2 * REACH code points, so
 that parts that start within REACH of each other always share one; parts are joined with the scopes they lie in, and
 what a scope holds is summed up before the parts read it, so that no pairs are made.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,25 +34,59 @@ STRONG = {
     "hex": (r"[0-9a-f]{16}", re.compile(r"[0-9a-f]{16,}")),
 }
 WEAK = {
-    "short": (r"(?i)(password|passwd|pwd|secret)[\"']?\x20*[:=]", re.compile(r"""(?:password|passwd|pwd|secret)["']?\x20*[:=]\x20*["']?[^\s"',;]{6,11}(?![^\s"',;])""", re.A | re.I)),
+    "short": (r"(?i)(password|passwd|pwd|secret|token|api_?key)[\"']?\x20*[:=]", re.compile(r"""(?:password|passwd|pwd|secret|token|api_?key)["']?\x20*[:=]\x20*""", re.A | re.I)),
     "client": (r"(?i)(client_?id|user_?name|user|login|account)[\"']?\x20*[:=]", re.compile(r"""\b(?:client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}""", re.A | re.I)),
     "endpoint": (r"://|[0-9]\.[0-9]", re.compile(r"\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s\"'<>]{3,200}|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])(?::[0-9]{2,5})?", re.A)),
-    "key": (r"[A-Za-z0-9/+]{40}", re.compile(r"(?<![A-Za-z0-9/+=_-])(?=[A-Za-z0-9/+]{0,39}[0-9])(?=[A-Za-z0-9/+]{0,39}[A-Z])(?=[A-Za-z0-9/+]{0,39}[a-z])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=_-])")),
+    "key": (r"[A-Za-z0-9/+_-]{16}", re.compile(r"[A-Za-z0-9/+_-]{16,}={0,2}")),
 }
 KINDS = [*STRONG, *WEAK]
+#: The value after the head of a short: in quotes, or up to a delimiter.
+QUOTED = re.compile(r""""(?:[^"\\\n]|\\.)++(?=")|'(?:[^'\\\n]|\\.)++(?=')""")
+VALUE = re.compile(r"""[^\s"',;]+""", re.A)
+MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Z]*[A-Z])[^a-z]*[a-z]")
+PLAIN = re.compile(r"[A-Za-z0-9/+]{40}")
 
 PART = "struct<start:int,place:int,kind:string,end:int>"
 
 
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of every short part with a value, also of those in the value of another."""
+    until = 0
+    for m in WEAK["short"][1].finditer(text):
+        at = m.end()
+        if v := QUOTED.match(text, at):
+            yield m.start(), v.end()
+            continue
+        at += text.startswith(('"', "'"), at)
+        if at >= until:  # else it is in the run that was read last
+            until = v.end() if (v := VALUE.match(text, at)) else at
+        if until > at:
+            yield m.start(), until
+
+
+def _inside(at: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether ``at`` lies in one of the (start, end), which are in order and do not overlap."""
+    i = bisect_right(spans, (at, math.inf)) - 1
+    return i >= 0 and at < spans[i][1]
+
+
 def _spans(texts: pa.Array) -> list[list[tuple[int, int, str, int]]]:
     """All parts of each text, strong and weak: (start, place of the kind, kind, end), in code points."""
     found: list[list[tuple[int, int, str, int]]] = [[] for _ in range(len(texts))]
     for place, (kind, (quick, pattern)) in enumerate([*STRONG.items(), *WEAK.items()]):
         mask = pc.match_substring_regex(texts, quick)
         for i in pc.indices_nonzero(mask).to_pylist():
-            for m in pattern.finditer(texts[i].as_py()):
-                if kind != "assign" or len(m[2]) >= 12:
-                    found[i].append((m.start(), place, kind, m.end()))
+            text = texts[i].as_py()
+            matches = pattern.finditer(text)
+            if kind == "short":
+                known = {a: b for a, _, k, b in found[i] if k == "assign"}
+                spans = [(a, b) for a, b in _assigned(text) if b > known.get(a, 0)]
+            elif kind == "key":
+                clients, endpoints = ([(a, b) for a, _, k, b in found[i] if k == name] for name in ("client", "endpoint"))
+                spans = [m.span() for m in pattern.finditer(text) if MIXED.match(m[0]) and (PLAIN.fullmatch(m[0]) or not _inside(m.start(), clients) and (text.endswith("=", 0, m.start()) or not _inside(m.start(), endpoints)))]
+            else:
+                spans = [m.span() for m in pattern.finditer(text) if kind != "assign" or len(m[2]) >= 12]
+            found[i] += [(a, place, kind, b) for a, b in spans]
     return [sorted(x) for x in found]
 
 
