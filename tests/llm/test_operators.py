@@ -147,6 +147,12 @@ def test_secrets_of_any_form_are_linked(docs):
         assert secrets[texts[r["doc_id"]]] not in r["text"] and "tail" not in r["text"]
 
 
+def test_long_endpoints_and_clients_are_whole(docs):
+    texts = ["user=bob password=hunter22 https://a.example/" + "p" * 300 + "?sig=abc", "password=hunter22 user=" + "u" * 100]
+    df = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["text"] for r in secret_scan.redacted(df).orderBy("doc_id").collect()] == ["[SECRET] [SECRET] [SECRET]", "[SECRET] [SECRET]"]
+
+
 def test_sainte_lague_is_the_highest_quotient_rule():
     draw = np.random.default_rng(3)
     for _ in range(200):

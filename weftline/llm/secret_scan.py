@@ -35,8 +35,8 @@ STRONG = {
 }
 WEAK = {
     "short": (r"(?i)(password|passwd|pwd|secret|token|api_?key)[\"']?\x20*[:=]", re.compile(r"""(?:password|passwd|pwd|secret|token|api_?key)["']?\x20*[:=]\x20*""", re.A | re.I)),
-    "client": (r"(?i)(client_?id|user_?name|user|login|account)[\"']?\x20*[:=]", re.compile(r"""\b(?:client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}""", re.A | re.I)),
-    "endpoint": (r"://|[0-9]\.[0-9]", re.compile(r"\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s\"'<>]{3,200}|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])(?::[0-9]{2,5})?", re.A)),
+    "client": (r"(?i)(client_?id|user_?name|user|login|account)[\"']?\x20*[:=]", re.compile(r"""\b(?:client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", re.A | re.I)),
+    "endpoint": (r"://|[0-9]\.[0-9]", re.compile(r"\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s\"'<>]{3,}|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])(?::[0-9]{2,5})?", re.A)),
     "key": (r"[A-Za-z0-9/+_-]{16}", re.compile(r"[A-Za-z0-9/+_-]{16,}={0,2}")),
 }
 KINDS = [*STRONG, *WEAK]
