@@ -278,6 +278,26 @@ def test_licenses(docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_as_whole_texts_and_spdx_lines(spark):
+    texts = {}
+    for name, text in licenses.shipped():
+        texts.setdefault(name, []).append(text)
+    ids = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0", "MIT", "ISC"]
+    rows = [(name, "Copyright (c) 2021 Some One\n\n" + max(texts[name], key=len).replace("    ", " ").upper()) for name in ids]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {x: got[x]["license"] for x in ids} == {x: x for x in ids}
+    apache = next(t for t in texts["Apache-2.0"] if licenses.HOLDER in t)
+    bsd = max(texts["BSD-3-Clause"], key=len)
+    forms = {1: ("Apache-2.0", apache.replace(licenses.HOLDER, "Copyright 2020 Some One")), 2: ("Apache-2.0", apache[: apache.index("APPENDIX")]), 3: (None, apache + " more"), 4: (None, bsd.replace("endorse", "praise"))}
+    found = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in forms.items()], "doc_id long, text string"))
+    assert {r["doc_id"]: r["license"] for r in found.collect()} == {i: x for i, (x, _) in forms.items()}
+    lines = {f"// SPDX-License-Identifier: {x}\ncode": x.removesuffix("-only").removesuffix("-or-later") for x in ("BSD-3-Clause", "MPL-2.0", "GPL-2.0-only", "LGPL-2.1-or-later", "AGPL-3.0", "CC-BY-NC-SA-4.0", "MIT")}
+    named = licenses.scan_licenses(spark.createDataFrame([(t, t) for t in lines], "doc_id string, text string"))
+    assert {r["doc_id"]: r["notices"] for r in named.collect()} == lines
+    each = spark.createDataFrame(list(licenses.shipped()), "license string, text string").select("license", F.md5(licenses.canonical(F.col("text"))).alias("d"))
+    assert each.groupBy("d").agg(F.countDistinct("license").alias("n")).where("n > 1").count() == 0
+
+
 def test_addresses_are_content_digests():
     assert token_store.address(b"x") == hashlib.blake2b(b"x", digest_size=16).digest()
     assert pa.array([1]).to_pylist() == [1]

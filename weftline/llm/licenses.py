@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +40,36 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
+#: Licences by SPDX id, whose lines are known; of the GNU ones also the ids that end in -only and -or-later.
+SPDX = tuple("""MIT ISC 0BSD Apache-1.1 Apache-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause MPL-1.1 MPL-2.0 Unlicense CC0-1.0 Zlib BSL-1.0 EPL-1.0 EPL-2.0 EUPL-1.2
+CDDL-1.0 CDDL-1.1 Artistic-1.0-Perl Artistic-2.0 OFL-1.1 NCSA WTFPL PSF-2.0 Unicode-3.0 MIT-0 BlueOak-1.0.0 PostgreSQL""".split()) + tuple(f"CC-BY{x}-{v}" for x in ("", "-SA", "-NC", "-ND", "-NC-SA", "-NC-ND") for v in ("1.0", "2.0", "2.5", "3.0", "4.0"))
+GNU = ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GFDL-1.1", "GFDL-1.2", "GFDL-1.3")
+#: Titles that may stand over the shorter texts, and lines that may be missing or filled in.
+TITLES = {"MIT": ("The MIT License", "The MIT License (MIT)", "MIT License"), "ISC": ("The ISC License", "ISC License"), "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'), "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'), "Zlib": ("zlib License", "The zlib License"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"), "Unlicense": ("The Unlicense",)}
+LAST, HOLDER, RIGHTS = "END OF TERMS AND CONDITIONS", "Copyright [yyyy] [name of copyright owner]", "All rights reserved."
+
+
+@functools.cache
+def shipped() -> tuple[tuple[str, str], ...]:
+    """(licence, text) of KNOWN, of the whole texts in license_texts.json with their usual variants, and of SPDX lines.
+
+    Variants are: without what follows the terms, with the appendix's holder filled in; of short texts, under a title, with
+    a line that reserves all rights, and without the numbers of their clauses.
+    """
+    out = [*KNOWN, *((x, f"SPDX-License-Identifier: {x}") for x in SPDX)]
+    out += [(x, f"SPDX-License-Identifier: {x}{end}") for x in GNU for end in ("", "-only", "-or-later")]
+    files = json.loads(Path(__file__).with_name("license_texts.json").read_text(encoding="utf-8"))
+    for name, text in [("MIT", _MIT), ("ISC", _ISC), *((x["license"], x["text"]) for x in files)]:
+        bodies = [text, text.replace(HOLDER, "")]
+        if LAST in text:
+            bodies += [text[: text.index(LAST)], text[: text.index(LAST) + len(LAST)]]
+        if name in TITLES:
+            bodies.append(re.sub(r"(?m)^ *[0-9]\. ", "", text))
+            bodies = [f"{title}\n{rights}\n{body}" for title in ("", *TITLES[name]) for rights in ("", RIGHTS) for body in bodies]
+        out += [(name, body) for body in bodies]
+    return tuple(dict.fromkeys(out))
+
+
 #: Spellings that count as one, applied to lower-case text in this order.
 SPELLINGS = (
     ("licence", "license"),
@@ -59,17 +94,17 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, MARKS, " "))
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """license and digest of the known texts, each digest once."""
-    rows = spark.createDataFrame(list(known), "license string, text string")
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """license and digest of the known texts (``shipped``, if none are given), each digest once."""
+    rows = spark.createDataFrame(list(shipped() if known is None else known), "license string, text string")
     return rows.select(F.md5(canonical(F.col("text"))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest (of the whole canonical text), license (known for the whole text, or null) and notices.
 
     ``notices`` are the licences that whole lines of the text name, distinct and in order, joined by commas; empty if none.
-    The known table is a parameter of fixed size and is sent to all tasks. A null text has a null digest, an empty one the
+    The known table is a parameter of fixed size, by default ``shipped``, whose digests are sent to all tasks. A null text has a null digest, an empty one the
     digest of the empty text; neither is known. Repeated rows have one result each; other columns are not read.
     """
     spark = docs.sparkSession
@@ -100,6 +135,7 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: The SQL knows KNOWN alone.
 ORACLE_SQL = f"""
 WITH k AS (SELECT {_sql("text")} AS digest, min(license) AS license FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}) AS v(license, text) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, text, {_sql("text")} AS digest FROM documents),
