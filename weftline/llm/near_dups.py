@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.arrows import MIX, hashed_words, mixed, shingle_sets, slices
-from weftline.llm.common import staged, table
+from weftline.llm.common import bounded_batches, staged, table
 
 #: 32 symbols of 16 bits in 8 chunks. At similarity 0.8 the distance has mean 6.4 and exceeds 15 in about one pair of
 #: 7,000; with one allowed error a chunk of 4 is matched with probability 0.82, all 8 fail once in a million.
@@ -26,8 +26,10 @@ SYMBOLS, BITS, CHUNKS, DISTANCE = 32, 16, 8, 15
 SEED = 20_231
 #: How often buckets are compared with one hub before the rest is joined.
 HUB_ROUNDS = 3
-#: Open buckets of at most so many members are joined as they are, larger ones on their differences from the hub.
+#: Open buckets of at most so many members are joined as they are, larger ones on what tells them from the hub.
 SMALL = 16
+#: About how many signatures tell how rare symbols are.
+ORDER_SAMPLE = 10_000
 
 
 def _functions(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,27 +154,83 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(open_, "key")
 
 
-def _open_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of different components that share an open bucket and may be linked."""
+def _open_pairs(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, distance: int) -> DataFrame:
+    """The pairs (a, b) of different components that share an open bucket and may be linked.
+
+    The buckets whose hubs are of one component are one family with one hub. Two members of a family differ in at most
+    ``distance`` symbols if they are linked. So one that differs from the hub in more has, with all that are linked to
+    it, such a symbol in common (``_placed``). Members that are all close to the hub are told apart by their
+    differences from its full set (``_differences``).
+    """
     hubs = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("pop", (-F.col("rep")).alias("back"), "component")).alias("hub"))
-    hubs = hubs.select("key", "n", (-F.col("hub.back")).alias("hub"), F.col("hub.component").alias("home"))
+    hubs = hubs.select("key", "n", "hub", F.col("hub.component").alias("home"))
     rows = staged(rows.join(hubs, "key").select("key", "rep", "component", "n", "hub", "home"), "open")
     few = rows.where(F.col("n") <= SMALL)
     x = few.where("component != home").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
     y = few.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    pairs = x.join(y, "key").where("ca != cb")
-    many = rows.where((F.col("n") > SMALL) & (F.col("rep") != F.col("hub"))).select("hub", "rep", "component", (F.col("component") != F.col("home")).alias("far")).distinct()
-    parts = staged(_differences(many, sets, percent), "differences")
-    x = parts.where("outer").select("part", F.col("rep").alias("a"), *(F.col(k).alias(f"a_{k}") for k in ("component", "n", "d", "added", "lacking")))
-    y = parts.where("inner").select("part", F.col("rep").alias("b"), *(F.col(k).alias(f"b_{k}") for k in ("component", "n", "d", "added", "lacking")))
+    pairs = x.join(y, "key").where("ca != cb").select("a", "b")
+
+    many = rows.where(F.col("n") > SMALL)
+    best = many.groupBy("home").agg((-F.max("hub")["back"]).alias("hub"))
+    many = many.groupBy("home", "rep").agg(F.first("component").alias("component")).join(best, "home").where("rep != hub")
+    placed = staged(_placed(many, classes, distance), "placed")
+    symbols = placed.select("home", "rep", "component", "off", F.explode("symbols").alias("symbol"))
+    x = symbols.where(F.col("off") > distance).select("home", "symbol", F.col("rep").alias("a"), F.col("component").alias("ca"))
+    y = symbols.select("home", "symbol", F.col("rep").alias("b"), F.col("component").alias("cb"))
+    pairs = pairs.union(x.join(y, ["home", "symbol"]).where("ca != cb").select("a", "b"))
+
+    close = placed.where(F.col("off") <= distance).select("hub", "rep", "component", (F.col("component") != F.col("home")).alias("far"))
+    parts = staged(_differences(close, sets, percent), "differences")
+    columns = ("component", "n", "d", "added", "lacking")
+    x = parts.where("outer").select("part", F.col("rep").alias("a"), *(F.col(k).alias(f"a_{k}") for k in columns))
+    y = parts.where("inner").select("part", F.col("rep").alias("b"), *(F.col(k).alias(f"b_{k}") for k in columns))
     # no difference before this one is shared, or the pair meets there
     shared = F.least("a_added", "b_added") + F.least("a_lacking", "b_lacking")
     near = 2 * (100 + percent) * shared >= (100 + percent) * (F.col("a_d") + F.col("b_d")) - (100 - percent) * (F.col("a_n") + F.col("b_n"))
     met = x.join(y, "part").where((F.col("a_component") != F.col("b_component")) & near)
-    pairs = pairs.select("a", "b").union(met.select("a", "b"))
+    # a far member that the family's hub itself is linked to shows in the hub's own row
+    direct = close.where("far").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    pairs = pairs.union(met.select("a", "b")).union(direct)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _placed(members: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
+    """Members of families (home, hub, rep, component) with ``off`` and ``symbols``.
+
+    ``off`` counts the symbols in which a member differs from the hub. Say that A and B differ in at most ``distance``
+    symbols and that A differs from the hub in a > distance. Then they share at least a - distance symbols that the hub
+    lacks: where A differs from the hub, B differs from A at most ``distance`` times, and the same holds for B's b. In
+    one order of all symbols they share one of the first a - (a - distance) + 1 of A and b - max(1, b - distance) + 1 of
+    B. Rare symbols come first. How rare they are is counted on a bounded sample of signatures, as the order decides
+    the work alone, not the pairs.
+    """
+    spark = classes.sparkSession
+    n = classes.count()
+    drawn = classes.select("signature").sample(min(1.0, ORDER_SAMPLE / max(n, 1)), SEED).limit(2 * ORDER_SAMPLE).collect()
+    seen = np.frombuffer(b"".join(bytes(r[0]) for r in drawn), dtype=np.uint16).reshape(-1, SYMBOLS).astype(np.int64)
+    counts = spark.sparkContext.broadcast(np.stack([np.bincount(seen[:, k] >> 4, minlength=1 << (BITS - 4)) for k in range(SYMBOLS)]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.arange(SYMBOLS, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, base = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS).astype(np.int64) for k in (4, 5))
+            differs = own != base
+            off = differs.sum(axis=1)
+            names = (place << BITS) + own
+            rank = (np.where(differs, counts.value[place, own >> 4], 1 << 40) << 22) + names
+            order = np.argsort(rank, axis=1)
+            first = np.where(off > distance, distance + 1, off)
+            names = np.take_along_axis(names, order, axis=1)[place < first[:, None]]
+            ends = np.concatenate([[0], np.cumsum(first)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(off), pa.ListArray.from_arrays(pa.array(ends), pa.array(names))], names=["home", "hub", "rep", "component", "off", "symbols"])
+
+    own = classes.select("rep", F.col("signature").alias("x"))
+    base = classes.select(F.col("rep").alias("hub"), F.col("signature").alias("y"))
+    return members.join(own, "rep").join(base, "hub").select("home", "hub", "rep", "component", "x", "y").mapInArrow(work, "home long, hub long, rep long, component long, off long, symbols array<long>")
+
+
 def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Differences from the hub, of which linked members share one.
 
@@ -181,10 +239,11 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
     d(X) is the size of X's symmetric difference from the hub H, and c = (100 - percent) / (100 + percent). X and Y are
     linked where their own symmetric difference is at most c (|X| + |Y|); it is d(X) + d(Y) - 2 s, where s counts the
-    differences from H that both have. A far member A is not linked to H, so d(A) > c (|A| + |H|), and a member B that
-    is linked to A has 2 s > d(B) + c (|H| - |B|): about half of B's differences are A's too. For either, s is at least
-    d(X) - c |X| (1 + 100 / percent), as s is no more than the other's d. In one order of all differences, shingles that
-    H lacks before those that it has, A and B then share one of the first d - s + 1 of each.
+    differences from H that both have. A far member A that is linked to H needs no differences. Any other has
+    d(A) > c (|A| + |H|), and a member B that is linked to A has 2 s > d(B) + c (|H| - |B|): about half of B's
+    differences are A's too. For either, s is at least d(X) - c |X| (1 + 100 / percent), as s is no more than the
+    other's d. In one order of all differences, shingles that H lacks before those that it has, A and B then share one
+    of the first d - s + 1 of each.
     ``outer`` marks those of a far member, ``inner`` those of any member that is linked to a far one.
     """
     c = (100 - percent) / (100 + percent)
@@ -218,14 +277,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, distance:
     Documents of equal sets stand as one representative. Every pair of representatives whose signatures differ in at
     most ``distance`` symbols is a candidate. In each bucket, members are first compared with the hub, the member that
     meets most others; members that are linked already need no more comparison, since only components are asked for.
-    In the end, members of different components are compared where they share a difference from their hub that a link
-    would need (``_differences``), so that no link between components is lost and no bucket is multiplied by itself.
+    In the end, members of different components are compared where they share a symbol or a shingle that their hub
+    lacks and that a link would need (``_placed``, ``_differences``), so that no link between components is lost and no
+    bucket is multiplied by itself.
     Links are confirmed on the full sets.
 
     Null, empty and blank texts have an empty set and are linked with nothing. Rows that share an id are one document:
     they have one component. A null id takes no part (component_id null, kept). An empty table gives no rows; other
     columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     facts = staged(fingerprinted(docs, size, id_col, text_col), "fingerprints")
     whole = facts.where("doc_id is not null and set_hash is not null")
     classes = whole.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature"))
@@ -256,7 +317,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, distance:
     if not rows.isEmpty():
         labelled = staged(_labelled(rows, links), "open")
         if not labelled.isEmpty():
-            pairs = staged(_open_pairs(labelled, sets, percent), "pairs")
+            pairs = staged(_open_pairs(labelled, classes, sets, percent, distance), "pairs")
             links = staged(links.union(_confirmed(_close(pairs, classes, distance), sets, percent)), "links")
     comp = components(links)
     found = facts.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
