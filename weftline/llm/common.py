@@ -35,6 +35,14 @@ def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores more as it takes to clash with none of ``columns`` in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"

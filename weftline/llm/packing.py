@@ -11,9 +11,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.llm.arrows import slices
-from weftline.llm.common import staged, table
+from weftline.llm.common import bounded_batches, staged, table
 from weftline.llm.tokens import encoder
 
 END_ID = 2
@@ -27,7 +28,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches, 1, 12_000_000):
+        for batch in slices(batches, 1, 4_000_000):
             ids, offsets = enc.encode(batch.column(1))
             data, step = ids.tobytes(), 4 * capacity
             rows = []
@@ -37,6 +38,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
 
 
@@ -115,8 +117,9 @@ def ranked(pieces: DataFrame) -> DataFrame:
 
     local = staged(pieces.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, f"{PIECES}, local long, part long"), "pieces")
     counts = local.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = counts.alias("a").join(counts.alias("b"), (F.col("a.length") == F.col("b.length")) & (F.col("b.part") < F.col("a.part"))).groupBy(F.col("a.length").alias("length"), F.col("a.part").alias("part")).agg(F.sum("b.n").alias("before"))
-    return local.join(F.broadcast(before), ["length", "part"], "left").withColumn("rank", F.col("local") + F.coalesce("before", F.lit(0))).drop("local", "part", "before")
+    # a row for each length and task: a window by length has a row for each task at most
+    before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
+    return local.join(before, ["length", "part"]).withColumn("rank", F.col("local") + F.col("before")).drop("local", "part", "before")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.arrows import slices
-from weftline.llm.common import staged, table
+from weftline.llm.common import bounded_batches, free_name, staged, table
 
 REACH = 512
 
@@ -90,34 +90,36 @@ def _spans(texts: pa.Array) -> list[list[tuple[int, int, str, int]]]:
     return [sorted(x) for x in found]
 
 
-def parts_of(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``parts``, the strong and weak parts of each text; without the text if it is not kept.
+def _marked(docs: DataFrame, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
+    """``docs`` as c0, c1, ... with ``doc`` (the id), ``text_key``, ``parts`` (strong and weak) and ``weak`` (has a weak one).
 
-    Columns of the name parts are replaced. Null and empty texts have no parts.
+    The text is left out if it is not kept. Neutral names let ``docs`` have columns of any name.
     """
-    slim = docs.drop("parts", "text_key").withColumn("text_key", F.xxhash64(text_col))
-    columns = [c for c in slim.columns if keep_text or c != text_col]
-    at = slim.columns.index(text_col)
-    schema = slim.select(*columns).withColumn("parts", F.lit(None).cast(f"array<{PART}>")).schema
+    at = docs.columns.index(text_col)
+    slim = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    slim = slim.withColumns({"doc": F.col(f"c{docs.columns.index(id_col)}"), "text_key": F.xxhash64(f"c{at}")})
+    columns = [c for c in slim.columns if keep_text or c != f"c{at}"]
+    schema = slim.select(*columns).withColumns({"parts": F.lit(None).cast(f"array<{PART}>"), "weak": F.lit(None).cast("boolean")}).schema
     kind = pa.list_(pa.struct([("start", pa.int32()), ("place", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at):
+        for batch in slices(batches, at, 2_000_000):
             found = _spans(pc.fill_null(batch.column(at).cast(pa.large_string()), ""))
             rows = [[{"start": a, "place": p, "kind": k, "end": b} for a, p, k, b in x] for x in found]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(rows, kind)], names=[*columns, "parts"])
+            weak = pa.array([any(p >= len(STRONG) for _, p, _, _ in x) for x in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(rows, kind), weak], names=[*columns, "parts", "weak"])
 
+    bounded_batches(docs.sparkSession)
     return slim.mapInArrow(work, schema)
 
 
-def linked(parts: DataFrame, id_col: str = "doc_id", reach: int = REACH) -> DataFrame:
-    """For each document (``id_col``, text_key) with any: ``links``, its weak parts whose complement is in their scope.
+def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
+    """For each document (``doc``, ``text_key``) with any: ``links``, its weak parts whose complement is in their scope.
 
     A short password or a key needs a client, an access identifier or an endpoint; a client needs a password or a key; an
     endpoint needs both an identifier and a secret. Equal rows have one result.
     """
-    who = [F.col(id_col).alias("doc"), "text_key"]
-    each = parts.where(F.exists("parts", lambda p: p["place"] >= len(STRONG))).select(*who, F.explode(F.array_distinct("parts")).alias("p")).distinct()
+    each = parts.where("weak").select("doc", "text_key", F.explode(F.array_distinct("parts")).alias("p")).distinct()
     cell = F.floor(F.col("p.start") / reach)
     each = each.select("doc", "text_key", "p", F.explode(F.array(cell, cell + 1)).alias("scope"))
     has = lambda *kinds: F.max(F.col("p.kind").isin(*kinds))
@@ -128,44 +130,55 @@ def linked(parts: DataFrame, id_col: str = "doc_id", reach: int = REACH) -> Data
     return met.where(fits).groupBy(F.col("e.doc").alias("doc"), F.col("e.text_key").alias("text_key")).agg(F.collect_set("e.p").alias("links"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with ``spans`` (strong parts and linked weak parts, by start) and ``base`` (the strong parts alone).
+def _spanned(docs: DataFrame, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
+    """``docs`` as c0, c1, ... with ``spans`` and ``base``.
 
-    Both are arrays of (start, place, kind, end) in code points, the end exclusive. Null and empty texts have empty ones;
-    null ids are scanned like any other; repeated rows each get the result of their text.
+    Texts are searched once. Only rows with a weak part are joined with their links; the rest needs no exchange.
     """
-    parts = parts_of(docs, text_col, keep_text)
-    if not keep_text:
-        parts = staged(parts, "parts")
-    links = linked(parts_of(docs.select(id_col, text_col), text_col, False) if keep_text else parts, id_col)
-    links = links.withColumnsRenamed({"doc": "_doc", "text_key": "_key"})
-    own = F.filter("parts", lambda p: p["place"] < len(STRONG))
+    marked = staged(_marked(docs, id_col, text_col, keep_text), "parts")
+    columns = [c for c in marked.columns if c not in ("doc", "text_key", "parts", "weak")]
+    links = linked(marked.select("doc", "text_key", "parts", "weak")).withColumnsRenamed({"doc": "link_doc", "text_key": "link_key"})
+    base = F.filter("parts", lambda p: p["place"] < len(STRONG))
     more = F.coalesce("links", F.array().cast(f"array<{PART}>"))
-    out = parts.join(links, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left")
-    return out.withColumn("base", own).withColumn("spans", F.array_sort(F.concat(own, more))).drop("parts", "links", "_doc", "_key", "text_key")
+    met = marked.where("weak").join(links, F.col("doc").eqNullSafe(F.col("link_doc")) & (F.col("text_key") == F.col("link_key")), "left")
+    met = met.select(*columns, F.array_sort(F.concat(base, more)).alias("spans"), base.alias("base"))
+    return marked.where("not weak").select(*columns, F.col("parts").alias("spans"), F.col("parts").alias("base")).union(met)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` (without the text if it is not kept) with ``spans`` (strong parts and linked weak ones) and ``base`` (strong).
+
+    Both are arrays of (start, place, kind, end) in code points, by start, the end exclusive. Null and empty texts have
+    empty ones; null ids are scanned like any other; repeated rows each get the result of their text; an empty table
+    gives no rows. Where ``docs`` has columns of those names, the new ones' names get an underscore more.
+    """
+    names = [c for c in docs.columns if keep_text or c != text_col]
+    return _spanned(docs, id_col, text_col, keep_text).toDF(*names, free_name("spans", names), free_name("base", names))
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of their texts replaced by ``mark``; spans that overlap or touch become one mark."""
-    scanned = scan(docs, id_col, text_col, True).drop("base")
-    columns = docs.columns
-    at, spans = columns.index(text_col), scanned.columns.index("spans")
-    scanned = scanned.select(*columns, "spans")
-    spans = len(columns)
+    """``docs`` with every span of their texts replaced by ``mark``; spans that overlap or touch become one mark.
+
+    Null and empty texts stay as they are, repeated rows each get their own text, an empty table gives no rows, and
+    other columns may have any name.
+    """
+    spanned = _spanned(docs, id_col, text_col, True).drop("base")
+    columns, at, spans = spanned.columns[:-1], docs.columns.index(text_col), len(docs.columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at):
-            texts = batch.column(at).to_pylist()
-            for i in pc.indices_nonzero(pc.greater(pc.list_value_length(batch.column(spans)), 0)).to_pylist():
+        for batch in slices(batches, at, 2_000_000):
+            found = pc.indices_nonzero(pc.greater(pc.list_value_length(batch.column(spans)), 0)).to_pylist()
+            texts = batch.column(at).to_pylist() if found else []
+            for i in found:
                 text, out, done = texts[i], [], 0
                 for p in batch.column(spans)[i].as_py():
                     if not out or p["start"] > done:
                         out += [text[done : p["start"]], mark]
                     done = max(done, p["end"])
                 texts[i] = "".join([*out, text[done:]])
-            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(spans)], names=columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column(at).type) if found and k == at else batch.column(k) for k in range(spans)], names=columns)
 
-    return scanned.mapInArrow(work, docs.schema)
+    return spanned.mapInArrow(work, spanned.drop("spans").schema).toDF(*docs.columns)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

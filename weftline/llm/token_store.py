@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.arrows import slices
-from weftline.llm.common import new_path, staged, table
+from weftline.llm.common import bounded_batches, new_path, staged, table
 from weftline.llm.tokens import encoder
 
 END_ID = 2
@@ -53,17 +53,19 @@ def borders(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     base = np.uint64(0x9E3779B97F4A7C15)
     inverse = np.uint64(pow(int(base), -1, 1 << 64))
     with np.errstate(over="ignore"):
-        down = np.full(n, inverse, dtype=np.uint64)
-        up = np.full(n, base, dtype=np.uint64)
-        down, up = np.cumprod(down), np.cumprod(up)
-        mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        mixed = ids.astype(np.uint64)
+        mixed += np.uint64(1)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * down)])
-        own = np.repeat(starts, np.diff(np.append(starts, n)))
-        low = np.maximum(np.arange(n) + 1 - WINDOW, own)
-        rolled = (sums[1:] - sums[low]) * up
-        rolled *= np.uint64(0xFF51AFD7ED558CCD)
-    return (rolled >> np.uint64(40)) % np.uint64(MEAN) == 0
+        mixed *= np.cumprod(np.full(n, inverse, dtype=np.uint64))
+        np.cumsum(mixed, out=sums[1:])
+        low = np.maximum(np.arange(1 - WINDOW, n + 1 - WINDOW), np.repeat(starts, np.diff(np.append(starts, n))))
+        mixed = sums[1:] - sums[low]
+        del low, sums
+        mixed *= np.cumprod(np.full(n, base, dtype=np.uint64))
+        mixed *= np.uint64(0xFF51AFD7ED558CCD)
+    return (mixed >> np.uint64(40)) % np.uint64(MEAN) == 0
 
 
 def cuts(allowed: np.ndarray, length: int) -> list[int]:
@@ -93,7 +95,7 @@ def _chunked(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         enc = encoder(tokenizer)
         narrow = enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         kind = "<u2" if narrow else "<u4"
-        for batch in slices(batches, 1, 8_000_000):
+        for batch in slices(batches, 1, 3_000_000):
             n = batch.num_rows
             ids, offsets = enc.encode(batch.column(1))
             ids = np.insert(ids, offsets[1:], end_id)
@@ -101,6 +103,7 @@ def _chunked(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             allowed = np.flatnonzero(borders(ids, offsets[:-1])) + 1
             edges = np.searchsorted(allowed, offsets, side="right")
             data, wide = ids.astype(kind).tobytes(), 2 if narrow else 4
+            del ids
             seen: dict[bytes, bytes] = {}
             recipes = []
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
@@ -117,6 +120,7 @@ def _chunked(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             m = len(seen)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(["chunk"] * m), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(list(seen.values()), pa.binary())], names=["key", "kind", "doc_id", "n_tokens", "chunks", "ids"])
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(work, ROWS)
 
 

@@ -19,26 +19,30 @@ RUNS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Texts in which a space follows white space; there a single space need not be a border.
 WIDE = f"[{WHITE}] "
 
+#: About the bytes that a kept piece takes besides its characters and ids.
+ENTRY = 200
+
 
 class Encoder:
-    """Encodes whole columns of texts, special strings as ordinary text.
+    """Encodes whole columns of texts, as the library's own call does with add_special_tokens=False.
 
-    What it has encoded is kept in two generations of at most ``limit`` pieces; what is still in use moves to the
-    younger one. That bounds a task's memory at any size of the corpus.
+    What it has encoded is kept in two generations of about ``limit`` bytes; what is still in use moves to the younger
+    one. That bounds a task's memory at any size of the corpus.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 60_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        t.encode_special_tokens = True
         t.model._resize_cache(0)  # pieces are kept here instead
+        #: Finds texts that hold a special string, which may be cut at it; they are encoded alone.
+        self.special = "|".join(sorted(re.escape(x.content) for x in t.get_added_tokens_decoder().values()))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.limit = limit
+        self.limit, self.held = limit, 0
         self.drops_spaces = not t.encode(" \n ", add_special_tokens=False).ids
         #: Stands between pieces that are encoded in one call; its id shows where a piece ends.
         self.between = " \x01 " if self.drops_spaces else "\n"
@@ -65,8 +69,8 @@ class Encoder:
 
     def ids_of(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces, as little-endian uint32 bytes."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
+        if self.held > self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old, new = self.young, self.old, []
         for p in pieces:
             if p not in young:
@@ -74,17 +78,28 @@ class Encoder:
                     new.append(p)
                 else:
                     young[p] = ids
+                    self.held += ENTRY + len(p) + len(ids)
         for p, ids in zip(new, self._encode(new), strict=True):
             young[p] = ids
+            self.held += ENTRY + len(p) + len(ids)
         out = [young[p] for p in pieces]
         for p in new:
             if len(p) > 64:
-                del young[p]
+                self.held -= ENTRY + len(p) + len(young.pop(p))
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts (none for null), and the n + 1 offsets at which each text's ids start."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.special and pc.any(odd := pc.match_substring_regex(texts, self.special)).as_py():
+            alone = {i: np.asarray(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype="<u4") for i in pc.indices_nonzero(odd).to_pylist()}
+            ids, at = self._plain(pc.if_else(odd, "", texts))
+            rows = [alone.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))]
+            return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
+        return self._plain(texts)
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for texts without nulls and special strings."""
         n = len(texts)
         if self.drops_spaces:
             parts, slow = pc.ascii_split_whitespace(texts), np.array([], dtype=np.int64)
