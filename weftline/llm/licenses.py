@@ -94,6 +94,10 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, MARKS, " "))
 
 
+#: So many known digests at most are sent to all tasks.
+SENT = 100_000
+
+
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """license and digest of the known texts (``shipped``, if none are given), each digest once."""
     rows = spark.createDataFrame(list(shipped() if known is None else known), "license string, text string")
@@ -104,20 +108,24 @@ def scan_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] | None = N
     """doc_id, digest (of the whole canonical text), license (known for the whole text, or null) and notices.
 
     ``notices`` are the licences that whole lines of the text name, distinct and in order, joined by commas; empty if none.
-    The known table is a parameter of fixed size, by default ``shipped``, whose digests are sent to all tasks. A null text has a null digest, an empty one the
-    digest of the empty text; neither is known. Repeated rows have one result each; other columns are not read.
+    The known table is a parameter, by default ``shipped``; a digest that stands for several licences counts as the first.
+    Its digests are sent to all tasks up to SENT of them and joined by exchange beyond. A null text has a null digest, an
+    empty one the digest of the empty text; neither is known. Repeated rows have one result each; an empty table gives no
+    rows; other columns are not read.
     """
     spark = docs.sparkSession
-    digests = F.broadcast(known_digests(spark, known))
-    lines = F.filter(F.split(text_col, "\n"), lambda x: F.length(x) > 0)
-    facts = docs.select(F.col(id_col).alias("doc_id"), F.md5(canonical(F.col(text_col))).alias("digest"), F.transform(lines, lambda x: F.md5(canonical(x))).alias("lines"))
+    digests = known_digests(spark, known)
+    if len(shipped() if known is None else known) <= SENT:
+        digests = F.broadcast(digests)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0)
     # only lines that are known leave the task
-    named = facts.select("doc_id", "digest", F.explode("lines").alias("line")).join(digests.select(F.col("digest").alias("line"), "license"), "line")
-    named = named.groupBy("doc_id", "digest").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    named = named.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "notices")
-    whole = facts.drop("lines").join(digests, "digest", "left")
-    out = whole.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
-    return out.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
+    named = rows.select("doc_id", "text_key", F.explode(F.transform(lines, lambda x: F.md5(canonical(x)))).alias("line")).join(digests.select(F.col("digest").alias("line"), "license"), "line")
+    named = named.groupBy("doc_id", "text_key").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    whole = rows.select("doc_id", "text_key", F.md5(canonical(F.col("text"))).alias("digest")).join(digests, "digest", "left").alias("a")
+    named = named.alias("b")
+    out = whole.join(named, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key")), "left")
+    return out.select("a.doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,9 +22,10 @@ from weftline.llm.common import staged, table
 #: Pivots (a bounded sample), about how many vectors a tree has, a node's children, a leaf's vectors, a block's queries.
 PIVOTS, TREE, FANOUT, PAGE, QUERIES = 32, 4096, 12, 64, 8192
 SCALE = 1024
-#: Bounds are computed in doubles; what is this near to a bound is looked at.
-SLACK = 1e-6
-LIMIT = 1 << 26
+#: Bounds are computed in doubles, whose errors grow with the vectors' lengths; what is this near to a bound is looked at.
+SLACK = 4e-12
+#: Scores below this in absolute value fit a long, whatever their sums pass through.
+WIDE = 2.0**62
 #: Sorts below -vec_id of every vec_id, so that a vector with the same score goes before it.
 NONE = -(1 << 63)
 
@@ -32,15 +33,17 @@ NODE = "pivot int, salt int, node int, parent int, leaf boolean, centre binary,
 
 
 def quantized(rows: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
-    """vec_id and the components floor(scale * x) as int64 bytes; without vectors that are null, hold nulls or non-finite
-    components, or components of LIMIT and more, whose products would not fit 64 bits."""
+    """vec_id and the components floor(scale * x) as int64 bytes; without vectors that are null or hold null or non-finite
+    components. A component that a long can't hold raises."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, data = [], []
             for i, v in enumerate(batch.column(1)):
                 x = np.array([np.nan if y is None else y for y in v.as_py()] if v.is_valid and v.values.null_count else v.values.to_numpy(zero_copy_only=False) if v.is_valid else [np.nan], dtype=np.float64)
-                if np.isfinite(x).all() and (np.abs(x) < LIMIT / scale).all():
+                if np.isfinite(x).all():
+                    if (np.abs(x) >= 2.0**63 / scale).any():
+                        raise OverflowError(f"a component of vector {batch.column(0)[i]} is too large")
                     keep.append(i)
                     data.append(np.floor(x * scale).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(data, pa.binary())], names=["vec_id", "data"])
@@ -62,6 +65,16 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a - b) ** 2).sum(axis=-1))
 
 
+def reach(base: float, score: float) -> float:
+    """How far from the query a vector with at least this score can be. ``base`` is the sum of both squared lengths."""
+    return np.sqrt(max(base - 2.0 * score, 0.0) + SLACK * base) + SLACK * np.sqrt(base)
+
+
+def products(vectors: np.ndarray, query: np.ndarray, base: float) -> np.ndarray:
+    """Exact inner products; as Python's integers where they may not fit a long."""
+    return vectors @ query if base < WIDE else vectors.astype(object) @ query.astype(object)
+
+
 def pages(points: np.ndarray, ids: np.ndarray, ints: np.ndarray, centre: np.ndarray) -> list[tuple]:
     """The nodes of one tree, bulk loaded: (node, parent, leaf, centre, radius, parent_dist, ids, vectors, dists)."""
     out: list[tuple] = []
@@ -100,15 +113,12 @@ def walk(nodes: dict, children: dict, query: np.ndarray, own: int, k: int, norm2
     q = np.append(query.astype(np.float64), 0.0)
     base = float(q @ q) + norm2
 
-    def reach() -> float:
-        return np.sqrt(max(base - 2 * found[-1][0], 0.0)) * (1 + SLACK) + SLACK if len(found) >= k else np.inf
-
     root = nodes[0]
     d = float(_far(q, root["centre"]))
     heap = [(d - root["radius"], 0, d)]
     while heap:
         bound, node, d = heapq.heappop(heap)
-        limit = reach()
+        limit = reach(base, found[-1][0]) if len(found) >= k else np.inf
         if bound > limit:
             break
         x = nodes[node]
@@ -123,7 +133,7 @@ def walk(nodes: dict, children: dict, query: np.ndarray, own: int, k: int, norm2
         near = np.abs(d - x["dists"]) <= limit
         near &= x["ids"] != own
         ids = x["ids"][near]
-        scores = x["vectors"][near] @ query
+        scores = products(x["vectors"][near], query, base)
         if len(found) >= k:
             good = scores >= found[-1][0]
             ids, scores = ids[good], scores[good]
@@ -150,6 +160,8 @@ def _searched(index: DataFrame, routed: DataFrame, blocks: int, k: int, dims: in
                 known = [(r["least"], NONE)] * k if r["least"] is not None else []
                 for score, minus in walk(nodes, children, query, r["query_id"], k, norm2, known):
                     if minus != NONE:
+                        if not -(1 << 63) <= score < 1 << 63:
+                            raise OverflowError(f"the score of vectors {r['query_id']} and {-minus} does not fit a long")
                         rows.append((r["query_id"], -minus, score))
         cols = list(zip(*rows, strict=True)) or [()] * 3
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
@@ -194,7 +206,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
 
     Ties go to the smaller id; rows with a query's own id are no candidates for it; a query with fewer candidates gets all.
     Rows that repeat are candidates as often; queries that repeat an id count once. Null ids and vectors that
-    ``quantized`` leaves out take no part; shorter vectors are filled up with zeros; empty tables give no rows.
+    ``quantized`` leaves out take no part; shorter vectors are filled up with zeros; empty tables give no rows; other
+    columns are not read. A score among the k largest that does not fit a long raises.
     """
     spark = rows.sparkSession
     vectors = staged(quantized(rows, id_col, vector_col), "vectors")
@@ -234,7 +247,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
                     if first:
                         chosen = [(home, 0)]
                     else:
-                        limit = np.inf if r["least"] is None else np.sqrt(max(float(q @ q) + norm2 - 2 * r["least"], 0.0)) * (1 + SLACK) + SLACK
+                        limit = np.inf if r["least"] is None else reach(float(q @ q) + norm2, r["least"])
                         chosen = [(j, s) for j in np.flatnonzero(d - wide <= limit).tolist() for s in range(salts[names[j]]) if (j, s) != (home, 0)]
                     out += [(r["query_id"], r["data"], r["block"], r["least"], names[j], s) for j, s in chosen]
                 cols = list(zip(*out, strict=True)) or [()] * 6

@@ -24,8 +24,6 @@ from weftline.llm.common import bounded_batches, staged, table
 #: 7,000; with one allowed error a chunk of 4 is matched with probability 0.82, all 8 fail once in a million.
 SYMBOLS, BITS, CHUNKS, DISTANCE = 32, 16, 8, 15
 SEED = 20_231
-#: How often buckets are compared with one hub before the rest is joined.
-HUB_ROUNDS = 3
 #: Open buckets of at most so many members are joined as they are, larger ones on what tells them from the hub.
 SMALL = 16
 #: About how many signatures tell how rare symbols are.
@@ -127,23 +125,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) for every node of the links (a, b).
+    """node, component (the smallest node reachable) for every node of the links (a, b), which are read in every round.
 
-    Labels move to neighbours by a join and a minimum, and along labels by pointer jumping, so that chains take a
-    logarithmic number of rounds. Every round is a written table.
+    In a round, a node and its label both learn the least label next to the node, and a node learns its label's label, so
+    that long chains take few rounds. Every round is one written table.
     """
-    links = links.select("a", "b")
-    both = staged(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        met = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        met = staged(met, "labels")
-        jump = met.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = staged(met.join(jump, "component").select("node", "old", F.least("component", "next").alias("component")), "labels")
-        if new.where("old != component").isEmpty():
-            return new.select("node", "component")
+        label = lambda node, to: labels.select(F.col("node").alias(node), F.col("component").alias(to))  # noqa: B023, E731
+        near = both.join(label("b", "to"), "b").groupBy("a").agg(F.min("to").alias("to")).join(label("a", "own"), "a")
+        told = near.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "to"), F.struct(F.col("own").alias("node"), "to"))).alias("x")).select("x.node", "x.to")
+        jump = labels.join(label("component", "to"), "component").select("node", "to")
+        new = told.union(jump).groupBy("node").agg(F.min("to").alias("component")).join(label("node", "old"), "node")
+        new = staged(new.select("node", "old", F.least("old", "component").alias("component")), "labels")
         labels = new.select("node", "component")
+        if new.where("old != component").isEmpty():
+            return labels
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -277,7 +275,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, distance:
     Documents of equal sets stand as one representative. Every pair of representatives whose signatures differ in at
     most ``distance`` symbols is a candidate. In each bucket, members are first compared with the hub, the member that
     meets most others; members that are linked already need no more comparison, since only components are asked for.
-    In the end, members of different components are compared where they share a symbol or a shingle that their hub
+    Then members of different components are compared where they share a symbol or a shingle that their hub
     lacks and that a link would need (``_placed``, ``_differences``), so that no link between components is lost and no
     bucket is multiplied by itself.
     Links are confirmed on the full sets.
@@ -299,26 +297,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, distance:
     rows = staged(rows.join(pop, "rep").select("key", "rep", "pop"), "buckets")
     # an id with several sets links them, and so do equal sets
     equal = whole.join(classes.select("set_hash", "rep"), "set_hash").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a != b").distinct()
-    links, open_ = staged(equal, "equal"), rows
-    for _ in range(HUB_ROUNDS):
-        best = open_.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("back"))).alias("hub")).select("key", (-F.col("hub.back")).alias("a"))
-        pairs = staged(open_.join(best, "key").where("a != rep").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        links = staged(links.union(_confirmed(pairs, sets, percent)), "links")
-        # next, the hub comes from those that this one did not reach
-        labelled = staged(_labelled(rows, links), "open")
-        hubs = labelled.join(best, ["key"]).where("a = rep").select("key", F.col("component").alias("reached"))
-        open_ = labelled.join(hubs, "key").where("component != reached").select("key", "rep", "pop", "component")
-        if open_.isEmpty():
-            break
-    else:
-        labelled = None
-    if not rows.isEmpty():
-        labelled = staged(_labelled(rows, links), "open")
-        if not labelled.isEmpty():
-            pairs = staged(_open_pairs(labelled, classes, sets, percent, distance), "pairs")
-            links = staged(links.union(_confirmed(_close(pairs, classes, distance), sets, percent)), "links")
+    best = rows.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("back"))).alias("hub")).select("key", (-F.col("hub.back")).alias("a"))
+    pairs = rows.join(best, "key").where("a != rep").select("a", F.col("rep").alias("b")).distinct()
+    links = staged(equal.union(_confirmed(pairs, sets, percent)), "links")
+    labelled = staged(_labelled(rows, links), "open")
+    if not labelled.isEmpty():
+        pairs = staged(_open_pairs(labelled, classes, sets, percent, distance), "pairs")
+        links = staged(links.union(_confirmed(_close(pairs, classes, distance), sets, percent)), "links")
     comp = components(links)
     found = facts.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     out = found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

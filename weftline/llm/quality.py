@@ -17,14 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.arrows import slices
-from weftline.llm.common import crc_mod, table
+from weftline.llm.common import bounded_batches, crc_mod, free_name, table
 
 #: Bytes a filter sees (WIDTH) and moves on by (STRIDE), and the bytes of half a chunk; chunks overlap by half.
 WIDTH, STRIDE, HALF = 8, 4, 256
 EMBED, FILTERS, HIDDEN = 8, 32, 24
-#: At most about this many labelled documents are learned from, of each at most LEARN_HALVES half chunks in a row.
-SAMPLE, LEARN_HALVES = 6_000, 32
+#: About how many labelled documents are learned from at most, and about how many bytes they have in all; each is whole.
+SAMPLE, SAMPLE_BYTES = 6_000, 16_000_000
 EPOCHS, BATCH, RATE, SEED = 12, 32, 0.006, 5
+#: The half chunks that are worked on at a time.
+BLOCK = 1024
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,23 +57,36 @@ class Network:
     def weights(self) -> list[np.ndarray]:
         return [self.embed, self.conv, self.bias, self.hidden, self.hidden_bias, self.out, self.out_bias]
 
-    def windows(self, data: np.ndarray, halves: np.ndarray) -> np.ndarray:
-        """Filter values (windows x FILTERS) before the activation; a text's last window sees zero bytes beyond its end."""
-        steps = self.embed[data].reshape(-1, STRIDE * EMBED)
-        values = steps @ self.conv[: STRIDE * EMBED]
-        after = steps @ self.conv[STRIDE * EMBED :]
+    def half_maxima(self, data: np.ndarray, halves: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Each filter's highest value in each half chunk before the activation and, if asked for, the window that has it.
+
+        A text's last window sees zero bytes beyond its end. The work goes on in blocks, so that a very long text takes
+        little more memory than its own bytes.
+        """
+        n, per = len(data) // HALF, HALF // STRIDE
+        low, high = self.conv[: STRIDE * EMBED], self.conv[STRIDE * EMBED :]
+        beyond = np.tile(self.embed[0], STRIDE) @ high
         ends = last_windows(halves)
-        values[:-1] += after[1:]
-        values[ends[:-1]] -= after[ends[:-1] + 1]
-        values[ends] += np.tile(self.embed[0], STRIDE) @ self.conv[STRIDE * EMBED :]
-        return values + self.bias
+        best, won = np.empty((n, FILTERS), np.float32), np.empty((n, FILTERS), np.int64) if places else None
+        for a in range(0, n, BLOCK):
+            b = min(n, a + BLOCK)
+            steps = self.embed[data[a * HALF : b * HALF + STRIDE]].reshape(-1, STRIDE * EMBED)
+            if b == n:
+                steps = np.concatenate([steps, np.zeros((1, STRIDE * EMBED), np.float32)])
+            values, after = steps[:-1] @ low + self.bias, steps[1:] @ high
+            after[ends[np.searchsorted(ends, a * per) : np.searchsorted(ends, b * per)] - a * per] = beyond
+            values = (values + after).reshape(-1, per, FILTERS)
+            if places:
+                at = values.argmax(axis=1)
+                best[a:b] = np.take_along_axis(values, at[:, None, :], axis=1)[:, 0, :]
+                won[a:b] = at + np.arange(a, b)[:, None] * per
+            else:
+                best[a:b] = values.max(axis=1)
+        return best, won
 
     def chunks(self, data: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pooled filters of each chunk, the number of chunks of each text, and the windows that won."""
-        values = self.windows(data, halves).reshape(-1, HALF // STRIDE, FILTERS)
-        won = values.argmax(axis=1)
-        best = np.take_along_axis(values, won[:, None, :], axis=1)[:, 0, :]
-        won += np.arange(len(best))[:, None] * (HALF // STRIDE)
+        best, won = self.half_maxima(data, halves, True)
         first, second, count = chunk_halves(halves)
         right = best[second] > best[first]
         return np.maximum(np.where(right, best[second], best[first]), 0), count, np.where(right, won[second], won[first])
@@ -80,9 +95,9 @@ class Network:
         if not texts:
             return np.zeros(0)
         data, halves = padded(texts)
-        values = self.windows(data, halves).reshape(-1, HALF // STRIDE, FILTERS).max(axis=1)
+        best, _ = self.half_maxima(data, halves)
         first, second, count = chunk_halves(halves)
-        units = np.maximum(np.maximum(np.maximum(values[first], values[second]), 0) @ self.hidden + self.hidden_bias, 0)
+        units = np.maximum(np.maximum(np.maximum(best[first], best[second]), 0) @ self.hidden + self.hidden_bias, 0)
         pooled = np.maximum.reduceat(units, np.cumsum(count) - count)
         return 1 / (1 + np.exp(-(pooled @ self.out + self.out_bias).astype(np.float64)))
 
@@ -132,40 +147,44 @@ def chunk_halves(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = SEED) -> Network:
-    """Adam over mini-batches. Without rows the network stays as drawn."""
+    """Adam over mini-batches of whole texts. Without rows the network stays as drawn."""
     net, draw = Network.fresh(seed), np.random.default_rng(seed)
     if not texts:
         return net
     share = float(np.clip(labels.mean(), 0.01, 0.99))
     net.out_bias[0] = np.log(share / (1 - share))
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net.weights()]
-    step, most = 0, LEARN_HALVES * HALF
+    step = 0
     total = EPOCHS * -(-len(texts) // BATCH)
     for _ in range(EPOCHS):
         order = draw.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             own = order[i : i + BATCH]
-            cut = [texts[j] if len(texts[j]) <= most else texts[j][(a := int(draw.integers(len(texts[j]) - most))) : a + most] for j in own]
             step += 1
             rate = RATE * (1 - step / (total + 1))
-            for w, d, (m, v) in zip(net.weights(), net.gradients(cut, labels[own]), moments, strict=True):
+            for w, d, (m, v) in zip(net.weights(), net.gradients([texts[j] for j in own], labels[own]), moments, strict=True):
                 m += 0.1 * (d - m)
                 v += 0.01 * (d * d - v)
                 w -= (rate * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(w.dtype)
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """A network fitted on about ``sample`` rows of ``labels`` (doc_id, quality), drawn by a hash, with their texts.
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """A network fitted on rows of ``labels`` (doc_id, quality), drawn by a hash, with their whole texts.
 
-    The sample is bounded, so it may be sent to all tasks and to the driver. Null labels and texts are left out.
+    About ``sample`` rows are drawn, or fewer, so that about ``sample_bytes`` of text come together; that bounds what the
+    driver learns from at any size of the corpus. Null labels and texts are left out, repeated rows count as often as
+    they occur, and without rows the network stays as drawn.
     """
     known = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
     n = known.count()
+    draw = lambda share: F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000)) < share * 1_000_000
     share = min(1.0, sample / n) if n else 0.0
-    drawn = known.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where("text is not null")
-    rows = rows.select(F.xxhash64("text").alias("place"), "quality", F.substring(F.col("text").cast("binary"), 1, 400_000).alias("text")).collect()
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.col("text").isNotNull() & draw(share))
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    share *= min(1.0, sample_bytes / max(size, 1))
+    rows = texts.where(draw(share)).join(F.broadcast(known.where(draw(share))), "doc_id")
+    rows = rows.select(F.xxhash64("text").alias("place"), "quality", "text").collect()
     rows.sort(key=lambda r: (r["place"], r["quality"]))
     return fit([bytes(r["text"]) for r in rows], np.array([float(r["quality"] > 0) for r in rows], dtype=np.float32))
 
@@ -173,17 +192,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
 def score(docs: DataFrame, net: Network, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (the probability of label 1) and ``predicted`` (1 if the score reaches ``threshold``).
 
-    Every byte of every text counts; a null text scores as an empty one. Columns of those names are replaced.
+    Every byte of every text counts; a null text scores as an empty one; equal texts score alike in whatever rows; an
+    empty table gives no rows. Where ``docs`` has columns of those names, the new ones' names get an underscore more.
     """
-    slim = docs.drop("score", "predicted")
-    at = slim.columns.index(text_col)
+    bounded_batches(docs.sparkSession)
+    at, width = docs.columns.index(text_col), len(docs.columns)
+    slim = docs.toDF(*(f"c{k}" for k in range(width)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at, 1_000_000):
             p = net.predict(pc.fill_null(batch.column(at).cast(pa.large_binary()), b"").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return slim.mapInArrow(work, slim.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)
+    scored = slim.mapInArrow(work, slim.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)
+    return scored.toDF(*docs.columns, free_name("score", docs.columns), free_name("predicted", docs.columns))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,11 +11,11 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACES, staged, table, words_of
+from weftline.llm.common import SPACES, free_name, staged, table, words_of
 
 WINDOW = 5
-#: About how many rows the rules are measured on.
-SAMPLE = 1_000
+#: About how many rows the rules are measured on, how many characters each rule reads, and how often a row at most.
+SAMPLE, WORK, MOST_TIMES = 1_000, 64_000_000, 500
 
 #: Rule -> when a row passes; on the columns of ``measured`` and the text.
 RULES = {
@@ -57,56 +57,99 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < WINDOW + 1, F.lit(0).cast("long")).otherwise(F.transform(F.array(hashes), judged)[0])
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words and base_failed."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """Adds MEASURES to rows with a column ``text`` and none of these names."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     spaces = "".join(map(chr, [0x20, *range(0x09, 0x0E)]))
     blank = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACES}]"))
-    out = docs.withColumns({"_words": words_of(F.col(text_col)), "_lines": blank})
+    out = rows.withColumns({"words": words_of(F.col("text")), "lines": blank})
     size = lambda c: F.size(c).cast("long")
     out = out.withColumns(
         {
-            "n_words": size("_words"),
+            "n_words": size("words"),
             "word_chars": F.length(F.translate(text, spaces, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-            "n_lines": size("_lines"),
-            "n_dup_lines": size("_lines") - size(F.array_distinct("_lines")),
-            "n_repeat_words": repeated_words(F.col("_words")),
+            "n_lines": size("lines"),
+            "n_dup_lines": size("lines") - size(F.array_distinct("lines")),
+            "n_repeat_words": repeated_words(F.col("words")),
         }
-    ).drop("_words", "_lines")
+    ).drop("words", "lines")
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def cascade_order(docs: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE) -> list[str]:
-    """The rules' names by rejections per second on about ``sample`` rows of ``docs``, which are measured and written first."""
+def _neutral(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` as c0, c1, ... with ``text``, so that its own columns may have any name."""
+    slim = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return slim.withColumn("text", F.col(f"c{docs.columns.index(text_col)}"))
+
+
+def _named(out: DataFrame, docs: DataFrame, added: tuple[str, ...]) -> DataFrame:
+    return out.select(*(f"c{k}" for k in range(len(docs.columns))), *added).toDF(*docs.columns, *(free_name(x, docs.columns) for x in added))
+
+
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words and base_failed.
+
+    Where ``docs`` has columns of those names, the new ones' names get an underscore more.
+    """
+    return _named(_measured(_neutral(docs, text_col)), docs, MEASURES)
+
+
+def rule_figures(docs: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE, text_col: str = "text") -> dict[str, tuple[float, float]]:
+    """Each rule's cost (seconds a row) and selectivity (share of rows rejected) on a sample of ``docs``.
+
+    About ``sample`` rows are drawn, and those that pass the base, which alone reach the rules, are written. A rule is run
+    on every row so often that about WORK characters are read, in one job, so that what a job costs besides is small; a
+    job that runs no rule as often is taken off.
+    """
     n = docs.count()
-    drawn = docs.sample(fraction=min(1.0, sample / n), seed=7) if n else docs
-    drawn = staged(measured(staged(drawn, "rule-sample")), "rule-sample")
+    drawn = docs.select(F.col(text_col).alias("text"))
+    drawn = drawn.sample(fraction=min(1.0, sample / n), seed=7) if n else drawn
+    drawn = staged(_measured(staged(drawn, "rule-sample")).where("not base_failed"), "rule-sample")
+    rows, size = drawn.agg(F.count("*"), F.sum(F.length("text"))).first()
+    if not rows:
+        return {name: (1.0, 0.0) for name in rules}
+    times = max(1, min(WORK // max(size, 1), MOST_TIMES))
+    often = drawn.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(times))))
 
     def timed(passes: str) -> tuple[float, int]:
         best, rejected = float("inf"), 0
         for _ in range(2):
             began = time.perf_counter()
-            rejected = drawn.agg(F.sum(F.when(F.expr(passes), 0).otherwise(1)).alias("n")).first()["n"] or 0
+            rejected = often.agg(F.sum(F.when(F.expr(passes), 0).otherwise(1))).first()[0]
             best = min(best, time.perf_counter() - began)
         return best, rejected
 
-    idle = timed("text is null or true")[0]
-    figures = {name: timed(passes) for name, passes in rules.items()}
-    return sorted(rules, key=lambda name: (-figures[name][1] / max(figures[name][0] - idle, 1e-3), name))
+    idle = timed("text is null or again > 0")[0]
+    out = {}
+    for name, passes in rules.items():
+        took, rejected = timed(passes)
+        out[name] = (max(took - idle, 1e-3) / (rows * times), rejected / (rows * times))
+    return out
+
+
+def cascade_order(docs: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE, text_col: str = "text") -> list[str]:
+    """The rules' names by rejections per cost (``rule_figures``); those that reject nothing come last, the cheap first."""
+    figures = rule_figures(docs, rules, sample, text_col)
+    return sorted(rules, key=lambda name: (-figures[name][1] / figures[name][0], figures[name][0], name))
 
 
-def judge(docs: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE, order: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE, order: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns of ``measured``, ``failed_rule`` (the first that rejects the row, or null) and ``kept``.
 
     A row that fails the base or any rule is not kept; null and empty texts fail the base. Rules that a row's values make
-    null count as failed.
+    null count as failed. Rules that tie stand by cost and then name; repeated rows each get the result of their text; an
+    empty table gives no rows. Where ``docs`` has columns of those names, the new ones' names get an underscore more.
     """
-    order = order or cascade_order(docs.select("text"), rules, sample)
+    order = order or cascade_order(docs, rules, sample, text_col)
     first = F.when(F.col("base_failed"), F.lit("base"))
     for name in order:
         first = first.when(~F.coalesce(F.expr(rules[name]), F.lit(False)), F.lit(name))
-    return measured(docs).withColumn("failed_rule", first).withColumn("kept", F.col("failed_rule").isNull())
+    out = _measured(_neutral(docs, text_col)).withColumn("failed_rule", first).withColumn("kept", F.col("failed_rule").isNull())
+    return _named(out, docs, (*MEASURES, "failed_rule", "kept"))
 
 
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
