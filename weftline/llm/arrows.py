@@ -12,7 +12,7 @@ import xxhash
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``limit`` bytes of column ``text``, or of one row where a text is longer."""
     for batch in batches:
         if not batch.num_rows:
@@ -26,6 +26,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = 4_000_000)
             whole = stop - start == batch.num_rows
             yield batch if whole else batch.take(pa.array(np.arange(start, stop)))
             start = stop
+    # workers outlive their tasks, and so would what they have freed
+    pa.default_memory_pool().release_unused()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ class Encoder:
     one. That bounds a task's memory at any size of the corpus.
     """
 
-    def __init__(self, path: str, limit: int = 60_000_000):
+    def __init__(self, path: str, limit: int = 24_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
