@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from weftline.plans import registry
 
-HEADLINE = ("potts_energy", "local_fields", "icm_sweep", "site_patterns", "pruning_weighted", "jc_distance_matrix", "transition_mle", "autocorrelation", "gmm_e_step", "negbin_loglik", "kmeans_cost", "syndrome")
+HEADLINE = ("potts_energy", "local_fields", "icm_sweep", "site_patterns", "pruning_4taxa", "pruning_weighted", "sankoff_score", "jc_distance_matrix", "hmm_forward_2state", "transition_mle", "autocorrelation", "gmm_e_step", "negbin_loglik", "kmeans_cost", "syndrome")
 
 
 def main() -> None:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from weftline.operators.segments import offsets
 from weftline.sources.shared import cut
 
 
@@ -50,29 +50,25 @@ def icm_sweep(edges: DataFrame, labels: DataFrame, width: int) -> DataFrame:
     A site takes the label with the largest field, ties to the smallest label, and stays where its own label's field is as
     large. Sites of one colour have no edges with each other, so that all of them can move at once.
     """
+    near = both_ways(edges)
     for colour in (0, 1):
-        fields = local_fields(edges, labels)
-        best = fields.groupBy("site").agg(F.max(F.struct("field", (-F.col("label")).alias("back"))).alias("top"))
-        own = fields.select("site", "label", F.col("field").alias("own"))
-        moved = labels.join(own, ["site", "label"], "left").join(best, "site", "left")
         turn = F.pmod(F.floor(F.col("site") / width) + F.pmod(F.col("site"), F.lit(width)), F.lit(2)) == colour
-        better = turn & F.col("top").isNotNull() & (F.col("top.field") > F.coalesce("own", F.lit(0.0)))
-        labels = moved.select("site", F.when(better, -F.col("top.back")).otherwise(F.col("label")).alias("label"))
+        # only the sites whose turn it is, and one aggregate over their fields
+        fields = near.where(turn).join(labels.select(F.col("site").alias("other"), "label"), "other").groupBy("site", "label").agg(F.sum("w").alias("field"))
+        own = labels.select("site", F.col("label").alias("old"))
+        best = fields.join(own, "site").groupBy("site").agg(F.max(F.struct("field", (-F.col("label")).alias("back"))).alias("top"), F.max(F.when(F.col("label") == F.col("old"), F.col("field"))).alias("own"))
+        better = F.col("top").isNotNull() & (F.col("top.field") > F.coalesce("own", F.lit(0.0)))
+        labels = labels.join(best, "site", "left").select("site", F.when(better, -F.col("top.back")).otherwise(F.col("label")).alias("label"))
     return labels
 
 
 def degrees(edges: DataFrame) -> DataFrame:
     """site, degree and start: the offset of the site's row in a compressed adjacency.
 
-    Degrees are summed per site first. Running sums go by ranges of 65,536 sites: each range's own sum, then the sums of
-    the ranges before it, so that no single task orders all sites.
+    Degrees are summed per site first; their running sum goes by range partitions, so that no task orders all sites.
     """
     count = both_ways(edges.withColumn("w", F.lit(1.0)) if "w" not in edges.columns else edges).groupBy("site").agg(F.count("*").alias("degree"))
-    count = count.withColumn("part", F.expr("site div 65536"))
-    inside = Window.partitionBy("part").orderBy("site").rowsBetween(Window.unboundedPreceding, -1)
-    parts = count.groupBy("part").agg(F.sum("degree").alias("total"))
-    before = parts.alias("x").join(parts.alias("y"), F.col("y.part") < F.col("x.part")).groupBy(F.col("x.part").alias("part")).agg(F.sum("y.total").alias("before"))
-    return count.withColumn("own", F.coalesce(F.sum("degree").over(inside), F.lit(0))).join(before, "part", "left").select("site", "degree", (F.col("own") + F.coalesce("before", F.lit(0))).alias("start"))
+    return offsets(count, "site", "degree").select("site", "degree", "start")
 
 
 def bond_components(edges: DataFrame) -> DataFrame:

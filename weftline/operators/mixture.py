@@ -66,17 +66,46 @@ def em_step(codes: DataFrame, params: list[tuple[float, float, float]]) -> DataF
     return codes.agg(*sums, F.sum(F.col("n") * (F.col("top") + F.log("total"))).alias("log_likelihood"))
 
 
-def fit_gaussians(codes: DataFrame, params: list[tuple[float, float, float]], steps: int) -> tuple[list[tuple[float, float, float]], list[float]]:
-    """``steps`` EM steps; the driver sees three sums a component and step. Returns the parameters and log likelihoods."""
+def fit_gaussians(codes: DataFrame, params: list[tuple[float, float, float]], steps: int, floor: float = 1e-12) -> tuple[list[tuple[float, float, float]], list[float]]:
+    """``steps`` EM steps; the driver sees three sums a component and step. Returns the parameters and log likelihoods.
+
+    Variances stay at ``floor`` or above. A component that nothing belongs to keeps its mean and variance and the least
+    weight that a double can hold, so that it is never the only one.
+    """
     trace = []
     for _ in range(steps):
         r = em_step(codes, params).first()
+        if r["log_likelihood"] is None:  # no rows
+            break
         n = sum(r[f"n{k}"] for k in range(len(params)))
         trace.append(r["log_likelihood"])
-        params = [(r[f"n{k}"] / n, r[f"s{k}"] / r[f"n{k}"], r[f"q{k}"] / r[f"n{k}"] - (r[f"s{k}"] / r[f"n{k}"]) ** 2) for k in range(len(params))]
+        new = []
+        for k, (_, mean, var) in enumerate(params):
+            own = r[f"n{k}"]
+            if own > 0:
+                mean = r[f"s{k}"] / own
+                var = max(r[f"q{k}"] / own - mean**2, floor)
+            new.append((max(own / n, 5e-324), mean, var))
+        params = new
     return params, trace
 
 
+def merge_criterion(codes: DataFrame, params: list[tuple[float, float, float]]) -> DataFrame:
+    """i < j, cosine: how alike two components share out the observations; null where one has none.
+
+    One scan and one aggregate of the products of all pairs of components.
+    """
+    x, k = F.col("value").cast("double"), len(params)
+    logs = [F.lit(math.log(w)) + gaussian_log(x, m, v) for w, m, v in params]
+    rows = codes.select("n", *(c.alias(f"l{j}") for j, c in enumerate(logs)))
+    rows = rows.withColumn("top", F.greatest(*(f"l{j}" for j in range(k))) if k > 1 else F.col("l0"))
+    rows = rows.withColumn("total", sum((F.exp(F.col(f"l{j}") - F.col("top")) for j in range(k)), F.lit(0.0)))
+    rows = rows.select("n", *((F.exp(F.col(f"l{j}") - F.col("top")) / F.col("total")).alias(f"r{j}") for j in range(k)))
+    sums = rows.agg(*(F.sum(F.col("n") * F.col(f"r{i}") * F.col(f"r{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)))
+    told = [F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), F.try_divide(F.col(f"s{i}_{j}"), F.sqrt(F.col(f"s{i}_{i}") * F.col(f"s{j}_{j}"))).alias("cosine")) for i in range(k) for j in range(i + 1, k)]
+    return sums.select(F.explode(F.array(*told)).alias("e")).select("e.i", "e.j", "e.cosine")
+
+
 def clustering_cost(rows: DataFrame, vector: str, centres: list[list[float]]) -> DataFrame:
     """cluster, n, cost: rows by their nearest centre (ties to the first) and the sum of their squared distances."""
     far = [F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d) for c in centres]

@@ -6,60 +6,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.operators.segments import carried, numbered, offsets, placed, shifted
+
 
 def ragged_offsets(rows: DataFrame, segment: str) -> DataFrame:
     """segment, length, start: where each segment begins in the flat order of segments."""
     lengths = rows.groupBy(F.col(segment).alias("segment")).agg(F.count("*").alias("length"))
-    parts = lengths.withColumn("part", F.expr("segment div 65536"))
-    inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    total = parts.groupBy("part").agg(F.sum("length").alias("total"))
-    before = total.alias("x").join(total.alias("y"), F.col("y.part") < F.col("x.part")).groupBy(F.col("x.part").alias("part")).agg(F.sum("y.total").alias("before"))
-    return parts.withColumn("own", F.coalesce(F.sum("length").over(inside), F.lit(0))).join(before, "part", "left").select("segment", "length", (F.col("own") + F.coalesce("before", F.lit(0))).alias("start"))
+    return offsets(lengths, "segment", "length").select("segment", "length", "start")
 
 
 def transition_mle(rows: DataFrame, segment: str, order: list[str], state: str) -> DataFrame:
     """source, target, n, p: the counts and shares of steps from one state to the next within segments."""
-    step = Window.partitionBy(segment).orderBy(*order)
-    pairs = rows.select(F.col(state).alias("source"), F.lead(state).over(step).alias("target")).where("target is not null")
+    laid = numbered(rows.select(F.col(segment).alias("segment"), F.col(state).alias("source"), *order), "segment", order)
+    pairs = laid.join(shifted(laid, "target", "source", 1), ["segment", "k"]).where("target is not null")
     counts = pairs.groupBy("source", "target").agg(F.count("*").alias("n"))
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("source")))
 
 
 def coarsen(rows: DataFrame, segment: str, order: list[str], value: Column, factor: int) -> DataFrame:
     """segment, bin, n, total: sums over ``factor`` positions in a row; the last bin of a segment may be short."""
-    place = Window.partitionBy(segment).orderBy(*order)
-    binned = rows.select(F.col(segment).alias("segment"), F.floor((F.row_number().over(place) - 1) / factor).alias("bin"), value.alias("v"))
-    return binned.groupBy("segment", "bin").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    laid = numbered(rows.select(F.col(segment).alias("segment"), value.alias("v"), *order), "segment", order)
+    return laid.groupBy("segment", F.floor(F.col("k") / factor).alias("bin")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
 def returns_to_go(rows: DataFrame, segment: str, order: list[str], reward: str) -> DataFrame:
     """``rows`` with ``to_go``: the rewards of a segment from each row on."""
-    rest = Window.partitionBy(segment).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn("to_go", F.sum(reward).over(rest))
+    return carried(placed(rows, segment, order), segment, order, F.col(reward), "sum", "to_go", reverse=True).drop("_part")
 
 
 def best_so_far(rows: DataFrame, chain: str, order: list[str], value: str) -> DataFrame:
     """``rows`` with ``best``: the least value of a chain up to each row."""
-    return rows.withColumn("best", F.min(value).over(Window.partitionBy(chain).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return carried(placed(rows, chain, order), chain, order, F.col(value), "min", "best").drop("_part")
 
 
 def autocorrelation(rows: DataFrame, chain: str, order: list[str], value: str, lags: int) -> DataFrame:
     """chain, lag, rho for lags 1 to ``lags``: the share of the chain's variance that values at that lag have in common."""
-    whole = Window.partitionBy(chain)
-    d = rows.select(F.col(chain).alias("chain"), (F.col(value) - F.avg(value).over(whole)).alias("d"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
-    place = Window.partitionBy("chain").orderBy(*(f"_o{i}" for i in range(len(order))))
-    d = d.select("chain", "d", *(F.lead("d", k).over(place).alias(f"l{k}") for k in range(1, lags + 1)))
-    sums = d.groupBy("chain").agg(F.sum(F.col("d") * F.col("d")).alias("v"), *(F.sum(F.col("d") * F.col(f"l{k}")).alias(f"c{k}") for k in range(1, lags + 1)))
-    stack = ", ".join(f"{k}, c{k}" for k in range(1, lags + 1))
-    return sums.selectExpr("chain", "v", f"stack({lags}, {stack}) as (lag, c)").where("v > 0").select("chain", "lag", (F.col("c") / F.col("v")).alias("rho"))
+    laid = numbered(rows.select(F.col(chain).alias("segment"), F.col(value).alias("v"), *order), "segment", order)
+    mean = laid.groupBy("segment").agg(F.avg("v").alias("mean"))
+    d = laid.join(mean, "segment").select("segment", "k", (F.col("v") - F.col("mean")).alias("d"))
+    # each deviation goes to the places whose lag it is; a place sums what meets there
+    sent = d.select("segment", F.explode(F.array(*(F.struct((F.col("k") + g).alias("k"), F.lit(g).alias("g"), F.col("d").alias("d")) for g in range(lags + 1)))).alias("e"))
+    at = lambda g: F.sum(F.when(F.col("e.g") == g, F.col("e.d")))
+    met = sent.groupBy("segment", "e.k").agg(*(at(g).alias(f"d{g}") for g in range(lags + 1)))
+    sums = met.groupBy("segment").agg(*(F.sum(F.col("d0") * F.col(f"d{g}")).alias(f"c{g}") for g in range(lags + 1)))
+    stack = ", ".join(f"{g}, c{g}" for g in range(1, lags + 1))
+    return sums.selectExpr("segment as chain", "c0 as v", f"stack({lags}, {stack}) as (lag, c)").where("v > 0 and c is not null").select("chain", "lag", (F.col("c") / F.col("v")).alias("rho"))
 
 
 def split_rhat(rows: DataFrame, chain: str, order: list[str], value: str) -> DataFrame:
     """One row: rhat over the halves of all chains (an odd middle row is left out), and the number of halves."""
-    place, whole = Window.partitionBy(chain).orderBy(*order), Window.partitionBy(chain)
-    r = rows.select(F.col(chain).alias("chain"), F.col(value).alias("v"), F.row_number().over(place).alias("k"), F.count("*").over(whole).alias("n"))
+    r = numbered(rows.select(F.col(chain).alias("segment"), F.col(value).alias("v"), *order), "segment", order)
+    r = r.join(r.groupBy("segment").agg(F.count("*").alias("n")), "segment")
     half = F.expr("n div 2")
-    r = r.withColumn("half", F.when(F.col("k") <= half, 0).when(F.col("k") > F.col("n") - half, 1)).where("half is not null")
-    parts = r.groupBy("chain", "half").agg(F.avg("v").alias("m"), F.var_samp("v").alias("s"), F.count("*").alias("n"))
+    r = r.withColumn("half", F.when(F.col("k") < half, 0).when(F.col("k") >= F.col("n") - half, 1)).where("half is not null")
+    parts = r.groupBy("segment", "half").agg(F.avg("v").alias("m"), F.var_samp("v").alias("s"), F.count("*").alias("n"))
     out = parts.agg(F.avg("s").alias("w"), F.var_samp("m").alias("b"), F.avg("n").alias("n"), F.count("*").alias("halves"))
     return out.select("halves", F.sqrt((F.col("n") - 1) / F.col("n") + F.col("b") / F.col("w")).alias("rhat"))

@@ -1,11 +1,63 @@
-"""Operators on four-taxon trees and alignments: pattern compression, pruning, parsimony, distances."""
+"""Operators on trees and alignments: pattern compression, pruning, parsimony, distances, splits, spectra.
+
+A tree is a model parameter: a list of (node, parent, length), the root's parent being None. Its leaves are columns of the
+sites, which hold states from 0 to k - 1.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.columns import jc_distance, jc_other, jc_same
+from weftline.functions.columns import jc_distance
+from weftline.sources.shared import cut
+
+Tree = list[tuple[str, str | None, float]]
+Matrix = list[list[float]]
+
+
+def children_of(tree: Tree) -> dict[str, list[str]]:
+    """The children of each inner node, nodes in postorder."""
+    below: dict[str | None, list[str]] = {}
+    for node, parent, _ in tree:
+        below.setdefault(parent, []).append(node)
+    if len(below.get(None, [])) != 1:
+        raise ValueError("a tree has one root")
+    order, stack = [], list(below[None])
+    while stack:
+        order.append(node := stack.pop())
+        stack += below.get(node, [])
+    if len(order) != len(tree):
+        raise ValueError("every node hangs from the root")
+    return {node: below[node] for node in reversed(order) if node in below}
+
+
+def jc_matrix(t: float, k: int = 4) -> Matrix:
+    """Jukes-Cantor transition probabilities after branch length ``t``."""
+    e = math.exp(-t * k / (k - 1))
+    return [[1 / k + (k - 1) / k * e if i == j else (1 - e) / k for j in range(k)] for i in range(k)]
+
+
+def gtr_matrix(exchange: list[float], pi: list[float]) -> Callable[[float], Matrix]:
+    """Transition probabilities of the reversible model with one change per unit of length on average.
+
+    ``exchange`` holds the upper triangle by rows. The rates are symmetric in the square roots of ``pi``, so that one
+    decomposition serves all lengths.
+    """
+    import numpy as np
+
+    root = np.sqrt(np.array(pi))
+    rates = np.zeros((len(pi), len(pi)))
+    rates[np.triu_indices(len(pi), 1)] = exchange
+    rates = (rates + rates.T) * np.array(pi)[None, :]
+    np.fill_diagonal(rates, -rates.sum(axis=1))
+    rates /= -(np.array(pi) * np.diag(rates)).sum()
+    values, vectors = np.linalg.eigh(root[:, None] * rates / root[None, :])
+    return lambda t: np.clip(vectors / root[:, None] @ np.diag(np.exp(values * t)) @ (vectors.T * root[None, :]), 0, None).tolist()
 
 
 def site_patterns(rows: DataFrame, columns: list[str], first: Column) -> DataFrame:
@@ -26,45 +78,130 @@ def distance_matrix(rows: DataFrame, taxa: list[str], k: int = 4) -> DataFrame:
     return shares.selectExpr(f"stack({len(pairs)}, {stack}) as (a, b, p)").select("a", "b", "p", jc_distance(F.col("p"), k).alias("distance"))
 
 
-def pruning_log_likelihood(patterns: DataFrame, branches: dict[str, float], inner: float, k: int = 4) -> DataFrame:
-    """One row: n_patterns, n_sites and the log likelihood of ((a,b),(c,d)) under Jukes-Cantor.
+def pruning_log_likelihood(sites: DataFrame, tree: Tree, k: int = 4, matrix: Callable[[float], Matrix] | None = None, pi: list[float] | None = None, weight: str | None = "weight") -> DataFrame:
+    """One row: n_patterns, n_sites and the log likelihood of any tree by pruning; ``matrix`` is Jukes-Cantor by default.
 
-    The sums over inner states are unrolled into the projection of each pattern: no join, one pass, one aggregate.
+    A projection for each inner node holds its k partial likelihoods, the largest scaled to 1: one pass over the patterns,
+    no join, one aggregate. A null state says nothing: any state may stand there. Sites that are not compressed have no
+    ``weight``. Without sites the sums are null.
     """
+    matrix = matrix or (lambda t: jc_matrix(t, k))
+    step, below = {node: matrix(t) for node, _, t in tree}, children_of(tree)
+    rows = sites.select("*", F.lit(0.0).alias("_scale"))
+
+    def from_child(child: str, s: int) -> Column:
+        if child in below:
+            return reduce(lambda a, b: a + b, (F.lit(step[child][s][r]) * F.col(f"_{child}_{r}") for r in range(k)))
+        return F.coalesce(F.get(F.array(*map(F.lit, step[child][s])), F.col(child).cast("int")), F.lit(1.0))
+
+    for node, kids in below.items():
+        raw = [reduce(lambda a, b: a * b, (from_child(c, s) for c in kids)).alias(f"_{node}_{s}") for s in range(k)]
+        rows = rows.select("*", *raw).withColumn("_top", F.greatest(*(f"_{node}_{s}" for s in range(k))))
+        rows = rows.withColumns({f"_{node}_{s}": F.when(F.col("_top") > 0, F.col(f"_{node}_{s}") / F.col("_top")).otherwise(0.0) for s in range(k)} | {"_scale": F.when(F.col("_top") > 0, F.col("_scale") + F.log("_top")).otherwise(float("-inf"))})
+    root = list(below)[-1]
+    total = reduce(lambda a, b: a + b, (F.lit((pi or [1 / k] * k)[s]) * F.col(f"_{root}_{s}") for s in range(k)))
+    n = F.col(weight) if weight else F.lit(1)
+    rows = rows.select(n.alias("n"), F.when(total > 0, F.col("_scale") + F.log(total)).otherwise(float("-inf")).alias("ll"))
+    return rows.agg(F.count("*").alias("n_patterns"), F.sum("n").cast("long").alias("n_sites"), F.sum(F.col("n") * F.col("ll")).alias("log_likelihood"))
+
+
+def fitch_score(patterns: DataFrame, tree: Tree, weight: str = "weight") -> DataFrame:
+    """One row: the parsimony score of a binary tree, by the intersections and unions of state sets as bit masks.
+
+    A null state is any state.
+    """
+    below = children_of(tree)
+    leaf = lambda c: F.coalesce(F.expr(f"shiftleft(1L, cast(`{c}` as int))"), F.lit(-1).cast("long"))
+    rows = patterns.select("*", F.lit(0).cast("long").alias("_cost"))
+    for node, kids in below.items():
+        if len(kids) != 2:
+            raise ValueError(f"{node} does not have two children")
+        x, y = (F.col(f"_{c}") if c in below else leaf(c) for c in kids)
+        both = x.bitwiseAND(y)
+        rows = rows.withColumns({f"_{node}": F.when(both != 0, both).otherwise(x.bitwiseOR(y)), "_cost": F.col("_cost") + F.when(both == 0, 1).otherwise(0)})
+    return rows.agg(F.sum(F.col(weight) * F.col("_cost")).alias("score"))
 
-    def edge(t: float, parent: int, child: Column | int) -> Column:
-        same, other = jc_same(F.lit(t), k), jc_other(F.lit(t), k)
-        return F.when(F.lit(parent) == child, same).otherwise(other)
-
-    def pair(x: str, y: str, s: int) -> Column:
-        return edge(branches[x], s, F.col(x)) * edge(branches[y], s, F.col(y))
 
-    right = {s: pair("c", "d", s) for s in range(k)}
-    total = F.lit(0.0)
-    for s in range(k):
-        over = F.lit(0.0)
-        for r in range(k):
-            over = over + edge(inner, s, F.lit(r)) * right[r]
-        total = total + F.lit(1.0 / k) * pair("a", "b", s) * over
-    return patterns.agg(F.count("*").alias("n_patterns"), F.sum("weight").alias("n_sites"), F.sum(F.col("weight") * F.log(total)).alias("log_likelihood"))
+def sankoff_score(patterns: DataFrame, tree: Tree, cost: Matrix, weight: str = "weight") -> DataFrame:
+    """One row: the least total cost of changes on any tree, where a change from i to j costs ``cost[i][j]``.
 
+    The min-plus form of pruning: a projection for each inner node holds the least cost below it for each of its states.
+    A null state is any state.
+    """
+    k, below = len(cost), children_of(tree)
+    rows = patterns
 
-def fitch_score(patterns: DataFrame) -> DataFrame:
-    """One row: the parsimony score of ((a,b),(c,d)), by the intersections and unions of state sets as bit masks."""
-    mask = {x: F.expr(f"shiftleft(1, cast({x} as int))") for x in "abcd"}
+    def least(child: str, s: int) -> Column:
+        if child in below:
+            return F.least(*(F.lit(float(cost[s][r])) + F.col(f"_{child}_{r}") for r in range(k)))
+        return F.coalesce(F.get(F.array(*(F.lit(float(x)) for x in cost[s])), F.col(child).cast("int")), F.lit(float(min(cost[s]))))
 
-    def join(x: Column, y: Column) -> tuple[Column, Column]:
-        both = x.bitwiseAND(y)
-        return F.when(both != 0, both).otherwise(x.bitwiseOR(y)), F.when(both == 0, 1).otherwise(0)
+    for node, kids in below.items():
+        rows = rows.select("*", *(reduce(lambda a, b: a + b, (least(c, s) for c in kids)).alias(f"_{node}_{s}") for s in range(k)))
+    root = list(below)[-1]
+    return rows.agg(F.sum(F.col(weight) * F.least(*(f"_{root}_{s}" for s in range(k)))).alias("score"))
 
-    left, n1 = join(mask["a"], mask["b"])
-    right, n2 = join(mask["c"], mask["d"])
-    _, n3 = join(left, right)
-    return patterns.agg(F.sum(F.col("weight") * (n1 + n2 + n3)).alias("score"))
 
-
-def split_support(patterns: DataFrame) -> DataFrame:
+def split_support(patterns: DataFrame, taxa: list[str], weight: str = "weight") -> DataFrame:
     """split, n: the sites that support each of the three ways to part four taxa in pairs."""
+    a, b, c, d = taxa
     two = lambda x, y, z, w: (F.col(x) == F.col(y)) & (F.col(z) == F.col(w)) & (F.col(x) != F.col(z))
-    split = F.when(two("a", "b", "c", "d"), "ab|cd").when(two("a", "c", "b", "d"), "ac|bd").when(two("a", "d", "b", "c"), "ad|bc")
-    return patterns.withColumn("split", split).where("split is not null").groupBy("split").agg(F.sum("weight").alias("n"))
+    split = F.when(two(a, b, c, d), f"{a}{b}|{c}{d}").when(two(a, c, b, d), f"{a}{c}|{b}{d}").when(two(a, d, b, c), f"{a}{d}|{b}{c}")
+    return patterns.withColumn("split", split).where("split is not null").groupBy("split").agg(F.sum(weight).alias("n"))
+
+
+def pattern_ratio(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: n_patterns, n_sites and ratio, the sites that one pattern stands for on average."""
+    counts = rows.groupBy(*columns).agg(F.count("*").alias("n"))
+    return counts.agg(F.count("*").alias("n_patterns"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_sites"), F.avg("n").alias("ratio"))
+
+
+def robinson_foulds(splits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, distance, normalised: the splits that one tree of a pair has and the other lacks, and their share.
+
+    ``splits`` are (tree, mask) and ``pairs`` (a, b). Only shared splits are joined: |A - B| + |B - A| = |A| + |B| - 2 |A and B|.
+    Trees without splits have none; the share is null where neither has one.
+    """
+    splits = splits.select("tree", "mask").distinct()
+    size = splits.groupBy("tree").agg(F.count("*").alias("n"))
+    mine = pairs.select("a", "b").distinct().join(splits.select(F.col("tree").alias("a"), "mask"), "a")
+    both = mine.join(splits.select(F.col("tree").alias("b"), "mask"), ["b", "mask"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("both"))
+    met = pairs.join(both, ["a", "b"], "left").join(size.select(F.col("tree").alias("a"), F.col("n").alias("na")), "a", "left").join(size.select(F.col("tree").alias("b"), F.col("n").alias("nb")), "b", "left")
+    n = F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0))
+    distance = n - 2 * F.coalesce("both", F.lit(0))
+    return met.select("a", "b", distance.alias("distance"), F.when(n > 0, distance / n).alias("normalised"))
+
+
+def path_distances(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, distance: the length of the path between the nodes of each pair, null if they are in different trees.
+
+    ``nodes`` are (node, parent, length). The ancestors of the nodes that are asked for are found by doubling the steps: an
+    ancestor at 2 n steps is one at n steps from one at n steps, so that deep trees take few rounds. The path turns at the
+    common ancestor that is nearest.
+    """
+    hop = cut(nodes.where("parent is not null").select(F.col("node").alias("at"), F.col("parent").alias("to"), F.col("length").alias("d")))
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    above = cut(asked.select("node", F.col("node").alias("anc"), F.lit(0.0).alias("d")))
+    while not hop.isEmpty():
+        up = above.join(hop.select(F.col("at").alias("anc"), "to", F.col("d").alias("more")), "anc").select("node", F.col("to").alias("anc"), (F.col("d") + F.col("more")).alias("d"))
+        above = cut(above.union(up))
+        hop = cut(hop.alias("x").join(hop.alias("y"), F.col("x.to") == F.col("y.at")).select("x.at", "y.to", (F.col("x.d") + F.col("y.d")).alias("d")))
+    x = above.select(F.col("node").alias("a"), "anc", F.col("d").alias("da"))
+    y = above.select(F.col("node").alias("b"), "anc", F.col("d").alias("db"))
+    met = pairs.select("a", "b").distinct().join(x, "a").join(y, ["b", "anc"]).groupBy("a", "b").agg(F.min(F.col("da") + F.col("db")).alias("distance"))
+    return pairs.select("a", "b").join(met, ["a", "b"], "left")
+
+
+def hadamard(spectrum: DataFrame, bits: int) -> DataFrame:
+    """i, x: the Walsh-Hadamard transform of (i, x) over 2 ** bits places; absent places are 0.
+
+    The butterfly of each bit sends every value to two places, so that rows stay linear in the spectrum.
+    """
+    rows = spectrum.select(F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
+    for b in range(bits):
+        bit = 1 << b
+        high = F.col("i").bitwiseAND(F.lit(bit)) != 0
+        low = F.when(high, F.col("i") - bit).otherwise(F.col("i"))
+        both = F.array(F.struct(low.alias("i"), F.col("x").alias("x")), F.struct((low + bit).alias("i"), F.when(high, -F.col("x")).otherwise(F.col("x")).alias("x")))
+        rows = rows.select(F.explode(both).alias("e")).groupBy("e.i").agg(F.sum("e.x").alias("x"))
+    return rows

@@ -36,7 +36,48 @@ def _e_step(spark, sf):  # noqa: ANN001, ANN202
 _L = _components(START)
 _E_STEP = f"WITH c AS (SELECT CAST(l_extendedprice AS DOUBLE) AS x, count(*) AS n FROM lineitem GROUP BY ALL), l AS (SELECT n, {', '.join(f'{e} AS l{k}' for k, e in enumerate(_L))} FROM c), t AS (SELECT *, greatest(l0, l1, l2) AS m FROM l), z AS (SELECT *, exp(l0 - m) + exp(l1 - m) + exp(l2 - m) AS s FROM t) SELECT {', '.join(f'round(sum(n * exp(l{k} - m) / s), 4) AS n{k}' for k in range(3))}, round(sum(n * (m + ln(s))), 3) AS log_likelihood FROM z"
 _LISTS = "[" + ", ".join("[" + ", ".join(f"{x}::DOUBLE" for x in c) + "]" for c in CENTRES) + "]"
+STEPS = 3
+
+
+def _fitted(spark, sf):  # noqa: ANN001, ANN202
+    params, _ = mixture.fit_gaussians(_coded(spark, sf, "l_extendedprice"), START, STEPS)
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(params)], "k long, weight double, mean double, var double")
+    return rows.select("k", F.round("weight", 6).alias("weight"), F.round("mean", 3).alias("mean"), F.round(F.col("var") / 1e6, 3).alias("var_millions"))
+
+
+def _em_sql() -> str:
+    q = range(len(START))
+    out = [f"c AS (SELECT CAST(l_extendedprice AS DOUBLE) AS x, count(*) AS n FROM lineitem GROUP BY ALL), t0 AS (SELECT {', '.join(f'{w}::DOUBLE AS w{k}, {m!r}::DOUBLE AS m{k}, {v!r}::DOUBLE AS v{k}' for k, (w, m, v) in enumerate(START))})"]
+    for t in range(STEPS):
+        logs = ", ".join(f"ln(w{k}) - 0.5 * (ln(2 * pi() * v{k}) + (x - m{k}) * (x - m{k}) / v{k}) AS l{k}" for k in q)
+        top = f"greatest({', '.join(f'l{k}' for k in q)})"
+        total = " + ".join(f"exp(l{k} - top)" for k in q)
+        out.append(f"r{t} AS (SELECT n, x, {', '.join(f'n * exp(l{k} - top) / ({total}) AS r{k}' for k in q)} FROM (SELECT *, {top} AS top FROM (SELECT n, x, {logs} FROM c CROSS JOIN t{t})))")
+        out.append(f"t{t + 1} AS (SELECT {', '.join(f'sum(r{k}) / sum(n) AS w{k}, sum(r{k} * x) / sum(r{k}) AS m{k}, sum(r{k} * x * x) / sum(r{k}) - pow(sum(r{k} * x) / sum(r{k}), 2) AS v{k}' for k in q)} FROM r{t})")
+    return f"WITH {', '.join(out)} " + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, round(w{k}, 6) AS weight, round(m{k}, 3) AS mean, round(v{k} / 1e6, 3) AS var_millions FROM t{STEPS}" for k in q)
+
+
+_POST = f"WITH c AS (SELECT CAST(l_extendedprice AS DOUBLE) AS x, count(*) AS n FROM lineitem GROUP BY ALL), l AS (SELECT n, {', '.join(f'exp({e}) AS l{k}' for k, e in enumerate(_L))} FROM c), r AS (SELECT n, l0 / (l0 + l1 + l2) AS r0, l1 / (l0 + l1 + l2) AS r1, l2 / (l0 + l1 + l2) AS r2 FROM l)"
+
+
+def _min_sum(spark, sf):  # noqa: ANN001, ANN202
+    checks = table(spark, sf, "lineitem").select(F.col("l_partkey").cast("long").alias("chk"), F.col("l_suppkey").cast("long").alias("bit")).distinct()
+    llr = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("bit"), (F.col("s_acctbal").cast("double") / 1000).alias("llr"))
+    return codes.min_sum_pass(checks, llr).withColumn("total", F.round("total", 6))
+
+
 QUERIES = {
+    "gmm_em_3": (_fitted, _em_sql()),
+    "merge_criterion": (
+        lambda s, d: mixture.merge_criterion(_coded(s, d, "l_extendedprice"), START).withColumn("cosine", F.round("cosine", 9)),
+        _POST + " " + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS i, CAST({j} AS BIGINT) AS j, round(sum(n * r{i} * r{j}) / sqrt(sum(n * r{i} * r{i}) * sum(n * r{j} * r{j})), 9) AS cosine FROM r" for i in range(3) for j in range(i + 1, 3)),
+    ),
+    "min_sum_1": (
+        _min_sum,
+        "WITH c AS (SELECT DISTINCT CAST(l_partkey AS BIGINT) AS chk, CAST(l_suppkey AS BIGINT) AS bit FROM lineitem), m AS (SELECT chk, bit, CAST(s_acctbal AS DOUBLE) / 1000 AS llr FROM c JOIN supplier ON s_suppkey = bit), "
+        "x AS (SELECT a.chk, a.bit, any_value(a.llr) AS llr, coalesce(min(abs(b.llr)), 0) AS size, count(*) FILTER (b.llr < 0) AS neg FROM m a LEFT JOIN m b ON b.chk = a.chk AND b.bit <> a.bit GROUP BY a.chk, a.bit) "
+        "SELECT bit, round(any_value(llr) + sum(CASE WHEN neg % 2 = 1 THEN -size ELSE size END), 6) AS total FROM x GROUP BY bit",
+    ),
     "coded_counts": (lambda s, d: _coded(s, d), "SELECT CAST(l_quantity AS DOUBLE) AS value, count(*) AS n FROM lineitem GROUP BY ALL"),
     "poisson_loglik": (_summed(lambda x: mixture.poisson_log(x, 25.5, MOST)), _sql("x * ln(25.5::DOUBLE) - 25.5 - lgamma(x + 1)")),
     "binomial_loglik": (_summed(lambda x: mixture.binomial_log(x, 60, 0.4)), _sql("lgamma(61::DOUBLE) - lgamma(x + 1) - lgamma(61 - x) + x * ln(0.4::DOUBLE) + (60 - x) * ln(0.6::DOUBLE)")),

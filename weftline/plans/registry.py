@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES: tuple[str, ...] = ("graphs", "sequences", "trees", "mixtures", "comparisons")
+MODULES: tuple[str, ...] = ("graphs", "sequences", "trees", "mixtures", "comparisons", "models")
 
 
 def _all() -> dict[str, tuple[Callable, str | None]]:

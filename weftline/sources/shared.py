@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to ``spark.checkpoint.dir``; to a temporary folder only where that is unset, as in tests."""
+    """``df`` checkpointed to ``spark.checkpoint.dir``; to a temporary folder only where that is unset in local mode."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint()
