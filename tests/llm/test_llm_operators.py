@@ -213,6 +213,49 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_a_source_of_few_words(spark):
+    rows = [(i, "word " * 400, "a") for i in range(3)] + [(9, "only five words in here", "b"), (10, None, "c")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["source"]: r["target"] for r in got}["b"] == 15.0
+    assert [r["taken"] for r in got if r["doc_id"] == 9] == [15] and [r["taken"] for r in got if r["doc_id"] == 10] == [0]
+
+
+def test_mix_query_on_whole_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r[0]: r for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()}
+    got = mixing.op4_mixing(spark, sf).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.op4_mixing(spark, sf).collect()))
+    size = {d: len(WORD.findall(r[1] or "")) for d, r in docs.items()}
+    names = sorted({r[2] for r in docs.values()}, key=lambda x: (x is None, x or ""))
+    whole = {s: sum(size[d] for d, r in docs.items() if r[2] == s) for s in names}
+    goal, free, left = {}, set(names), float(sum(whole.values()))
+    while free:  # share by weight; what is above three times a source's size goes to the others
+        weight = {s: 1.0 + names.index(s) % 3 for s in free}
+        share = {s: left * w / sum(weight.values()) for s, w in weight.items()}
+        over = {s for s in free if share[s] > 3 * whole[s]}
+        goal |= {s: 3.0 * whole[s] for s in over} or share
+        free, left = (free - over, left - sum(3.0 * whole[s] for s in over)) if over else (set(), 0.0)
+    taken = dict.fromkeys(names, 0)
+    for r in got:
+        s = docs[r["doc_id"]][2]
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], whole[s]) and abs(r["target"] - goal[s]) < 1e-6 * max(goal[s], 1)
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    assert len(got) == len(docs) and all(abs(taken[s] - goal[s]) <= 64 for s in names)
+
+
+def test_language_query_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    known = {r[0]: r[1:] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()}
+    rows = language.op2_language(spark, sf).collect()
+    assert len(rows) == len(known)
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert held and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    judged = [r["lang_pred"] == known[r["doc_id"]][1] for r in held if known[r["doc_id"]][1] and any(c.isalpha() for c in known[r["doc_id"]][0] or "")]
+    assert sum(judged) >= 0.95 * len(judged)
+    assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in known[r["doc_id"]][0] or "")) and 0 <= r["score"] <= 1 for r in rows)
+
+
 def test_language(docs, empty):
     profiles = language.learn_profiles(docs)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, profiles).collect()}
@@ -227,6 +270,49 @@ def test_quality_scores_do_not_depend_on_batches():
     assert np.allclose(together, [net.predict([t])[0] for t in texts], atol=1e-5) and ((together >= 0) & (together <= 1)).all()
 
 
+def test_quality_network_against_plain_convolution():
+    net = quality.Network.fresh(7)
+    net.out_bias[0] = 0.3
+    width, stride, half = quality.WIDTH, quality.STRIDE, quality.HALF
+    for text in (b"", b"a", b"abc def " * 40, bytes(range(256)) * 5, b"x" * (half - stride), "ü".encode() * half * (quality.BLOCK + 1)):
+        data = text.ljust(((len(text) + stride) // half + 1) * half, b"\0")
+        halves = []
+        for a in range(0, len(data), half):
+            seen = [net.embed[list(data[i : i + width].ljust(width, b"\0"))].ravel() @ net.conv + net.bias for i in range(a, a + half, stride)]
+            halves.append(np.max(seen, axis=0))
+        chunks = [np.maximum(x, y) for x, y in itertools.pairwise(halves)] or halves
+        units = np.max([np.maximum(np.maximum(c, 0) @ net.hidden + net.hidden_bias, 0) for c in chunks], axis=0)
+        assert abs(net.predict([text])[0] - 1 / (1 + np.exp(-(units @ net.out + net.out_bias[0])))) < 1e-4
+
+
+def test_quality_learns_from_whole_texts(spark):
+    """Only what stands beyond a million bytes tells the classes apart in the long texts."""
+    tail = {1: b" good words here", 0: b" ####!!!!####"}
+    texts, labels = [b"plain text " * 3 + tail[k % 2] * 8 for k in range(60)], np.array([float(k % 2) for k in range(60)], np.float32)
+    long = [b"plain text " * 100_000 + tail[k % 2] * 8 for k in range(2)]
+    net = quality.fit(texts + long, np.append(labels, [0.0, 1.0]).astype(np.float32))
+    p = net.predict(long)
+    assert p[1] > 0.5 > p[0]
+    docs = spark.createDataFrame([(k, t.decode(), "x", 5) for k, t in enumerate(texts)], "doc_id long, text string, score string, predicted int")
+    known = spark.createDataFrame([(k, int(v)) for k, v in enumerate(labels)], "doc_id long, quality int")
+    out = quality.score(docs, quality.learn(docs, known))
+    assert out.columns == ["doc_id", "text", "score", "predicted", "score_", "predicted_"]
+    assert {r["doc_id"]: (r["score"], r["predicted"], r["predicted_"]) for r in out.collect()} == {k: ("x", 5, int(v)) for k, v in enumerate(labels)}
+    assert quality.score(docs.limit(0), net).count() == 0
+
+
+def test_cascade_order_follows_planted_costs(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(60))) for k in range(200)], "doc_id long, text string")
+    dear = " + ".join(f"length(regexp_replace(text, '[a-m{k}]+', ''))" for k in range(8))
+    rules = {"dear": f"{dear} < 0", "cheap": "n_words < 0", "never": "n_words > 0"}
+    figures = quality_rules.rule_figures(docs, rules)
+    assert figures["dear"][0] > 5 * figures["cheap"][0] and figures["dear"][1] == figures["cheap"][1] == 1.0 and figures["never"][1] == 0.0
+    assert quality_rules.cascade_order(docs, rules) == ["cheap", "dear", "never"]
+    clash = docs.withColumns({"n_words": F.lit("mine"), "words": F.lit(1), "kept": F.lit(2)})
+    out = quality_rules.judge(clash, order=["symbols"])
+    assert out.columns[:5] == clash.columns and {"n_words_", "kept_"} <= set(out.columns) and out.first()["n_words"] == "mine"
+
+
 def test_quality_gradients_follow_the_loss():
     net, texts, labels = quality.Network.fresh(3), [b"abc def ghi" * 80, b"!!## " * 90], np.array([1.0, 0.0], np.float32)
 
@@ -254,6 +340,19 @@ def test_top_k(spark):
     assert metric_tree.top_k(df.limit(0), df).count() == 0
 
 
+def test_top_k_of_large_vectors(spark):
+    draw = np.random.default_rng(6)
+    vectors = [(i, (70_000 * draw.normal(size=8)).tolist()) for i in range(200)] + [(200 + i, (1e9 * draw.normal(size=8)).tolist()) for i in range(3)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    for rows in (vectors[:200], [(i, [x / 1e4 for x in v]) for i, v in vectors]):
+        whole = {i: [int(x) for x in np.floor(np.array(v) * 1024)] for i, v in rows}
+        part = spark.createDataFrame(rows, df.schema)
+        want = [(q, k + 1, i, s) for q in whole if q % 20 == 0 for k, (s, i) in enumerate(sorted(((sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q), key=lambda x: (-x[0], x[1]))[:10])]
+        assert sorted(map(tuple, metric_tree.top_k(part, part.where("vec_id % 20 = 0"), tree=40).collect())) == sorted(want)
+    with pytest.raises(Exception, match="does not fit a long"):
+        metric_tree.top_k(df, df.where("vec_id >= 200")).collect()
+
+
 def test_top_k_ties_in_other_trees(spark):
     draw = np.random.default_rng(5)
     ids = [int(i) for i in draw.permutation(240)]
@@ -347,6 +446,12 @@ def test_licenses(docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licence_lines_belong_to_their_own_row(spark):
+    rows = [(1, "Licensed under CC BY 4.0.\nhello"), (1, "Licensed under CC BY 4.0. hello"), (None, "Licensed under CC BY 4.0.\nhello")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "notices").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, "CC-BY-4.0"), (1, ""), (None, "CC-BY-4.0")], key=repr)
+
+
 def test_licenses_as_whole_texts_and_spdx_lines(spark):
     texts = {}
     for name, text in licenses.shipped():

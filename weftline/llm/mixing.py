@@ -65,7 +65,7 @@ def _plan(totals: list[tuple], weights: tuple[float, ...], block: int, shard: in
     totals = sorted(totals, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
     sizes = [n for _, n in totals]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
-    blocks = sainte_lague(goal, round(sum(goal) / block), [REPEATS * n // block for n in sizes])
+    blocks = sainte_lague(goal, round(sum(goal) / block), [-(-REPEATS * n // block) for n in sizes])
     return [(s, n, g, b, max(1, -(-n // shard))) for (s, n), g, b in zip(totals, goal, blocks, strict=True)]
 
 
@@ -87,13 +87,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: in
     rows = _plan(totals, weights, block, shard)
     schema = T.StructType([T.StructField("_source", docs.schema[source_col].dataType), *(T.StructField(c, t) for c, t in (("source_size", T.LongType()), ("target", T.DoubleType()), ("blocks", T.LongType()), ("shards", T.LongType())))])
     plan = spark.createDataFrame(rows, schema)
-    known = sized.join(F.broadcast(plan) if len(rows) <= 10_000 else plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    known = sized.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     known = known.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), "shards"))
 
     def quotas(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("shard")
         sizes = [int(x) for x in group["words"]]
-        own = sainte_lague([float(x) for x in sizes], int(group["blocks"].iloc[0]), [REPEATS * n // block for n in sizes])
+        own = sainte_lague([float(x) for x in sizes], int(group["blocks"].iloc[0]), [-(-REPEATS * n // block) for n in sizes])
         return pd.DataFrame({"_s": group["source"], "_shard": group["shard"], "words": sizes, "quota": own})
 
     counts = known.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
@@ -103,7 +103,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: in
     order = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = met.withColumn("stop", F.sum("size").over(order)).withColumn("begin", F.col("stop") - F.col("size"))
     # whole rounds, then rest words: k whole blocks of the shard's own n, and part of the block after the last of these
-    met = met.withColumn("rounds", F.when(F.col("words") > 0, F.expr(f"quota * {block} div words")).otherwise(0)).withColumn("rest", F.col("quota") * block - F.col("rounds") * F.col("words"))
+    # the last block of a shard that is taken REPEATS times may be short
+    met = met.withColumn("want", F.least(F.col("quota") * block, REPEATS * F.col("words")))
+    met = met.withColumn("rounds", F.when(F.col("words") > 0, F.expr("want div words")).otherwise(0)).withColumn("rest", F.col("want") - F.col("rounds") * F.col("words"))
     met = met.withColumn("k", F.expr(f"rest div {block}")).withColumn("n", F.greatest(F.expr(f"words div {block}"), F.lit(1)))
     # block b is chosen if (b * step + shift) mod n < k: a seeded walk over all blocks, as step has no factor of n
     met = met.withColumn("step", _coprime(F.col("n"))).withColumn("shift", F.pmod(F.xxhash64(F.lit(seed + 2), "shard"), "n"))
@@ -134,28 +136,30 @@ def _coprime(n):  # noqa: ANN001, ANN202
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The documents of the mix: a row for each whole round of a document, and one with the words of the last round.
 
-    The columns are those of ``docs``; a last row's text keeps the white space before its words, and n_chars, where
-    there is such a column, counts its characters.
+    The columns are those of ``docs``, of any names; a last row's text keeps the white space before its words, and n_chars,
+    where there is such a column, counts its characters. Texts without words and empty tables give no rows; of equal rows,
+    which one is repeated is not fixed.
     """
     id_col, source_col, text_col = (str(options.get(k, d)) for k, d in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text")))
     seed = options.get("seed", SEED)
-    taken = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("draw").alias("_draw"), F.col("source").alias("_source"), "size", "taken", "ranges")
+    taken = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("id"), "draw", "source", "size", "taken", "ranges")
     # equal rows stand in equal numbers on both sides; numbering them keeps the join one to one
-    number = Window.partitionBy("_id", "_draw", "_source").orderBy(F.desc("taken"))
-    taken = taken.withColumn("_n", F.row_number().over(number))
-    own = Window.partitionBy("_id", "_draw", "_source").orderBy(F.lit(1))
-    keyed = docs.withColumns({"_id": F.col(id_col), "_draw": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), "_source": F.col(source_col)}).withColumn("_n", F.row_number().over(own))
-    a, b = keyed.alias("a"), taken.alias("b")
-    same = (F.col("a._draw") == F.col("b._draw")) & (F.col("a._n") == F.col("b._n")) & F.col("a._id").eqNullSafe(F.col("b._id")) & F.col("a._source").eqNullSafe(F.col("b._source"))
-    met = a.join(b, same).select(*(F.col(f"a.{c}") for c in docs.columns), "b.size", "b.taken", "b.ranges")
+    own = lambda last: F.row_number().over(Window.partitionBy("id", "draw", "source").orderBy(last))
+    taken = taken.withColumn("n", own(F.desc("taken"))).alias("b")
+    # neutral names, as those of docs may be any
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = {c: F.col(names[docs.columns.index(c)]) for c in (id_col, source_col, text_col)}
+    keyed = docs.toDF(*names).withColumns({"id": at[id_col], "draw": F.xxhash64(F.lit(seed), at[id_col], at[text_col]), "source": at[source_col]}).withColumn("n", own(F.lit(1))).alias("a")
+    same = (F.col("a.draw") == F.col("b.draw")) & (F.col("a.n") == F.col("b.n")) & F.col("a.id").eqNullSafe(F.col("b.id")) & F.col("a.source").eqNullSafe(F.col("b.source"))
+    met = keyed.join(taken, same).select(*(F.col(f"a.{c}") for c in names), "b.size", "b.taken", "b.ranges")
     part = F.aggregate("ranges", F.lit(0).cast("long"), lambda x, r: x + r["to"] - r["from"])
-    chunks = F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"))
+    chunks = F.regexp_extract_all(at[text_col], F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"))
     some = F.transform(F.array(chunks), lambda words: F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(words, r["from"].cast("int") + 1, (r["to"] - r["from"]).cast("int")))), ""))[0]
-    whole = F.array_repeat(F.col(text_col), ((F.col("taken") - part) / F.greatest("size", F.lit(1))).cast("int"))
+    whole = F.array_repeat(at[text_col], ((F.col("taken") - part) / F.greatest("size", F.lit(1))).cast("int"))
     texts = F.concat(whole, F.when(part > 0, F.array(some)).otherwise(F.array().cast("array<string>")))
-    out = met.withColumn("_texts", texts).withColumn("_text", F.explode("_texts"))
-    columns = {text_col: F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+    out = met.select(*names, F.explode(texts).alias("new"))
+    columns = {text_col: F.col("new")} | ({"n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*(columns.get(c, F.col(n)).alias(c) for c, n in zip(docs.columns, names, strict=True)))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

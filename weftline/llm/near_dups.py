@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, distance:
     equal = whole.join(classes.select("set_hash", "rep"), "set_hash").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a != b").distinct()
     best = rows.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("back"))).alias("hub")).select("key", (-F.col("hub.back")).alias("a"))
     pairs = rows.join(best, "key").where("a != rep").select("a", F.col("rep").alias("b")).distinct()
-    links = staged(equal.union(_confirmed(pairs, sets, percent)), "links")
+    links = staged(equal.union(_confirmed(_close(pairs, classes, distance), sets, percent)), "links")
     labelled = staged(_labelled(rows, links), "open")
     if not labelled.isEmpty():
         pairs = staged(_open_pairs(labelled, classes, sets, percent, distance), "pairs")
@@ -321,7 +321,7 @@ def _close(pairs: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
 
     left = classes.select(F.col("rep").alias("a"), F.col("signature").alias("x"))
     right = classes.select(F.col("rep").alias("b"), F.col("signature").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
 def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
