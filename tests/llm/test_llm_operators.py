@@ -214,10 +214,10 @@ def test_mix(docs, empty):
 
 
 def test_mixing_a_source_of_few_words(spark):
-    rows = [(i, "word " * 400, "a") for i in range(3)] + [(9, "only five words in here", "b"), (10, None, "c")]
+    rows = [(i, "word " * 400, "a") for i in range(3)] + [(9, "ten words are all that this source has to give", "b"), (10, None, "c")]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-    assert {r["source"]: r["target"] for r in got}["b"] == 15.0
-    assert [r["taken"] for r in got if r["doc_id"] == 9] == [15] and [r["taken"] for r in got if r["doc_id"] == 10] == [0]
+    assert {r["source"]: r["target"] for r in got}["b"] == 30.0
+    assert [r["taken"] for r in got if r["doc_id"] == 9] == [30] and [r["taken"] for r in got if r["doc_id"] == 10] == [0]
 
 
 def test_mix_query_on_whole_documents(spark):
@@ -288,7 +288,7 @@ def test_quality_network_against_plain_convolution():
 def test_quality_learns_from_whole_texts(spark):
     """Only what stands beyond a million bytes tells the classes apart in the long texts."""
     tail = {1: b" good words here", 0: b" ####!!!!####"}
-    texts, labels = [b"plain text " * 3 + tail[k % 2] * 8 for k in range(60)], np.array([float(k % 2) for k in range(60)], np.float32)
+    texts, labels = [b"plain text " * 3 + tail[k % 2] * 8 for k in range(600)], np.array([float(k % 2) for k in range(600)], np.float32)
     long = [b"plain text " * 100_000 + tail[k % 2] * 8 for k in range(2)]
     net = quality.fit(texts + long, np.append(labels, [0.0, 1.0]).astype(np.float32))
     p = net.predict(long)

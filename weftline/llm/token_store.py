@@ -30,6 +30,8 @@ LEAST, MEAN, MOST = 64, 256, 1024
 #: The ids that the rolling hash sees.
 WINDOW = 24
 ADDRESS = 16
+#: The bytes of text that a task encodes at once, and those of a generation of its cache.
+SLICE, CACHE = 6_000_000, 80_000_000
 
 
 def address(data: bytes) -> bytes:
@@ -92,10 +94,10 @@ def _chunked(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """A recipe row per document and a row for each chunk that is new to the task's batch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, CACHE)
         narrow = enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         kind = "<u2" if narrow else "<u4"
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             n = batch.num_rows
             ids, offsets = enc.encode(batch.column(1))
             ids = np.insert(ids, offsets[1:], end_id)

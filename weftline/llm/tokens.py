@@ -71,21 +71,22 @@ class Encoder:
         """The ids of distinct pieces, as little-endian uint32 bytes."""
         if self.held > self.limit:
             self.old, self.young, self.held = self.young, {}, 0
-        young, old, new = self.young, self.old, []
-        for p in pieces:
-            if p not in young:
-                if (ids := old.get(p)) is None:
-                    new.append(p)
-                else:
-                    young[p] = ids
-                    self.held += ENTRY + len(p) + len(ids)
-        for p, ids in zip(new, self._encode(new), strict=True):
-            young[p] = ids
-            self.held += ENTRY + len(p) + len(ids)
-        out = [young[p] for p in pieces]
-        for p in new:
-            if len(p) > 64:
-                self.held -= ENTRY + len(p) + len(young.pop(p))
+        young, old = self.young, self.old
+        out = list(map(young.get, pieces))
+        lacking = [i for i, ids in enumerate(out) if ids is None]
+        new = []
+        for i in lacking:
+            p = pieces[i]
+            if (ids := old.get(p)) is None:
+                new.append(i)
+            else:
+                out[i] = young[p] = ids
+                self.held += ENTRY + len(p) + len(ids)
+        for i, ids in zip(new, self._encode([pieces[i] for i in new]), strict=True):
+            out[i] = ids
+            if len(pieces[i]) <= 64:
+                young[pieces[i]] = ids
+                self.held += ENTRY + len(pieces[i]) + len(ids)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,5 +138,5 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, limit: int = 24_000_000) -> Encoder:
+    return Encoder(path, limit)
