@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.segments import numbered
+
 
 def coded(rows: DataFrame, value: str) -> DataFrame:
     """value, n: the distinct observations and how often each occurs; families are evaluated once per code."""
@@ -114,6 +116,15 @@ def clustering_cost(rows: DataFrame, vector: str, centres: list[list[float]]) ->
 
 
 def quantile_seeds(rows: DataFrame, value: str, k: int) -> DataFrame:
-    """seed, location: the quantiles (i + 1/2) / k of a column, exact."""
-    shares = [(i + 0.5) / k for i in range(k)]
-    return rows.agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("q")).select(F.posexplode("q").alias("seed", "location")).withColumn("seed", F.col("seed").cast("long"))
+    """seed, location: the quantiles (i + 1/2) / k of a column, exact, between its values where they fall between places.
+
+    Values are ranked by range partitions; only those at the wanted places are picked. Nulls are left out; without values
+    there are no rows.
+    """
+    laid = numbered(rows.select(F.lit(0).alias("all"), F.col(value).cast("double").alias("v")).where("v is not null"), "all", ["v"])
+    n = laid.count()
+    if not n:
+        return rows.sparkSession.createDataFrame([], "seed long, location double")
+    wanted = [(i, (n - 1) * (i + 0.5) / k) for i in range(k)]
+    places = rows.sparkSession.createDataFrame([(i, int(at) + up, (at - int(at)) if up else 1 - (at - int(at))) for i, at in wanted for up in (0, 1)], "seed long, k long, share double")
+    return laid.select("k", "v").join(F.broadcast(places), "k").groupBy("seed").agg(F.sum(F.col("v") * F.col("share")).alias("location"))

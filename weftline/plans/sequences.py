@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import sequence
 from weftline.plans.common import table
+from weftline.streaming import metrics
 
 ORDER = ["ts", "event_id"]
 LAGS = 3
@@ -20,7 +21,18 @@ def _rounded(df, *columns):  # noqa: ANN001, ANN202
 
 
 _D = "d AS (SELECT CAST(user_id AS BIGINT) AS chain, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n, CAST(value AS DOUBLE) AS v, CAST(value AS DOUBLE) - avg(CAST(value AS DOUBLE)) OVER (PARTITION BY user_id) AS d FROM events)"
+
+
+def _metrics(spark, sf):  # noqa: ANN001, ANN202
+    rows = table(spark, sf, "events").select(F.concat(F.lit("u"), F.pmod(F.col("user_id"), F.lit(5)).cast("string")).alias("run"), F.col("event_type").alias("name"), F.create_map(F.lit("odd"), F.pmod(F.col("event_id"), F.lit(2)).cast("string")).alias("context"), F.col("event_id").cast("long").alias("step"), F.col("value").cast("double").alias("value"))
+    return _rounded(metrics.summary(rows), "mean")
+
+
 QUERIES = {
+    "metric_summary": (
+        _metrics,
+        """WITH m AS (SELECT 'u' || (user_id % 5) AS run, event_type AS name, '{"odd":"' || (event_id % 2) || '"}' AS series, event_id, CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL) SELECT run, name, series, count(*) AS n, round(avg(v), 6) AS mean, min(v) AS best, arg_max(v, event_id) AS last FROM m GROUP BY ALL""",
+    ),
     "ragged_offsets": (lambda s, d: sequence.ragged_offsets(_events(s, d), "user_id"), "SELECT CAST(user_id AS BIGINT) AS segment, count(*) AS length, CAST(sum(count(*)) OVER (ORDER BY user_id) - count(*) AS BIGINT) AS start FROM events GROUP BY user_id"),
     "transition_mle": (
         lambda s, d: _rounded(sequence.transition_mle(_events(s, d), "user_id", ORDER, "event_type"), "p"),

@@ -1 +1 @@
-"""Part of weftline."""
+"""Structured Streaming over metric series."""
