@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -256,11 +257,48 @@ def test_language_query_on_held_out_documents(spark):
     assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in known[r["doc_id"]][0] or "")) and 0 <= r["score"] <= 1 for r in rows)
 
 
+def naive_grams(text: str) -> list[tuple[int, int]]:
+    """(code, count) of the 1- to 3-letter n-grams of a text, the most frequent first; what is not a letter is an edge, 0."""
+    points = [ord(c) if unicodedata.category(c)[0] == "L" else 0 for c in f" {text.lower()} "]
+    points = [p for i, p in enumerate(points) if p or not i or points[i - 1]]
+    grams: dict[tuple, int] = {}
+    for n in (1, 2, 3):
+        for i in range(len(points) - n + 1):
+            g = tuple(points[i : i + n])
+            if any(g) and 0 not in g[1:-1] and g != (0,):
+                grams[g] = grams.get(g, 0) + 1
+    ranked = sorted(grams.items(), key=lambda x: (-x[1], len(x[0]), x[0]))
+    return [(sum(p << 21 * (len(g) - 1 - k) for k, p in enumerate(g)) * 4 + len(g), n) for g, n in ranked]
+
+
+def test_language_against_out_of_place_distances(docs):
+    profiles = language.learn_profiles(docs)
+    learned: dict[str, dict[int, int]] = {}
+    for r in fixture():
+        if r[2] and r[1] is not None:
+            for code, n in naive_grams(r[1]):
+                learned.setdefault(r[2], {})[code] = learned.get(r[2], {}).get(code, 0) + n
+    want = {k: {c: i for i, (c, _) in enumerate(sorted(v.items(), key=lambda x: (-x[1], x[0]))[: language.PROFILE])} for k, v in learned.items()}
+    assert profiles == want
+    got = sorted(((r["doc_id"], r["lang_pred"], round(r["score_"], 9)) for r in language.identify(docs, profiles).collect()), key=repr)
+    plain = []
+    for r in fixture():
+        ranked = [c for c, _ in naive_grams(r[1] or "")][: language.PROFILE]
+        far = {k: sum(abs(p[c] - i) if c in p else language.PROFILE for i, c in enumerate(ranked)) for k, p in want.items()}
+        best = min(sorted(far), key=far.get)
+        plain.append((r[0], best, round(1 - far[best] / (language.PROFILE * len(ranked)), 9)) if ranked else (r[0], "und", 0.0))
+    assert got == sorted(plain, key=repr)
+
+
 def test_language(docs, empty):
     profiles = language.learn_profiles(docs)
-    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, profiles).collect()}
+    rows = language.identify(docs, profiles)
+    assert rows.columns == [*[c for c in docs.columns if c != "text"], "lang_pred", "score_"]
+    got = {r["doc_id"]: (r["lang_pred"], r["score_"]) for r in rows.collect()}
     assert got[0] == got[1] == got[2] == ("und", 0.0) and got[5][0] == "en" and all(0 <= s <= 1 for _, s in got.values())
+    assert all(r["score"] in ("clash", None) for r in rows.collect())
     assert language.identify(docs, language.learn_profiles(empty)).where("lang_pred <> 'und'").count() == 0
+    assert language.identify(empty, profiles).count() == 0
 
 
 def test_quality_scores_do_not_depend_on_batches():

@@ -17,9 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.llm.arrows import slices
-from weftline.llm.common import crc_mod, table
+from weftline.llm.common import bounded_batches, crc_mod, free_name, table
 
 ORDER = 3
 #: The length of a profile, and the distance of an n-gram that it lacks.
@@ -122,8 +123,12 @@ def learn_profiles(docs: DataFrame, profile: int = PROFILE, sample: int = SAMPLE
             yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(number[first])), pa.array(code[first]), pa.array(np.add.reduceat(n, first))], names=["lang", "gram", "n"])
 
     total = drawn.mapInArrow(work, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = total.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "gram"))), 1, profile).alias("top"))
-    return {r["lang"]: {x["gram"]: k for k, x in enumerate(r["top"])} for r in best.collect()}
+    # ranks beyond the profile are left out before the exchange
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    out: dict[str, dict[int, int]] = {}
+    for r in total.withColumn("rank", rank).where(F.col("rank") <= profile).collect():
+        out.setdefault(r["lang"], {})[r["gram"]] = r["rank"] - 1
+    return out
 
 
 def identify(docs: DataFrame, profiles: dict[str, dict[int, int]], profile: int = PROFILE, text_col: str = "text") -> DataFrame:
@@ -131,11 +136,13 @@ def identify(docs: DataFrame, profiles: dict[str, dict[int, int]], profile: int
 
     The score is 1 minus the nearest profile's distance as a share of the largest possible. Texts that are null or have
     no letter, and all texts where there are no profiles, get ``und`` with score 0. Ties go to the first language by
-    code point. Other columns of the names lang_pred and score are replaced.
+    code point; repeated rows each get the result of their text; an empty table gives no rows. Where ``docs`` has columns
+    of those names, the new ones' names get an underscore more.
     """
+    bounded_batches(docs.sparkSession)
     names = sorted(profiles)
-    others = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
-    slim = docs.select(*others, F.col(text_col).alias("text"))
+    others = [c for c in docs.columns if c != text_col]
+    slim = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(others)), F.col(text_col).alias("text"))
     codes = np.array(sorted({g for p in profiles.values() for g in p}), dtype=np.int64)
     places = np.full((len(codes) + 1, len(names)), -1, dtype=np.int64)
     for j, name in enumerate(names):
@@ -163,7 +170,7 @@ def identify(docs: DataFrame, profiles: dict[str, dict[int, int]], profile: int
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(pred, pa.string()), pa.array(score)], names=[*batch.schema.names[:at], "lang_pred", "score"])
 
     schema = slim.drop("text").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
-    return slim.mapInArrow(work, schema)
+    return slim.mapInArrow(work, schema).toDF(*others, free_name("lang_pred", others), free_name("score", others))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
