@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,14 +133,13 @@ def _unique(rows: DataFrame) -> DataFrame:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            kinds, keys, keep = batch.column(1).to_pylist(), batch.column(0).to_pylist(), []
-            for i, (kind, key) in enumerate(zip(kinds, keys, strict=True)):
-                if kind == "recipe":
-                    keep.append(i)
-                elif key != last:
-                    keep.append(i)
-                    last = key
-            yield batch.take(pa.array(keep, pa.int64()))
+            if not (n := batch.num_rows):
+                continue
+            keys, new = batch.column(0), np.ones(n, dtype=bool)
+            new[0] = keys[0].as_py() != last
+            new[1:] = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            last = keys[n - 1].as_py()
+            yield batch.filter(pc.or_(pa.array(new), pc.equal(batch.column(1), "recipe")))
 
     return rows.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(first, ROWS)
 
