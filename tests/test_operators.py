@@ -236,6 +236,9 @@ def test_paths_turn_at_the_nearest_common_ancestor(spark):
     nodes = spark.createDataFrame([(1, None, 9.0), (2, 1, 1.0), (3, 1, 2.0), (4, 2, 4.0), (5, 2, 8.0), (6, 4, 16.0), (50, None, 1.0)], "node long, parent long, length double")
     pairs = {(4, 5): 12.0, (6, 3): 23.0, (6, 2): 20.0, (3, 3): 0.0, (6, 50): None, (6, 77): None}
     assert {(r["a"], r["b"]): r["distance"] for r in tree.path_distances(nodes, spark.createDataFrame(list(pairs), "a long, b long")).collect()} == pairs
+    ring = spark.createDataFrame([(1, 3, 1.0), (2, 1, 1.0), (3, 2, 1.0), (4, None, 1.0), (5, 4, 1.0)], nodes.schema)
+    with pytest.raises(ValueError, match="cycle"):
+        tree.path_distances(ring, spark.createDataFrame([(1, 2)], "a long, b long"))
 
 
 def test_plans_have_no_nested_loops(spark):
