@@ -15,7 +15,7 @@ from weftline.llm.common import SPACES, free_name, staged, table, words_of
 
 WINDOW = 5
 #: About how many rows the rules are measured on, how many characters each rule reads, and how often a row at most.
-SAMPLE, WORK, MOST_TIMES = 1_000, 64_000_000, 500
+SAMPLE, WORK, MOST_TIMES = 1_000, 4_000_000, 500
 
 #: Rule -> when a row passes; on the columns of ``measured`` and the text.
 RULES = {
