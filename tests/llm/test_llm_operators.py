@@ -513,3 +513,13 @@ def test_licenses_as_whole_texts_and_spdx_lines(spark):
 def test_addresses_are_content_digests():
     assert token_store.address(b"x") == hashlib.blake2b(b"x", digest_size=16).digest()
     assert pa.array([1]).to_pylist() == [1]
+
+
+def test_rules_filtered_split_a_text_once(docs):
+    kept = quality_rules.judge(docs, order=list(quality_rules.RULES)).where("kept")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.split("\n") if "Filter" in x]
+    # within the loop over windows, a split would run once a word
+    assert filters and all("lambdafunction(xxhash64(split(" not in x for x in filters)
+    long = docs.sparkSession.createDataFrame([(1, " ".join(f"word{k}" for k in range(20_000)))], "doc_id long, text string")
+    assert quality_rules.judge(long, order=list(quality_rules.RULES)).where("kept").count() == 1
