@@ -521,5 +521,5 @@ def test_rules_filtered_split_a_text_once(docs):
     filters = [x for x in plan.split("\n") if "Filter" in x]
     # within the loop over windows, a split would run once a word
     assert filters and all("lambdafunction(xxhash64(split(" not in x for x in filters)
-    long = docs.sparkSession.createDataFrame([(1, " ".join(f"word{k}" for k in range(20_000)))], "doc_id long, text string")
+    long = docs.sparkSession.createDataFrame([(1, " ".join("word" + "".join(chr(97 + int(d)) for d in str(k)) for k in range(20_000)))], "doc_id long, text string")
     assert quality_rules.judge(long, order=list(quality_rules.RULES)).where("kept").count() == 1
