@@ -16,6 +16,7 @@ WHERE = {
     "op8_packing": "packing",
     "op9_token_store": "token_store",
     "op10_topk": "metric_tree",
+    "op11_suffix_dedup": "suffixes",
     "op12_whitening": "whitening",
     "op13_clusters": "centroids",
 }
