@@ -50,11 +50,11 @@ def _lines(spark, sf, taxa=TAXA):  # noqa: ANN001, ANN202
     return table(spark, sf, "lineitem").select(*(F.expr(STATES[x]).cast("long").alias(x) for x in taxa))
 
 
-def _patterns(spark, sf, taxa=TAXA):  # noqa: ANN001, ANN202
+def patterns(spark, sf, taxa=TAXA):  # noqa: ANN001, ANN202
     return tree.site_patterns(_lines(spark, sf, taxa), list(taxa), F.lit(0)).drop("first")
 
 
-def _lines_sql(taxa=TAXA) -> str:  # noqa: ANN001
+def lines_sql(taxa=TAXA) -> str:  # noqa: ANN001
     return f"al AS (SELECT {', '.join(f'CAST({STATES[x]} AS BIGINT) AS {x}' for x in taxa)} FROM lineitem), pt AS (SELECT {', '.join(taxa)}, count(*) AS weight FROM al GROUP BY ALL)"
 
 
@@ -85,7 +85,7 @@ def _sankoff_sql() -> str:
     leaf = lambda c, s: f"CASE {c} " + " ".join(f"WHEN {r} THEN {COST[s][r]}::DOUBLE" for r in range(K)) + " END"
     inner = lambda c, s: "least(" + ", ".join(f"{COST[s][r]}::DOUBLE + {c}_{r}" for r in range(K)) + ")"
     levels, last = _levels_sql(TREE, "pt", leaf, inner, " + ")
-    return f"WITH {_lines_sql()}, {levels} SELECT sum(weight * least({', '.join(f'root_{s}' for s in range(K))})) AS score FROM {last}"
+    return f"WITH {lines_sql()}, {levels} SELECT sum(weight * least({', '.join(f'root_{s}' for s in range(K))})) AS score FROM {last}"
 
 
 def _fitch_sql() -> str:
@@ -94,13 +94,7 @@ def _fitch_sql() -> str:
         x, y = (f"m_{c}" if c in below else f"(1::BIGINT << {c})" for c in kids)
         out.append(f"n_{node} AS (SELECT * EXCLUDE cost, CASE WHEN {x} & {y} <> 0 THEN {x} & {y} ELSE {x} | {y} END AS m_{node}, cost + CAST({x} & {y} = 0 AS BIGINT) AS cost FROM {last})")
         last = f"n_{node}"
-    return f"WITH {_lines_sql()}, pt0 AS (SELECT *, 0::BIGINT AS cost FROM pt), {', '.join(out)} SELECT CAST(sum(weight * cost) AS BIGINT) AS score FROM {last}"
-
-
-def _splits(spark, sf):  # noqa: ANN001, ANN202
-    splits = table(spark, sf, "orders").select(F.pmod(F.col("o_custkey"), F.lit(200)).cast("long").alias("tree"), F.pmod(F.col("o_orderkey"), F.lit(61)).cast("long").alias("mask"))
-    pairs = splits.select(F.col("tree").alias("a"), (F.col("tree") + 1).alias("b")).distinct()
-    return tree.robinson_foulds(splits, pairs).withColumn("normalised", F.round("normalised", 9))
+    return f"WITH {lines_sql()}, pt0 AS (SELECT *, 0::BIGINT AS cost FROM pt), {', '.join(out)} SELECT CAST(sum(weight * cost) AS BIGINT) AS score FROM {last}"
 
 
 def _paths(spark, sf):  # noqa: ANN001, ANN202
@@ -119,7 +113,7 @@ QUERIES = {
     ),
     "pattern_ratio": (
         lambda s, d: tree.pattern_ratio(_lines(s, d), list(TAXA)).withColumn("ratio", F.round("ratio", 9)),
-        f"WITH {_lines_sql()} SELECT count(*) AS n_patterns, CAST(sum(weight) AS BIGINT) AS n_sites, round(avg(CAST(weight AS DOUBLE)), 9) AS ratio FROM pt",
+        f"WITH {lines_sql()} SELECT count(*) AS n_patterns, CAST(sum(weight) AS BIGINT) AS n_sites, round(avg(CAST(weight AS DOUBLE)), 9) AS ratio FROM pt",
     ),
     "pair_counts": (lambda s, d: tree.pair_counts(table(s, d, "orders"), "o_orderstatus", "o_orderpriority"), "SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY ALL"),
     "alignment_patterns": (lambda s, d: tree.site_patterns(alignment(s, SITES, BRANCHES, INNER, K), list(BRANCHES), F.col("site")), f"WITH {_ALIGNED} SELECT * FROM pt"),
@@ -129,22 +123,16 @@ QUERIES = {
     ),
     "jc_distance_matrix": (
         lambda s, d: tree.distance_matrix(_lines(s, d), list("abcd")).select("a", "b", F.round("p", 9).alias("p"), F.round("distance", 9).alias("distance")),
-        f"WITH {_lines_sql()}, s AS ({' UNION ALL '.join(f"""SELECT '{x}' AS a, '{y}' AS b, avg(CASE WHEN {x} <> {y} THEN 1::DOUBLE ELSE 0::DOUBLE END) AS p FROM al""" for x, y in _PAIRS)}) SELECT a, b, round(p, 9) AS p, round(-0.75::DOUBLE * ln(1 - p / 0.75::DOUBLE), 9) AS distance FROM s",
+        f"WITH {lines_sql()}, s AS ({' UNION ALL '.join(f"""SELECT '{x}' AS a, '{y}' AS b, avg(CASE WHEN {x} <> {y} THEN 1::DOUBLE ELSE 0::DOUBLE END) AS p FROM al""" for x, y in _PAIRS)}) SELECT a, b, round(p, 9) AS p, round(-0.75::DOUBLE * ln(1 - p / 0.75::DOUBLE), 9) AS distance FROM s",
     ),
-    "pruning_4taxa": (lambda s, d: _pruned(_lines(s, d, "abcd"), FOUR, weight=None), f"WITH {_lines_sql('abcd')}, {_pruned_sql(FOUR, 'al', '1')}"),
-    "pruning_weighted": (lambda s, d: _pruned(_patterns(s, d), TREE), f"WITH {_lines_sql()}, {_pruned_sql(TREE, 'pt', 'weight')}"),
-    "pruning_gtr": (lambda s, d: _pruned(_patterns(s, d), TREE, matrix=tree.gtr_matrix(EXCHANGE, PI), pi=PI), f"WITH {_lines_sql()}, {_pruned_sql(TREE, 'pt', 'weight', tree.gtr_matrix(EXCHANGE, PI), PI)}"),
-    "fitch_score": (lambda s, d: tree.fitch_score(_patterns(s, d), TREE), _fitch_sql()),
-    "sankoff_score": (lambda s, d: tree.sankoff_score(_patterns(s, d), TREE, COST), _sankoff_sql()),
+    "pruning_4taxa": (lambda s, d: _pruned(_lines(s, d, "abcd"), FOUR, weight=None), f"WITH {lines_sql('abcd')}, {_pruned_sql(FOUR, 'al', '1')}"),
+    "pruning_weighted": (lambda s, d: _pruned(patterns(s, d), TREE), f"WITH {lines_sql()}, {_pruned_sql(TREE, 'pt', 'weight')}"),
+    "pruning_gtr": (lambda s, d: _pruned(patterns(s, d), TREE, matrix=tree.gtr_matrix(EXCHANGE, PI), pi=PI), f"WITH {lines_sql()}, {_pruned_sql(TREE, 'pt', 'weight', tree.gtr_matrix(EXCHANGE, PI), PI)}"),
+    "fitch_score": (lambda s, d: tree.fitch_score(patterns(s, d), TREE), _fitch_sql()),
+    "sankoff_score": (lambda s, d: tree.sankoff_score(patterns(s, d), TREE, COST), _sankoff_sql()),
     "split_pattern_support": (
-        lambda s, d: tree.split_support(_patterns(s, d, "abcd"), list("abcd")),
-        f"WITH {_lines_sql('abcd')}, s AS (SELECT weight, CASE WHEN a = b AND c = d AND a <> c THEN 'ab|cd' WHEN a = c AND b = d AND a <> b THEN 'ac|bd' WHEN a = d AND b = c AND a <> b THEN 'ad|bc' END AS split FROM pt) SELECT split, CAST(sum(weight) AS BIGINT) AS n FROM s WHERE split IS NOT NULL GROUP BY split",
-    ),
-    "robinson_foulds": (
-        _splits,
-        "WITH s AS (SELECT DISTINCT CAST(o_custkey % 200 AS BIGINT) AS tree, CAST(o_orderkey % 61 AS BIGINT) AS mask FROM orders), p AS (SELECT DISTINCT tree AS a, tree + 1 AS b FROM s), "
-        "x AS (SELECT a, b, mask, 1 AS l, 0 AS r FROM p JOIN s ON s.tree = a UNION ALL SELECT a, b, mask, 0, 1 FROM p JOIN s ON s.tree = b), m AS (SELECT a, b, mask, sum(l) AS l, sum(r) AS r FROM x GROUP BY ALL) "
-        "SELECT a, b, CAST(count(*) FILTER (l + r = 1) AS BIGINT) AS distance, round(count(*) FILTER (l + r = 1) / CAST(sum(l + r) AS DOUBLE), 9) AS normalised FROM m GROUP BY a, b",
+        lambda s, d: tree.split_support(patterns(s, d, "abcd"), list("abcd")),
+        f"WITH {lines_sql('abcd')}, s AS (SELECT weight, CASE WHEN a = b AND c = d AND a <> c THEN 'ab|cd' WHEN a = c AND b = d AND a <> b THEN 'ac|bd' WHEN a = d AND b = c AND a <> b THEN 'ad|bc' END AS split FROM pt) SELECT split, CAST(sum(weight) AS BIGINT) AS n FROM s WHERE split IS NOT NULL GROUP BY split",
     ),
     "tree_path_distances": (
         _paths,
