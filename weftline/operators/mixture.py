@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.columns import keyed_uniform, log_gamma
 from weftline.operators.segments import numbered
+from weftline.sources.shared import cut
 
 
 def coded(rows: DataFrame, value: str) -> DataFrame:
@@ -15,34 +17,33 @@ def coded(rows: DataFrame, value: str) -> DataFrame:
     return rows.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
 
 
-def log_factorial(x: Column, most: int) -> Column:
-    """log(x!) for whole x from 0 to ``most``, from a table of literals."""
-    table = F.array(*(F.lit(math.lgamma(k + 1)) for k in range(most + 1)))
-    return F.get(table, x.cast("int"))
+def _counted(x: Column, most: Column | float | None, log: Column) -> Column:
+    """``log`` for whole x from 0 to ``most``; -inf for others, null for null."""
+    outside = (x < 0) | (x != F.floor(x)) if most is None else (x < 0) | (x > most) | (x != F.floor(x))
+    return F.when(outside, F.lit(float("-inf"))).otherwise(log)
 
 
-def log_rising(base: float, x: Column, most: int) -> Column:
-    """log of the rising factorial base (base + 1) ... (base + x - 1) for whole x from 0 to ``most``."""
-    table = F.array(*(F.lit(math.lgamma(base + k) - math.lgamma(base)) for k in range(most + 1)))
-    return F.get(table, x.cast("int"))
+def _log_binomial(n: Column, x: Column) -> Column:
+    return log_gamma(n + 1) - log_gamma(x + 1) - log_gamma(n - x + 1)
 
 
-def poisson_log(x: Column, rate: float, most: int) -> Column:
-    return x * F.lit(math.log(rate)) - F.lit(rate) - log_factorial(x, most)
+def poisson_log(x: Column, rate: float) -> Column:
+    """The log density of counts of any size; -inf for what is no count."""
+    return _counted(x, None, x * F.lit(math.log(rate)) - F.lit(rate) - log_gamma(x + 1))
 
 
 def binomial_log(x: Column, n: int, p: float) -> Column:
-    return F.lit(math.lgamma(n + 1)) - log_factorial(x, n) - log_factorial(F.lit(n) - x, n) + x * F.lit(math.log(p)) + (F.lit(n) - x) * F.lit(math.log1p(-p))
+    return _counted(x, n, _log_binomial(F.lit(float(n)), x) + x * F.lit(math.log(p)) + (F.lit(n) - x) * F.lit(math.log1p(-p)))
 
 
-def negative_binomial_log(x: Column, size: float, p: float, most: int) -> Column:
-    """The count of failures before ``size`` successes of probability ``p``."""
-    return log_rising(size, x, most) - log_factorial(x, most) + F.lit(size * math.log(p)) + x * F.lit(math.log1p(-p))
+def negative_binomial_log(x: Column, size: float, p: float) -> Column:
+    """The count of failures before ``size`` successes of probability ``p``; counts of any size."""
+    return _counted(x, None, log_gamma(x + size) - F.lit(math.lgamma(size)) - log_gamma(x + 1) + F.lit(size * math.log(p)) + x * F.lit(math.log1p(-p)))
 
 
 def beta_binomial_log(x: Column, n: int, a: float, b: float) -> Column:
-    rest = F.lit(n) - x
-    return F.lit(math.lgamma(n + 1)) - log_factorial(x, n) - log_factorial(rest, n) + log_rising(a, x, n) + log_rising(b, rest, n) - F.lit(math.lgamma(a + b + n) - math.lgamma(a + b))
+    top = F.lit(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) - math.lgamma(a + b + n))
+    return _counted(x, n, _log_binomial(F.lit(float(n)), x) + log_gamma(x + a) + log_gamma(F.lit(n) - x + b) + top)
 
 
 def gaussian_log(x: Column, mean: Column | float, var: Column | float) -> Column:
@@ -128,3 +129,35 @@ def quantile_seeds(rows: DataFrame, value: str, k: int) -> DataFrame:
     wanted = [(i, (n - 1) * (i + 0.5) / k) for i in range(k)]
     places = rows.sparkSession.createDataFrame([(i, int(at) + up, (at - int(at)) if up else 1 - (at - int(at))) for i, at in wanted for up in (0, 1)], "seed long, k long, share double")
     return laid.select("k", "v").join(F.broadcast(places), "k").groupBy("seed").agg(F.sum(F.col("v") * F.col("share")).alias("location"))
+
+
+def _race(share: Column, key: str, seed: int, turn: int) -> Column:
+    """When a row of weight ``share`` arrives: the first to arrive is a draw in proportion to the weights."""
+    return -F.log(keyed_uniform(F.lit(seed), F.lit(turn), F.col(key)) + 2.0**-33) / share
+
+
+def plus_plus_seeds(rows: DataFrame, key: str, vector: str, k: int, seed: int = 0) -> DataFrame:
+    """seed, ``key``, ``vector``: k rows drawn as starts, each in proportion to its squared distance from the nearest so far.
+
+    A draw is a race of exponential times whose keyed uniforms depend on the seed, the turn and the row's key alone, so that
+    partitions don't matter; ties go to the smaller key. The first is drawn evenly, and so is one that finds all rows on
+    starts already. The squared distances are kept from turn to turn, and one row a turn comes to the driver. Rows without
+    a key or a vector take no part; of fewer than k rows, rows repeat, and without rows there are no starts.
+    """
+    spark = rows.sparkSession
+    left = cut(rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"), F.lit(None).cast("double").alias("d")))
+    chosen = []
+    for turn in range(k):
+        even = F.struct(_race(F.lit(1.0), key, seed, turn).alias("t"), F.col(key).alias("key"))
+        far = F.struct(_race(F.col("d"), key, seed, turn).alias("t"), F.col(key).alias("key"))
+        r = left.agg(F.min(F.when(F.col("d") > 0, F.struct(far.alias("o"), F.col("v")))).alias("far"), F.min(F.struct(even.alias("o"), F.col("v"))).alias("even"), F.max("d").alias("most")).first()
+        best = r["far"] if (r["most"] or 0) > 0 else r["even"]
+        if best is None:
+            break
+        chosen.append((turn, best["o"]["key"], best["v"]))
+        if turn < k - 1:
+            centre = F.array(*map(F.lit, best["v"]))
+            d = F.aggregate(F.zip_with("v", centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+            left = cut(left.select(key, "v", F.least(d, "d").alias("d")))
+    kind = rows.schema[key].dataType.simpleString()
+    return spark.createDataFrame(chosen, f"seed long, `{key}` {kind}, `{vector}` array<double>")
