@@ -177,14 +177,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     they occur, and without rows the network stays as drawn.
     """
     known = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
-    n = known.count()
-    draw = lambda share: F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000)) < share * 1_000_000
-    share = min(1.0, sample / n) if n else 0.0
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.col("text").isNotNull() & draw(share))
-    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    share *= min(1.0, sample_bytes / max(size, 1))
-    rows = texts.where(draw(share)).join(F.broadcast(known.where(draw(share))), "doc_id")
-    rows = rows.select(F.xxhash64("text").alias("place"), "quality", "text").collect()
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.col("text").isNotNull())
+    # what is learned from is counted alone, not texts without labels or of other folds
+    rows = texts.join(known, "doc_id")
+    n, size = rows.agg(F.count("*"), F.sum(F.length("text").cast("long"))).first()
+    share = min(1.0, sample / n, sample_bytes / max(size, 1)) if n else 0.0
+    draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000)) < share * 1_000_000
+    drawn = texts.where(draw).join(known.where(draw), "doc_id")
+    rows = drawn.select(F.xxhash64("text").alias("place"), "quality", "text").collect()
     rows.sort(key=lambda r: (r["place"], r["quality"]))
     return fit([bytes(r["text"]) for r in rows], np.array([float(r["quality"] > 0) for r in rows], dtype=np.float32))
 

@@ -30,7 +30,7 @@ class Encoder:
     one. That bounds a task's memory at any size of the corpus.
     """
 
-    def __init__(self, path: str, limit: int = 24_000_000):
+    def __init__(self, path: str, limit: int = 72_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -138,5 +138,5 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, limit: int = 24_000_000) -> Encoder:
+def encoder(path: str, limit: int = 72_000_000) -> Encoder:
     return Encoder(path, limit)
