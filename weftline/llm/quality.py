@@ -179,8 +179,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     known = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.col("text").isNotNull())
     # what is learned from is counted alone, not texts without labels or of other folds
-    rows = texts.join(known, "doc_id")
-    n, size = rows.agg(F.count("*"), F.sum(F.length("text").cast("long"))).first()
+    sizes = texts.select("doc_id", F.length("text").cast("long").alias("size")).join(known, "doc_id")
+    n, size = sizes.agg(F.count("*"), F.sum("size")).first()
     share = min(1.0, sample / n, sample_bytes / max(size, 1)) if n else 0.0
     draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000)) < share * 1_000_000
     drawn = texts.where(draw).join(known.where(draw), "doc_id")
