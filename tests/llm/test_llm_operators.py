@@ -523,3 +523,17 @@ def test_rules_filtered_split_a_text_once(docs):
     assert filters and all("lambdafunction(xxhash64(split(" not in x for x in filters)
     long = docs.sparkSession.createDataFrame([(1, " ".join("word" + "".join(chr(97 + int(d)) for d in str(k)) for k in range(20_000)))], "doc_id long, text string")
     assert quality_rules.judge(long, order=list(quality_rules.RULES)).where("kept").count() == 1
+
+
+@pytest.mark.parametrize("equal", [False, True])
+def test_shard_quotas_equal_the_highest_quotients(spark, equal):
+    draw = np.random.default_rng(6)
+    counts = {s: [1000 if equal else int(x) for x in draw.integers(0, 5000, n)] for s, n in (("a", 200), ("b", 7), (None, 40), ("c", 1))}
+    blocks = {s: int(sum(w) / 32 * share) for (s, w), share in zip(counts.items(), (0.7, 2.9, 0.01, 5.0), strict=True)}
+    rows = [(s, k, w, blocks[s]) for s, own in counts.items() for k, w in enumerate(own)]
+    got: dict = {}
+    for r in mixing.shard_quotas(spark.createDataFrame(rows, "source string, shard long, words long, blocks long")).collect():
+        got.setdefault(r["source"], {})[r["shard"]] = r["quota"]
+    for s, own in counts.items():
+        want = mixing.sainte_lague([float(w) for w in own], blocks[s], [-(-3 * w // 32) for w in own])
+        assert [got[s][k] for k in range(len(own))] == want

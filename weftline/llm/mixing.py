@@ -5,13 +5,13 @@ from __future__ import annotations
 import heapq
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weftline.llm.common import staged, table, word_count
+from weftline.operators.segments import numbered
 
 #: The words of a block, the words that a shard of a source has about, and how often a source may be repeated.
 BLOCK, SHARD, REPEATS = 32, 1 << 18, 3
@@ -60,6 +60,54 @@ def sainte_lague(weights: list[float], seats: int, most: list[int] | None = None
     return out
 
 
+#: Prices tried in a pass, passes at most, and how many seats may be left to rank.
+PRICES, PASSES, RANKED = 32, 8, 1_000
+
+
+def shard_quotas(counts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """source, shard, words and ``quota``: each source's ``blocks`` dealt to its shards as ``sainte_lague`` does.
+
+    ``counts`` are (source, shard, words, blocks); a shard takes no more than REPEATS times its words. A seat is granted if
+    its quotient reaches a price, so the seats at many prices are sums over shards: a few passes close in on each source's
+    price, one row a source, and only the seats with quotients between the last two prices are ranked, over range
+    partitions. No task and no group holds a source's shards.
+    """
+    spark = counts.sparkSession
+    most = F.ceil(REPEATS * F.col("words") / block).cast("long")
+    seats = lambda price: F.when(F.col("words") > 0, F.least(most, F.floor((F.col("words") / price + 1) / 2))).otherwise(0).cast("long")
+    kind = counts.schema["source"].dataType.simpleString()
+    # below a quarter, any shard has all the seats that it may have
+    ends = {r["source"]: (0.25, max(1.0, 2.0 * (r["w"] or 0)), r["blocks"]) for r in counts.groupBy("source").agg(F.max("words").alias("w"), F.first("blocks").alias("blocks")).collect()}
+
+    def priced() -> DataFrame:
+        return spark.createDataFrame([(s, *e) for s, e in ends.items()], f"_source {kind}, low double, high double, seats long")
+
+    def with_prices() -> DataFrame:
+        return counts.select("source", "shard", "words").join(F.broadcast(priced()), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+    for _ in range(PASSES if ends else 0):
+        at = [F.col("low") * F.pow(F.col("high") / F.col("low"), F.lit(j / (PRICES - 1))) for j in range(PRICES)]
+        rows = with_prices().groupBy("source").agg(*(F.sum(seats(x)).alias(f"n{j}") for j, x in enumerate(at))).collect()
+        gaps = []
+        for r in rows:
+            low, high, want = ends[r["source"]]
+            prices, found = [low * (high / low) ** (j / (PRICES - 1)) for j in range(PRICES)], [r[f"n{j}"] for j in range(PRICES)]
+            above = next((j for j, n in enumerate(found) if n <= want), PRICES - 1)
+            ends[r["source"]] = (prices[max(above - 1, 0)], prices[above], want)
+            gaps.append(found[max(above - 1, 0)] - found[above])
+        if max(gaps) <= RANKED:
+            break
+    held = with_prices().select("source", "shard", "words", "seats", seats(F.col("high")).alias("sure"), seats(F.col("low")).alias("open"))
+    held = staged(held, "shard-prices")
+    left = held.groupBy("source").agg((F.first("seats") - F.sum("sure")).alias("left"))
+    asked = held.where("open > sure").select("source", "shard", "words", F.explode(F.sequence(F.col("sure") + 1, F.col("open"))).alias("seat"))
+    ranked = numbered(asked.select("source", (-F.col("words") / (2 * F.col("seat") - 1)).alias("back"), "shard", "seat"), "source", ["back", "shard", "seat"])
+    same = lambda x: F.col("source").eqNullSafe(F.col(x))
+    granted = ranked.join(F.broadcast(left.withColumnRenamed("source", "_source")), same("_source")).where("k < left").groupBy(F.col("source").alias("_s"), F.col("shard").alias("_h")).agg(F.count("*").alias("more"))
+    met = held.join(granted, same("_s") & (F.col("shard") == F.col("_h")), "left")
+    return met.select("source", "shard", "words", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("quota"))
+
+
 def _plan(totals: list[tuple], weights: tuple[float, ...], block: int, shard: int) -> list[tuple]:
     """Rows (source, source_size, target, blocks, shards), sources by code point and null last."""
     totals = sorted(totals, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
@@ -79,7 +127,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: in
     ``ranges`` are the words (from, to) that the last round takes of it; ``taken - sum(to - from)`` is a multiple of size.
 
     A null or wordless text has size 0 and nothing is taken; an empty table gives no rows; equal rows may differ in what
-    is taken of each, not in sum. The driver sees one row per source, each task the counts of one source's shards.
+    is taken of each, not in sum. The driver sees one row per source.
     """
     spark = docs.sparkSession
     sized = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw")), "sized")
@@ -90,15 +138,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: in
     known = sized.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     known = known.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), "shards"))
 
-    def quotas(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("shard")
-        sizes = [int(x) for x in group["words"]]
-        own = sainte_lague([float(x) for x in sizes], int(group["blocks"].iloc[0]), [-(-REPEATS * n // block) for n in sizes])
-        return pd.DataFrame({"_s": group["source"], "_shard": group["shard"], "words": sizes, "quota": own})
-
-    counts = known.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
-    kind = docs.schema[source_col].dataType.simpleString()
-    quota = counts.groupBy("source").applyInPandas(quotas, f"_s {kind}, _shard long, words long, quota long")
+    counts = staged(known.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks")), "shards")
+    quota = shard_quotas(counts, block).select(F.col("source").alias("_s"), F.col("shard").alias("_shard"), "words", "quota")
     met = known.join(quota.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_shard"))).drop("_s", "_shard")
     order = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = met.withColumn("stop", F.sum("size").over(order)).withColumn("begin", F.col("stop") - F.col("size"))
