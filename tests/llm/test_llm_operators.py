@@ -537,3 +537,11 @@ def test_shard_quotas_equal_the_highest_quotients(spark, equal):
     for s, own in counts.items():
         want = mixing.sainte_lague([float(w) for w in own], blocks[s], [-(-3 * w // 32) for w in own])
         assert [got[s][k] for k in range(len(own))] == want
+
+
+def test_pages_go_only_where_queries_want_them(spark):
+    index = spark.createDataFrame([(p, s, n) for p in range(3) for s in range(2) for n in range(4)], "pivot int, salt int, node int")
+    routed = spark.createDataFrame([(q, 0, 0) for q in range(25)] + [(q, 1, 1) for q in range(3)], "query_id long, pivot int, salt int")
+    paged, asked = metric_tree.dealt(index, routed, size=10)
+    assert paged.count() == 4 * 3 + 4 and asked.count() == 28
+    assert {tuple(r) for r in asked.select("pivot", "salt", "block").distinct().collect()} <= {tuple(r) for r in paged.select("pivot", "salt", "block").distinct().collect()}

@@ -21,6 +21,8 @@ from weftline.llm.common import staged, table
 
 #: Pivots (a bounded sample), about how many vectors a tree has, a node's children, a leaf's vectors, a block's queries.
 PIVOTS, TREE, FANOUT, PAGE, QUERIES = 32, 4096, 12, 64, 8192
+#: How many pivots' trees a query goes to before all others that its bound leaves.
+CLOSE = 4
 SCALE = 1024
 #: Bounds are computed in doubles, whose errors grow with the vectors' lengths; what is this near to a bound is looked at.
 SLACK = 4e-12
@@ -142,8 +144,19 @@ def walk(nodes: dict, children: dict, query: np.ndarray, own: int, k: int, norm2
     return found
 
 
-def _searched(index: DataFrame, routed: DataFrame, blocks: int, k: int, dims: int, norm2: float) -> DataFrame:
-    """query_id, vec_id, score: the best of each tree for the queries routed to it (pivot, salt, block)."""
+def dealt(index: DataFrame, routed: DataFrame, size: int = QUERIES) -> tuple[DataFrame, DataFrame]:
+    """Both with ``block``: a tree's queries in blocks of about ``size``, and its pages as often as it has blocks.
+
+    Pages of a tree that no query is routed to are left out.
+    """
+    wanted = routed.groupBy("pivot", "salt").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    asked = routed.join(wanted, ["pivot", "salt"]).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
+    paged = index.join(wanted, ["pivot", "salt"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return paged, asked
+
+
+def _searched(index: DataFrame, routed: DataFrame, k: int, dims: int, norm2: float) -> DataFrame:
+    """query_id, vec_id, score: the best of each tree for the queries routed to it (pivot, salt)."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, int]] = []
@@ -167,8 +180,8 @@ def _searched(index: DataFrame, routed: DataFrame, blocks: int, k: int, dims: in
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
 
     keys = ["pivot", "salt", "block"]
-    paged = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return paged.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(work, "query_id long, vec_id long, score long")
+    paged, asked = dealt(index, routed)
+    return paged.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(work, "query_id long, vec_id long, score long")
 
 
 def build(vectors: DataFrame, pivots: np.ndarray, dims: int, norm2: float, tree: int = TREE) -> tuple[DataFrame, dict[int, int], dict[int, float]]:
@@ -212,7 +225,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     spark = rows.sparkSession
     vectors = staged(quantized(rows, id_col, vector_col), "vectors")
     asked = quantized(queries, id_col, vector_col).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("data").alias("data"))
-    asked = staged(asked.withColumn("block", F.lit(0)), "queries")
+    asked = staged(asked, "queries")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if vectors.isEmpty() or asked.isEmpty():
         return empty
@@ -228,11 +241,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     pivots = np.unique(np.array([np.frombuffer(bytes(r["data"]).ljust(8 * dims, b"\0"), dtype="<i8") for r in drawn]), axis=0)
     index, salts, radii = build(vectors, pivots, dims, norm2, tree)
     centres = {p: _lifted(pivots[p : p + 1], norm2)[0] for p in salts}
-    blocks = max(1, -(-asked.count() // QUERIES))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
 
-    def route(first: bool):  # noqa: ANN202
-        """The trees of each query: those of its nearest pivot, or all others that its k-th score doesn't rule out."""
+    def route(turn: int):  # noqa: ANN202
+        """The trees of each query: one of its nearest pivot, then those of the CLOSE nearest, then all others; in each turn
+        without those that its k-th score so far rules out."""
         names = sorted(salts)
         middle = np.array([centres[p] for p in names])
         wide = np.array([radii[p] for p in names])
@@ -243,26 +255,26 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
                 for r in batch.to_pylist():
                     q = np.append(np.frombuffer(r["data"].ljust(8 * dims, b"\0"), dtype="<i8").astype(np.float64), 0.0)
                     d = _far(middle, q)
-                    home = int(d.argmin())
-                    if first:
-                        chosen = [(home, 0)]
-                    else:
-                        limit = np.inf if r["least"] is None else reach(float(q @ q) + norm2, r["least"])
-                        chosen = [(j, s) for j in np.flatnonzero(d - wide <= limit).tolist() for s in range(salts[names[j]]) if (j, s) != (home, 0)]
-                    out += [(r["query_id"], r["data"], r["block"], r["least"], names[j], s) for j, s in chosen]
-                cols = list(zip(*out, strict=True)) or [()] * 6
-                types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["query_id", "data", "block", "least", "pivot", "salt"])
+                    near = np.argsort(d, kind="stable")
+                    limit = np.inf if r["least"] is None else reach(float(q @ q) + norm2, r["least"])
+                    part = near[:1] if turn == 0 else near[:CLOSE] if turn == 1 else near[CLOSE:]
+                    trees = [(int(j), s) for j in part if turn == 0 or d[j] - wide[j] <= limit for s in range(1 if turn == 0 else salts[names[j]])]
+                    out += [(r["query_id"], r["data"], r["least"], names[j], s) for j, s in trees if turn != 1 or (j, s) != (near[0], 0)]
+                cols = list(zip(*out, strict=True)) or [()] * 5
+                types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["query_id", "data", "least", "pivot", "salt"])
 
         return work
 
-    routed = "query_id long, data binary, block int, least long, pivot int, salt int"
-    near = staged(_searched(index, asked.withColumn("least", F.lit(None).cast("long")).mapInArrow(route(True), routed), blocks, k, dims, norm2), "near")
-    least = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-    rest = _searched(index, asked.join(least, "query_id", "left").mapInArrow(route(False), routed), blocks, k, dims, norm2)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = near.union(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    for turn in range(3):
+        least = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+        routed = asked.join(least, "query_id", "left").mapInArrow(route(turn), "query_id long, data binary, least long, pivot int, salt int")
+        found = best.union(_searched(index, routed, k, dims, norm2))
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        best = staged(best.select("query_id", "vec_id", "score"), "best") if turn < 2 else best
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
