@@ -70,19 +70,48 @@ def pair_counts(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
 
 
+#: So many taxa have a column for each pair; more are paired by rows.
+PAIRED = 32
+
+
 def distance_matrix(rows: DataFrame, taxa: list[str], k: int = 4) -> DataFrame:
-    """a < b, p, distance: the Jukes-Cantor distance of each pair of taxa from one scan of the alignment."""
-    pairs = [(x, y) for i, x in enumerate(taxa) for y in taxa[i + 1 :]]
-    shares = rows.agg(*(F.avg(F.when(F.col(x) != F.col(y), F.lit(1.0)).otherwise(F.lit(0.0))).alias(f"{x}{y}") for x, y in pairs))
-    stack = ", ".join(f"'{x}', '{y}', {x}{y}" for x, y in pairs)
-    return shares.selectExpr(f"stack({len(pairs)}, {stack}) as (a, b, p)").select("a", "b", "p", jc_distance(F.col("p"), k).alias("distance"))
+    """a < b, p, distance: the Jukes-Cantor distance of each pair of taxa (in the order of ``taxa``) from one scan.
+
+    p is the share of sites that differ, out of all; a null state differs from nothing. Up to PAIRED taxa, each pair is one
+    sum of a single aggregate; with more, the distinct patterns of sites are paired as rows and counted by pair. Fewer than
+    two taxa have no pairs, and without sites p is null.
+    """
+    pairs = [(i, j) for i in range(len(taxa)) for j in range(i + 1, len(taxa))]
+    slim = rows.select(*(F.col(f"`{x}`").alias(f"x{i}") for i, x in enumerate(taxa)))
+    names = F.array(*(F.lit(x) for x in taxa))
+    if len(taxa) <= PAIRED:
+        apart = [F.avg(F.when(F.col(f"x{i}") != F.col(f"x{j}"), F.lit(1.0)).otherwise(F.lit(0.0))).alias("p") for i, j in pairs]
+        told = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x) for (i, j), x in zip(pairs, apart, strict=True))) if pairs else F.array().cast("array<struct<i:int,j:int,p:double>>")
+        shares = (slim.agg(told.alias("e")) if pairs else slim.limit(0).select(told.alias("e"))).select(F.explode("e").alias("e")).select("e.*")
+    else:
+        counts = slim.groupBy(*slim.columns).agg(F.count("*").alias("n"))
+        seen = F.array(*(F.col(f"x{i}") for i in range(len(taxa))))
+        places = F.sequence(F.lit(0), F.lit(len(taxa) - 1))
+        # one row a pattern and taxon, with the later taxa that differ
+        each = counts.select("n", seen.alias("s"), F.explode(places).alias("i"))
+        later = F.filter(places, lambda j: (j > F.col("i")) & (F.get("s", j) != F.get("s", F.col("i"))))
+        apart = each.select("n", "i", F.explode(later).alias("j")).groupBy("i", "j").agg(F.sum("n").alias("d"))
+        total = rows.count()
+        every = rows.sparkSession.range(len(taxa)).select(F.col("id").cast("int").alias("i")).select("i", F.explode(F.filter(places, lambda j: j > F.col("i"))).alias("j"))
+        shares = every.join(apart, ["i", "j"], "left").select("i", "j", (F.coalesce("d", F.lit(0)) / F.lit(total or None)).alias("p"))
+    return shares.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "p", jc_distance(F.col("p"), k).alias("distance"))
+
+
+def _state(x: str, k: int) -> Column:
+    """A leaf's state as a place among ``k``; null stays null, another value raises."""
+    return F.when(F.col(f"`{x}`").isNull(), F.lit(None).cast("int")).when(F.col(f"`{x}`").between(0, k - 1), F.col(f"`{x}`").cast("int")).otherwise(F.raise_error(F.lit(f"a state of {x} is not between 0 and {k - 1}")).cast("int"))
 
 
 def pruning_log_likelihood(sites: DataFrame, tree: Tree, k: int = 4, matrix: Callable[[float], Matrix] | None = None, pi: list[float] | None = None, weight: str | None = "weight") -> DataFrame:
     """One row: n_patterns, n_sites and the log likelihood of any tree by pruning; ``matrix`` is Jukes-Cantor by default.
 
     A projection for each inner node holds its k partial likelihoods, the largest scaled to 1: one pass over the patterns,
-    no join, one aggregate. A null state says nothing: any state may stand there. Sites that are not compressed have no
+    no join, one aggregate. A null state says nothing: any state may stand there; one that is not from 0 to k - 1 raises. Sites that are not compressed have no
     ``weight``. Without sites the sums are null.
     """
     matrix = matrix or (lambda t: jc_matrix(t, k))
@@ -92,7 +121,7 @@ def pruning_log_likelihood(sites: DataFrame, tree: Tree, k: int = 4, matrix: Cal
     def from_child(child: str, s: int) -> Column:
         if child in below:
             return reduce(lambda a, b: a + b, (F.lit(step[child][s][r]) * F.col(f"_{child}_{r}") for r in range(k)))
-        return F.coalesce(F.get(F.array(*map(F.lit, step[child][s])), F.col(child).cast("int")), F.lit(1.0))
+        return F.coalesce(F.get(F.array(*map(F.lit, step[child][s])), _state(child, k)), F.lit(1.0))
 
     for node, kids in below.items():
         raw = [reduce(lambda a, b: a * b, (from_child(c, s) for c in kids)).alias(f"_{node}_{s}") for s in range(k)]
@@ -108,10 +137,10 @@ def pruning_log_likelihood(sites: DataFrame, tree: Tree, k: int = 4, matrix: Cal
 def fitch_score(patterns: DataFrame, tree: Tree, weight: str = "weight") -> DataFrame:
     """One row: the parsimony score of a binary tree, by the intersections and unions of state sets as bit masks.
 
-    A null state is any state.
+    A null state is any state; one that is not from 0 to 62 raises.
     """
     below = children_of(tree)
-    leaf = lambda c: F.coalesce(F.expr(f"shiftleft(1L, cast(`{c}` as int))"), F.lit(-1).cast("long"))
+    leaf = lambda c: F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), _state(c, 63)), F.lit(-1).cast("long"))
     rows = patterns.select("*", F.lit(0).cast("long").alias("_cost"))
     for node, kids in below.items():
         if len(kids) != 2:
@@ -126,7 +155,7 @@ def sankoff_score(patterns: DataFrame, tree: Tree, cost: Matrix, weight: str = "
     """One row: the least total cost of changes on any tree, where a change from i to j costs ``cost[i][j]``.
 
     The min-plus form of pruning: a projection for each inner node holds the least cost below it for each of its states.
-    A null state is any state.
+    A null state is any state; one that ``cost`` does not have raises.
     """
     k, below = len(cost), children_of(tree)
     rows = patterns
@@ -134,7 +163,7 @@ def sankoff_score(patterns: DataFrame, tree: Tree, cost: Matrix, weight: str = "
     def least(child: str, s: int) -> Column:
         if child in below:
             return F.least(*(F.lit(float(cost[s][r])) + F.col(f"_{child}_{r}") for r in range(k)))
-        return F.coalesce(F.get(F.array(*(F.lit(float(x)) for x in cost[s])), F.col(child).cast("int")), F.lit(float(min(cost[s]))))
+        return F.coalesce(F.get(F.array(*(F.lit(float(x)) for x in cost[s])), _state(child, k)), F.lit(float(min(cost[s]))))
 
     for node, kids in below.items():
         rows = rows.select("*", *(reduce(lambda a, b: a + b, (least(c, s) for c in kids)).alias(f"_{node}_{s}") for s in range(k)))
@@ -175,26 +204,47 @@ def robinson_foulds(splits: DataFrame, pairs: DataFrame) -> DataFrame:
 def path_distances(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, distance: the length of the path between the nodes of each pair, null if they are in different trees.
 
-    ``nodes`` are (node, parent, length). The ancestors of the nodes that are asked for are found by doubling the steps: an
-    ancestor at 2 n steps is one at n steps from one at n steps, so that deep trees take few rounds. The path turns at the
-    common ancestor that is nearest.
+    ``nodes`` are (node, parent, length). Steps are doubled: one table for each power of two, with a node's ancestor that
+    far up and the way there. The deeper end of a pair is lifted to the other's depth, then both ends as long as they stay
+    apart. Rows are as many as nodes, for each power, and pairs: no node meets all its ancestors, so that deep trees cost
+    what flat ones do, a few rounds more. Nodes that name each other as parents raise.
     """
-    hop = cut(nodes.where("parent is not null").select(F.col("node").alias("at"), F.col("parent").alias("to"), F.col("length").alias("d")))
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    above = cut(asked.select("node", F.col("node").alias("anc"), F.lit(0.0).alias("d")))
-    left = hop.count()
+    hop = cut(nodes.where("parent is not null").select(F.col("node").alias("at"), F.col("parent").alias("to"), F.col("length").cast("double").alias("d")))
+    steps, left = [], hop.count()
     while left:
-        up = above.join(hop.select(F.col("at").alias("anc"), "to", F.col("d").alias("more")), "anc").select("node", F.col("to").alias("anc"), (F.col("d") + F.col("more")).alias("d"))
-        above = cut(above.union(up))
+        steps.append(hop)
         hop = cut(hop.alias("x").join(hop.alias("y"), F.col("x.to") == F.col("y.at")).select("x.at", "y.to", (F.col("x.d") + F.col("y.d")).alias("d")))
         # in a tree, some node is just so deep that it drops out
         before, left = left, hop.count()
         if left == before:
             raise ValueError("the nodes have a cycle")
-    x = above.select(F.col("node").alias("a"), "anc", F.col("d").alias("da"))
-    y = above.select(F.col("node").alias("b"), "anc", F.col("d").alias("db"))
-    met = pairs.select("a", "b").distinct().join(x, "a").join(y, ["b", "anc"]).groupBy("a", "b").agg(F.min(F.col("da") + F.col("db")).alias("distance"))
-    return pairs.select("a", "b").join(met, ["a", "b"], "left")
+    known = nodes.select("node").distinct()
+    end = lambda x: pairs.select(x).distinct().join(known, F.col(x) == F.col("node"), "left_semi").select(F.col(x).alias("own"), F.col(x).alias("at"), F.lit(0).cast("long").alias("depth"))
+    depths = end("a").union(end("b")).distinct()
+    for k in reversed(range(len(steps))):
+        up = steps[k].select("at", "to")
+        depths = cut(depths.join(up, "at", "left").select("own", F.coalesce("to", "at").alias("at"), (F.col("depth") + F.when(F.col("to").isNotNull(), 1 << k).otherwise(0)).alias("depth")))
+    # what stands at the root tells trees apart
+    of = lambda x: depths.select(F.col("own").alias(x), F.col("at").alias(f"root_{x}"), F.col("depth").alias(f"deep_{x}"))
+    met = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").where("root_a = root_b")
+    met = met.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"), (F.col("deep_a") - F.col("deep_b")).alias("gap"), F.lit(0.0).alias("d"))
+
+    def lifted(rows: DataFrame, k: int, which: str) -> DataFrame:
+        return rows.join(steps[k].select(F.col("at").alias(which), F.col("to").alias(f"to_{which}"), F.col("d").alias(f"d_{which}")), which, "left")
+
+    for k in reversed(range(len(steps))):
+        far = F.abs("gap") >= 1 << k
+        rows = lifted(lifted(met, k, "x"), k, "y")
+        up_x, up_y = far & (F.col("gap") > 0), far & (F.col("gap") < 0)
+        met = cut(rows.select("a", "b", F.when(up_x, F.col("to_x")).otherwise(F.col("x")).alias("x"), F.when(up_y, F.col("to_y")).otherwise(F.col("y")).alias("y"), F.when(far, F.col("gap") - F.signum("gap").cast("long") * (1 << k)).otherwise(F.col("gap")).alias("gap"), (F.col("d") + F.when(up_x, F.col("d_x")).when(up_y, F.col("d_y")).otherwise(0.0)).alias("d")))
+    for k in reversed(range(len(steps))):
+        rows = lifted(lifted(met, k, "x"), k, "y")
+        apart = F.coalesce(F.col("to_x") != F.col("to_y"), F.lit(False))
+        met = cut(rows.select("a", "b", F.when(apart, F.col("to_x")).otherwise(F.col("x")).alias("x"), F.when(apart, F.col("to_y")).otherwise(F.col("y")).alias("y"), "gap", (F.col("d") + F.when(apart, F.col("d_x") + F.col("d_y")).otherwise(0.0)).alias("d")))
+    if steps:  # the ends are the same or children of the node where the path turns
+        rows = lifted(lifted(met, 0, "x"), 0, "y")
+        met = rows.select("a", "b", F.when(F.col("x") == F.col("y"), F.col("d")).otherwise(F.col("d") + F.col("d_x") + F.col("d_y")).alias("d"))
+    return pairs.select("a", "b").join(met.select("a", "b", F.col("d").alias("distance")), ["a", "b"], "left")
 
 
 def hadamard(spectrum: DataFrame, bits: int) -> DataFrame:
