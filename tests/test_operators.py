@@ -217,11 +217,12 @@ def test_belief_propagation_is_exact_on_a_chain(spark):
     want = {(s, v): sum(w for x, w in weight.items() if x[s] == v) / sum(weight.values()) for s in range(4) for v in range(q)}
     got = enumeration.propagate(spark.createDataFrame(edges, "i long, j long, w double"), spark.createDataFrame([(s, *h) for s, h in enumerate(field)], "site long, h0 double, h1 double"), q, 4, 0.0)
     assert all(math.isclose(r["p"], want[r["site"], r["label"]], rel_tol=1e-9) for r in got.collect())
-    chain = enumeration.configurations(spark, 4, q, [(i, i + 1, 0.6) for i in range(3)], [0.3, -0.1])
+    one = spark.createDataFrame([(1, 0.5, [0.3, -0.1])], "graph long, scale double, field array<double>")
+    chain = enumeration.configurations(one, 4, q, [(i, i + 1, 1.2) for i in range(3)])
     z = enumeration.log_partition(chain).first()["log_z"]
     assert math.isclose(enumeration.chain_log_partition(spark.createDataFrame([(4,)], "length long"), 0.6, [0.3, -0.1]).first()["log_z"], z, rel_tol=1e-12)
     with pytest.raises(ValueError, match="too many"):
-        enumeration.configurations(spark, 60, 3, [], [0.0] * 3)
+        enumeration.configurations(one, 60, 3, [])
 
 
 def test_a_component_that_nothing_belongs_to(spark):

@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 
 from weftline.operators.segments import carried, numbered, placed, scan, shifted
 
+#: So many times of a grid at most.
+TIMES = 10_000
+
 
 def r_squared(rows: DataFrame, predicted: Column, target: Column) -> DataFrame:
     """One row, r2: the share of the target's variance that the prediction explains; null where it has none."""
@@ -55,10 +58,12 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) ->
 def curve_band(traces: DataFrame, trial: str, time: str, value: str, grid: DataFrame) -> DataFrame:
     """time, trials, mean, sd over the trials' last values at each time of ``grid``, where every trial has started.
 
-    The grid is a report's, of bounded size: each trial gets a row for each of its times.
+    The grid is a report's: each trial gets a row for each of its times, of which more than TIMES raise.
     """
     trials = traces.select(trial).distinct()
-    times = grid.agg(F.sort_array(F.collect_set(time))).first()[0]
+    times = sorted(r[0] for r in grid.select(time).where(F.col(time).isNotNull()).distinct().limit(TIMES + 1).collect())
+    if len(times) > TIMES:
+        raise ValueError(f"a grid has at most {TIMES} times")
     kind = grid.schema[time].dataType.simpleString()
     asked = trials.withColumn(time, F.explode(F.array(*map(F.lit, times)).cast(f"array<{kind}>")))
     met = as_of(asked, traces, trial, time, value).groupBy(time).agg(F.count("*").alias("trials"), F.count(value).alias("started"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
@@ -95,8 +100,10 @@ def relabel(draws: DataFrame, pivot: DataFrame, k: int) -> DataFrame:
     """draw, labels, agreement: the renaming of each draw's labels that agrees with ``pivot`` on most observations.
 
     ``draws`` are (draw, obs, label), ``pivot`` (obs, label). ``labels`` lists, for each label of the pivot, the draw's own;
-    of equal ones the first in order wins. Only the k * k counts of a draw meet the k! renamings.
+    of equal ones the first in order wins. Only the k * k counts of a draw meet the k! renamings; more than 6 labels raise.
     """
+    if k > 6:
+        raise ValueError("more than 6 labels have too many renamings")
     met = draws.join(pivot.select("obs", F.col("label").alias("want")), "obs").where(F.col("label").between(0, k - 1) & F.col("want").between(0, k - 1))
     cell = [F.sum(F.when((F.col("want") == i) & (F.col("label") == j), 1).otherwise(0)).alias(f"n{i}_{j}") for i in range(k) for j in range(k)]
     counts = met.groupBy("draw").agg(*cell)
@@ -115,15 +122,16 @@ def mcnemar(wins: DataFrame) -> DataFrame:
     return wins.withColumn("p", F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail)))
 
 
-def temperatures(spark: SparkSession, hot: float, cold: float, steps: int, power: float = 1.0) -> DataFrame:
-    """step and a column for each ramp from ``hot`` to ``cold``: linear, exponential, cosine, inverse (linear in 1 / T), and power."""
-    f = F.col("step") / max(steps - 1, 1)
+def temperatures(rows: DataFrame, hot: str, cold: str, steps: int, power: float = 1.0) -> DataFrame:
+    """``rows`` with step and a column for each ramp from ``hot`` to ``cold``, both above 0: linear, exponential, cosine,
+    inverse (linear in 1 / T), and power."""
+    f, h, c = F.col("step") / max(steps - 1, 1), F.col(hot), F.col(cold)
     mix = lambda a, b: (1 - f) * a + f * b
-    return spark.range(steps).select(F.col("id").alias("step")).select(
-        "step",
-        mix(hot, cold).alias("linear"),
-        F.exp(mix(math.log(hot), math.log(cold))).alias("exponential"),
-        (cold + (hot - cold) * (1 + F.cos(math.pi * f)) / 2).alias("cosine"),
-        (1 / mix(1 / hot, 1 / cold)).alias("inverse"),
-        (hot / F.pow(1 + F.col("step"), F.lit(power))).alias("power"),
+    return rows.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long")))).select(
+        "*",
+        mix(h, c).alias("linear"),
+        F.exp(mix(F.log(h), F.log(c))).alias("exponential"),
+        (c + (h - c) * (1 + F.cos(math.pi * f)) / 2).alias("cosine"),
+        (1 / mix(1 / h, 1 / c)).alias("inverse"),
+        (h / F.pow(1 + F.col("step"), F.lit(power))).alias("power"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.sources.shared import cut
@@ -13,21 +13,25 @@ from weftline.sources.shared import cut
 MOST = 1 << 24
 
 
-def configurations(spark: SparkSession, sites: int, q: int, edges: list[tuple[int, int, float]], field: list[float]) -> DataFrame:
-    """id, log_weight of every labelling: the weights of its equal edges and the field of its labels.
+def configurations(graphs: DataFrame, sites: int, q: int, edges: list[tuple[int, int, float]]) -> DataFrame:
+    """graph, id, log_weight of every labelling of every graph: its equal edges' weights and the field of its labels.
 
-    Site s of labelling ``id`` has label (id div q ** s) mod q. The labellings are a range that Spark deals out.
+    ``graphs`` are (graph, scale, field): a factor on the edges' weights and the weight of each of the q labels. Site s of
+    labelling ``id`` has label (id div q ** s) mod q. Labellings are made from their upper and lower halves, so that no row
+    holds them all.
     """
     if q**sites > MOST:
         raise ValueError(f"{q} ** {sites} labellings are too many to enumerate")
+    low = q ** (sites // 2)
+    rows = graphs.select("graph", "scale", "field", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q**sites // low - 1).cast("long"))).alias("high"))
+    rows = rows.select("graph", "scale", "field", "high", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(low - 1).cast("long"))).alias("low")).select("graph", "scale", "field", (F.col("high") * low + F.col("low")).alias("id"))
     label = [label_of(s, q) for s in range(sites)]
-    field_of = F.array(*map(F.lit, map(float, field)))
-    total = F.lit(0.0)
+    equal, own = F.lit(0.0), F.lit(0.0)
     for i, j, w in edges:
-        total = total + F.when(label[i] == label[j], F.lit(float(w))).otherwise(0.0)
+        equal = equal + F.when(label[i] == label[j], F.lit(float(w))).otherwise(0.0)
     for s in range(sites):
-        total = total + F.get(field_of, label[s].cast("int"))
-    return spark.range(q**sites).select("id", total.alias("log_weight"))
+        own = own + F.get("field", label[s].cast("int"))
+    return rows.select("graph", "id", (F.col("scale") * equal + own).alias("log_weight"))
 
 
 def label_of(site: int | Column, q: int) -> Column:
@@ -37,26 +41,25 @@ def label_of(site: int | Column, q: int) -> Column:
 
 
 def log_partition(weights: DataFrame) -> DataFrame:
-    """One row: states and log_z, the log of the summed weights, in two passes so that no weight overflows."""
-    top = weights.agg(F.max("log_weight")).first()[0]
-    if top is None or top == float("-inf"):
-        return weights.agg(F.count("*").alias("states")).withColumn("log_z", F.lit(float("-inf")))
-    return weights.agg(F.count("*").alias("states"), (F.lit(top) + F.log(F.sum(F.exp(F.col("log_weight") - top)))).alias("log_z"))
+    """graph, states, log_z: the log of the summed weights of each graph, scaled by its largest so that none overflows."""
+    top = weights.groupBy("graph").agg(F.max("log_weight").alias("top"))
+    sums = weights.join(top, "graph").groupBy("graph", "top").agg(F.count("*").alias("states"), F.sum(F.exp(F.col("log_weight") - F.col("top"))).alias("z"))
+    return sums.select("graph", "states", F.when(F.col("top") == float("-inf"), F.col("top")).otherwise(F.col("top") + F.log("z")).alias("log_z"))
 
 
 def site_marginals(weights: DataFrame, sites: int, q: int) -> DataFrame:
-    """site, label, p: the share of the weight in which a site has a label. Labels that no labelling has are left out."""
-    top = weights.agg(F.max("log_weight")).first()[0] or 0.0
+    """graph, site, label, p: the share of a graph's weight in which a site has a label. Labels that none has are left out."""
+    top = weights.groupBy("graph").agg(F.max("log_weight").alias("top"))
     each = F.array(*(F.struct(F.lit(s).cast("long").alias("site"), label_of(s, q).alias("label")) for s in range(sites)))
-    sums = weights.select(F.explode(each).alias("e"), F.exp(F.col("log_weight") - top).alias("w")).groupBy("e.site", "e.label").agg(F.sum("w").alias("w"))
-    total = sums.groupBy("site").agg(F.sum("w").alias("t"))
-    return sums.join(total, "site").select("site", "label", (F.col("w") / F.col("t")).alias("p"))
+    sums = weights.join(top, "graph").select("graph", F.explode(each).alias("e"), F.exp(F.col("log_weight") - F.col("top")).alias("w")).groupBy("graph", "e.site", "e.label").agg(F.sum("w").alias("w"))
+    total = sums.groupBy("graph", "site").agg(F.sum("w").alias("t"))
+    return sums.join(total, ["graph", "site"]).select("graph", "site", "label", (F.col("w") / F.col("t")).alias("p"))
 
 
 def marginal_decode(marginals: DataFrame) -> DataFrame:
-    """site, label: each site's most likely label, ties to the smallest."""
-    best = marginals.groupBy("site").agg(F.max(F.struct("p", (-F.col("label")).alias("back"))).alias("best"))
-    return best.select("site", (-F.col("best.back")).alias("label"))
+    """graph, site, label: each site's most likely label, ties to the smallest."""
+    best = marginals.groupBy("graph", "site").agg(F.max(F.struct("p", (-F.col("label")).alias("back"))).alias("best"))
+    return best.select("graph", "site", (-F.col("best.back")).alias("label"))
 
 
 def chain_log_partition(chains: DataFrame, coupling: float, field: list[float], bits: int = 40) -> DataFrame:

@@ -89,6 +89,11 @@ _COUNTS = (
 )
 _PERMS = list(itertools.permutations(range(LABELS)))
 
+def _ends(spark, sf):  # noqa: ANN001, ANN202
+    """nation, hot, cold: a first and a last temperature from each nation's customers."""
+    return table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("long").alias("nation")).agg((1 + F.max(F.col("c_acctbal").cast("double")) / 1000).alias("hot"), (0.1 + F.pmod(F.count("*"), F.lit(5)) * 0.1).alias("cold"))
+
+
 QUERIES = {
     "hmm_viterbi": (lambda s, d: hidden.viterbi(_symbols(s, d), *_model()), _VITERBI),
     "baum_welch_counts": (lambda s, d: hidden.expected_counts(_symbols(s, d), *_model()).withColumn("n", F.round("n", 4)), _COUNTS),
@@ -115,8 +120,8 @@ QUERIES = {
         "SELECT draw, labels, agreement FROM (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY agreement DESC, k) AS r FROM u) WHERE r = 1",
     ),
     "schedule_table": (
-        lambda s, d: (lambda t: t.select("step", *(F.round(c, 9).alias(c) for c in t.columns[1:])))(comparison.temperatures(s, 4.0, 0.5, 40, 0.7)),
-        "WITH s AS (SELECT range AS step, range / 39.0::DOUBLE AS f FROM range(40)) SELECT step, round((1 - f) * 4 + f * 0.5::DOUBLE, 9) AS linear, round(exp((1 - f) * ln(4::DOUBLE) + f * ln(0.5::DOUBLE)), 9) AS exponential, round(0.5::DOUBLE + 3.5::DOUBLE * (1 + cos(pi() * f)) / 2, 9) AS cosine, round(1 / ((1 - f) * 0.25::DOUBLE + f * 2), 9) AS inverse, round(4 / pow(1 + step, 0.7::DOUBLE), 9) AS power FROM s",
+        lambda s, d: (lambda t: t.select("nation", "step", *(F.round(c, 9).alias(c) for c in ("linear", "exponential", "cosine", "inverse", "power"))))(comparison.temperatures(_ends(s, d), "hot", "cold", 40, 0.7)),
+        "WITH n AS (SELECT CAST(c_nationkey AS BIGINT) AS nation, 1 + max(c_acctbal) / 1000 AS hot, 0.1::DOUBLE + count(*) % 5 * 0.1 AS cold FROM customer GROUP BY 1), s AS (SELECT nation, hot, cold, range AS step, range / 39.0::DOUBLE AS f FROM n CROSS JOIN range(40)) SELECT nation, step, round((1 - f) * hot + f * cold, 9) AS linear, round(exp((1 - f) * ln(hot) + f * ln(cold)), 9) AS exponential, round(cold + (hot - cold) * (1 + cos(pi() * f)) / 2, 9) AS cosine, round(1 / ((1 - f) / hot + f / cold), 9) AS inverse, round(hot / pow(1 + step, 0.7::DOUBLE), 9) AS power FROM s",
     ),
     "hmm_forward_2state": (
         _forward,

@@ -65,6 +65,15 @@ def _min_sum(spark, sf):  # noqa: ANN001, ANN202
     return codes.min_sum_pass(checks, llr).withColumn("total", F.round("total", 6))
 
 
+def _rates(spark, sf, hit):  # noqa: ANN001, ANN202
+    """The share of each supplier's lines of which ``hit`` holds."""
+    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").cast("long").alias("channel")).agg(F.avg(F.when(F.expr(hit), 1.0).otherwise(0.0)).alias("p"))
+
+
+def _rates_sql(column: str, value: str) -> str:
+    return f"c AS (SELECT CAST(l_suppkey AS BIGINT) AS channel, avg(CASE WHEN {column} = '{value}' THEN 1::DOUBLE ELSE 0 END) AS p FROM lineitem GROUP BY 1)"
+
+
 QUERIES = {
     "gmm_em_3": (_fitted, _em_sql()),
     "merge_criterion": (
@@ -92,12 +101,12 @@ QUERIES = {
         "WITH q AS (SELECT quantile_cont(CAST(c_acctbal AS DOUBLE), [0.1, 0.3, 0.5, 0.7, 0.9]) AS q FROM customer) SELECT CAST(i AS BIGINT) AS seed, round(q[i + 1], 6) AS location FROM q CROSS JOIN (SELECT unnest(range(0, 5)) AS i)",
     ),
     "erasure_evolution": (
-        lambda s, d: codes.erasure_evolution(s, 0.4, 3, 6, 30).withColumn("x", F.round("x", 9)),
-        "WITH RECURSIVE r AS (SELECT CAST(0 AS BIGINT) AS step, 0.4::DOUBLE AS x UNION ALL SELECT step + 1, 0.4::DOUBLE * pow(1 - pow(1 - x, 5), 2) FROM r WHERE step < 30) SELECT step, round(x, 9) AS x FROM r",
+        lambda s, d: codes.erasure_evolution(_rates(s, d, "l_returnflag = 'R'"), "p", 3, 6, 30).select("channel", "step", F.round("x", 9).alias("x")),
+        f"WITH RECURSIVE {_rates_sql('l_returnflag', 'R')}, r AS (SELECT channel, p, CAST(0 AS BIGINT) AS step, p AS x FROM c UNION ALL SELECT channel, p, step + 1, p * pow(1 - pow(1 - x, 5), 2) FROM r WHERE step < 30) SELECT channel, step, round(x, 9) AS x FROM r",
     ),
     "binary_entropy": (
-        lambda s, d: codes.channel_capacity(s.range(101).select("id", (F.col("id") / 100.0).alias("p")), "p").select("id", F.round("entropy", 9).alias("entropy"), F.round("capacity", 9).alias("capacity")),
-        "WITH p AS (SELECT range AS id, range / 100.0::DOUBLE AS p FROM range(101)), h AS (SELECT id, CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -(p * ln(p) + (1 - p) * ln(1 - p)) / ln(2::DOUBLE) END AS h FROM p) SELECT id, round(h, 9) AS entropy, round(1 - h, 9) AS capacity FROM h",
+        lambda s, d: codes.channel_capacity(_rates(s, d, "l_linestatus = 'O'"), "p").select("channel", F.round("entropy", 9).alias("entropy"), F.round("capacity", 9).alias("capacity")),
+        f"WITH {_rates_sql('l_linestatus', 'O')}, h AS (SELECT channel, CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -(p * ln(p) + (1 - p) * ln(1 - p)) / ln(2::DOUBLE) END AS h FROM c) SELECT channel, round(h, 9) AS entropy, round(1 - h, 9) AS capacity FROM h",
     ),
     "syndrome": (
         lambda s, d: codes.syndrome(table(s, d, "lineitem").select(F.col("l_partkey").cast("long").alias("chk"), F.col("l_suppkey").cast("long").alias("bit")).distinct(), table(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("bit"), F.pmod(F.col("s_nationkey"), F.lit(2)).cast("long").alias("value"))),

@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from weftline.operators import enumeration
 from weftline.plans.common import LATTICE_SQL, STATES, labelled_lattice, table
 
-#: The open 3 x 3 lattice with two states.
-SIDE, Q, W, FIELD = 3, 2, 0.6, [0.3, -0.1]
-EDGES = [(3 * r + c, 3 * r + c + 1, W) for r in range(SIDE) for c in range(SIDE - 1)] + [(3 * r + c, 3 * r + c + 3, W) for r in range(SIDE - 1) for c in range(SIDE)]
+#: The open 3 x 3 lattice with two states, with the coupling and the field that each nation's customers give.
+SIDE, Q = 3, 2
+EDGES = [(3 * r + c, 3 * r + c + 1, 1.0) for r in range(SIDE) for c in range(SIDE - 1)] + [(3 * r + c, 3 * r + c + 3, 1.0) for r in range(SIDE - 1) for c in range(SIDE)]
 COUPLING, CHAIN = 0.75, [0.4, -0.1, -0.3]
 OWN, SWEEPS, DAMPING = 0.4, 3, 0.5
 
 
-def _weights(spark):  # noqa: ANN001, ANN202
-    return enumeration.configurations(spark, SIDE * SIDE, Q, EDGES, FIELD)
+def _weights(spark, sf):  # noqa: ANN001, ANN202
+    rich = F.avg(F.when(F.col("c_acctbal") > 4000, 1.0).otherwise(0.0))
+    graphs = table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("long").alias("graph")).agg((F.pmod(F.count("*"), F.lit(7)) * 0.15).alias("scale"), rich.alias("rich"))
+    return enumeration.configurations(graphs.select("graph", "scale", F.array(F.lit(0.0), F.col("rich") - 0.5).alias("field")), SIDE * SIDE, Q, EDGES)
 
 
-def _marginals(spark):  # noqa: ANN001, ANN202
-    return enumeration.site_marginals(_weights(spark), SIDE * SIDE, Q)
+def _marginals(spark, sf):  # noqa: ANN001, ANN202
+    return enumeration.site_marginals(_weights(spark, sf), SIDE * SIDE, Q)
 
 
-_LABEL = "(range // {0} % 2)"
-_W = " + ".join([f"CASE WHEN {_LABEL.format(Q**i)} = {_LABEL.format(Q**j)} THEN {w}::DOUBLE ELSE 0 END" for i, j, w in EDGES] + [f"CASE {_LABEL.format(Q**s)} WHEN 0 THEN {FIELD[0]}::DOUBLE ELSE {FIELD[1]}::DOUBLE END" for s in range(SIDE * SIDE)])
-_ALL = f"c AS (SELECT range AS id, {_W} AS log_weight FROM range({Q ** (SIDE * SIDE)}))"
-_SITES = f"{_ALL}, m AS (SELECT site, id // CAST(pow({Q}, site) AS BIGINT) % {Q} AS label, sum(exp(log_weight)) AS w FROM c CROSS JOIN (SELECT range AS site FROM range({SIDE * SIDE})) GROUP BY ALL), p AS (SELECT site, label, w / sum(w) OVER (PARTITION BY site) AS p FROM m)"
+_LABEL = "(id // {0} % 2)"
+_EQUAL = " + ".join(f"CASE WHEN {_LABEL.format(Q**i)} = {_LABEL.format(Q**j)} THEN 1 ELSE 0 END" for i, j, _ in EDGES)
+_OWN = " + ".join(_LABEL.format(Q**s) for s in range(SIDE * SIDE))
+_ALL = f"g AS (SELECT CAST(c_nationkey AS BIGINT) AS graph, count(*) % 7 * 0.15::DOUBLE AS scale, avg(CASE WHEN c_acctbal > 4000 THEN 1::DOUBLE ELSE 0 END) - 0.5 AS h FROM customer GROUP BY 1), c AS (SELECT graph, id, scale * ({_EQUAL}) + h * ({_OWN}) AS log_weight FROM g CROSS JOIN (SELECT range AS id FROM range({Q ** (SIDE * SIDE)})))"
+_SITES = f"{_ALL}, m AS (SELECT graph, site, id // CAST(pow({Q}, site) AS BIGINT) % {Q} AS label, sum(exp(log_weight)) AS w FROM c CROSS JOIN (SELECT range AS site FROM range({SIDE * SIDE})) GROUP BY ALL), p AS (SELECT graph, site, label, w / sum(w) OVER (PARTITION BY graph, site) AS p FROM m)"
 
 
 def _chains(spark, sf):  # noqa: ANN001, ANN202
@@ -69,10 +70,9 @@ def _beliefs_sql() -> str:
 
 
 QUERIES = {
-    "enumerate_potts": (lambda s, d: enumeration.log_partition(_weights(s)).withColumn("log_z", F.round("log_z", 9)), f"WITH {_ALL} SELECT count(*) AS states, round(ln(sum(exp(log_weight))), 9) AS log_z FROM c"),
-    "site_marginals": (lambda s, d: _marginals(s).withColumn("p", F.round("p", 9)), f"WITH {_SITES} SELECT site, label, round(p, 9) AS p FROM p"),
-    "marginal_decode": (lambda s, d: enumeration.marginal_decode(_marginals(s)), f"WITH {_SITES} SELECT site, arg_max(label, p) AS label FROM p GROUP BY site"),
+    "enumerate_potts": (lambda s, d: enumeration.log_partition(_weights(s, d)).withColumn("log_z", F.round("log_z", 9)), f"WITH {_ALL} SELECT graph, count(*) AS states, round(ln(sum(exp(log_weight))), 9) AS log_z FROM c GROUP BY graph"),
+    "site_marginals": (lambda s, d: _marginals(s, d).withColumn("p", F.round("p", 9)), f"WITH {_SITES} SELECT graph, site, label, round(p, 9) AS p FROM p"),
+    "marginal_decode": (lambda s, d: enumeration.marginal_decode(_marginals(s, d).withColumn("p", F.round("p", 9))), f"WITH {_SITES} SELECT graph, site, arg_max(label, (round(p, 9), -label)) AS label FROM p GROUP BY graph, site"),
     "chain_log_partition": (_chains, _chain_sql()),
     "bp_flooding_3": (_beliefs, _beliefs_sql()),
 }
-assert math.isclose(sum(w for _, _, w in EDGES), 12 * W)

@@ -1,4 +1,4 @@
-"""Queries on alignments whose sites are the lines of orders, on trees and splits of the tables, and on generated ones."""
+"""Queries on alignments whose sites are the lines of orders, and on trees of the tables."""
 
 from __future__ import annotations
 
@@ -6,33 +6,12 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
-from weftline.functions.columns import jc_other, jc_same, uniform_sql
+from weftline.functions.columns import jc_other, jc_same
 from weftline.operators import tree
 from weftline.plans.common import table
-from weftline.sources.generated import alignment
 
-SITES, INNER, K = 2000, 0.15, 4
-BRANCHES = {"a": 0.1, "b": 0.2, "c": 0.3, "d": 0.25}
-
-
-def _p(t: float) -> tuple[str, str]:
-    e = f"exp(-{t}::DOUBLE * {K / (K - 1.0)!r}::DOUBLE)"
-    return f"({1 / K}::DOUBLE + {(K - 1) / K}::DOUBLE * {e})", f"({1 / K}::DOUBLE - {1 / K}::DOUBLE * {e})"
-
-
-def _evolved(parent: str, t: float, taxon: str) -> str:
-    u, (same, other) = uniform_sql(f"'{taxon}'", "site"), _p(t)
-    return f"CAST(CASE WHEN {u} < {same} THEN {parent} ELSE ({parent} + 1 + least(CAST(floor(({u} - {same}) / {other}) AS BIGINT), {K - 2})) % {K} END AS BIGINT)"
-
-
-_ALIGNED = f"""z AS (SELECT range AS site FROM range({SITES})), r AS (SELECT site, CAST(floor({uniform_sql("'root'", "site")} * {K}) AS BIGINT) AS x FROM z),
-q AS (SELECT *, {_evolved("x", INNER, "inner")} AS y FROM r),
-al AS (SELECT site, {", ".join(f"{_evolved('x' if k in 'ab' else 'y', t, k)} AS {k}" for k, t in BRANCHES.items())} FROM q),
-pt AS (SELECT a, b, c, d, count(*) AS weight, min(site) AS first FROM al GROUP BY ALL)"""
-
-
-def _aligned(spark):  # noqa: ANN001, ANN202
-    return alignment(spark, SITES, BRANCHES, INNER, K)
+K = 4
+BRANCHES = "abcd"
 
 
 #: Eight taxa whose states are those of a line's part, changed in some orders.
@@ -116,10 +95,13 @@ QUERIES = {
         f"WITH {lines_sql()} SELECT count(*) AS n_patterns, CAST(sum(weight) AS BIGINT) AS n_sites, round(avg(CAST(weight AS DOUBLE)), 9) AS ratio FROM pt",
     ),
     "pair_counts": (lambda s, d: tree.pair_counts(table(s, d, "orders"), "o_orderstatus", "o_orderpriority"), "SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY ALL"),
-    "alignment_patterns": (lambda s, d: tree.site_patterns(alignment(s, SITES, BRANCHES, INNER, K), list(BRANCHES), F.col("site")), f"WITH {_ALIGNED} SELECT * FROM pt"),
+    "alignment_patterns": (
+        lambda s, d: tree.site_patterns(table(s, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("site"), *(F.expr(STATES[x]).cast("long").alias(x) for x in BRANCHES)), list(BRANCHES), F.col("site")),
+        f"WITH al AS (SELECT CAST(l_orderkey AS BIGINT) AS site, {', '.join(f'CAST({STATES[x]} AS BIGINT) AS {x}' for x in BRANCHES)} FROM lineitem) SELECT {', '.join(BRANCHES)}, count(*) AS weight, min(site) AS first FROM al GROUP BY ALL",
+    ),
     "jc_transition_table": (
-        lambda s, d: s.range(1, 51).select("id", (F.col("id") * 0.05).alias("t")).select("id", F.round(jc_same(F.col("t")), 9).alias("same"), F.round(jc_other(F.col("t")), 9).alias("other")),
-        f"SELECT range AS id, round({1 / K} + {(K - 1) / K} * exp(-range * 0.05::DOUBLE * {K / (K - 1.0)!r}::DOUBLE), 9) AS same, round({1 / K} - {1 / K} * exp(-range * 0.05::DOUBLE * {K / (K - 1.0)!r}::DOUBLE), 9) AS other FROM range(1, 51)",
+        lambda s, d: table(s, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), (F.abs(F.col("c_acctbal").cast("double")) / 2000).alias("t")).select("id", F.round(jc_same(F.col("t")), 9).alias("same"), F.round(jc_other(F.col("t")), 9).alias("other")),
+        f"WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS id, abs(CAST(c_acctbal AS DOUBLE)) / 2000 AS t FROM customer) SELECT id, round({1 / K} + {(K - 1) / K} * exp(-t * {K / (K - 1.0)!r}::DOUBLE), 9) AS same, round({1 / K} - {1 / K} * exp(-t * {K / (K - 1.0)!r}::DOUBLE), 9) AS other FROM c",
     ),
     "jc_distance_matrix": (
         lambda s, d: tree.distance_matrix(_lines(s, d), list("abcd")).select("a", "b", F.round("p", 9).alias("p"), F.round("distance", 9).alias("distance")),

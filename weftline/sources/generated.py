@@ -1,12 +1,10 @@
-"""Tables that are generated from keys: lattices, labellings, alignments, parity checks."""
+"""Lattices over the keys of a table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.columns import jc_other, jc_same, keyed_uniform
-
 
 def lattice(sites: DataFrame, width: int, site: str = "site") -> DataFrame:
     """The open square lattice over sites 0, 1, ... in rows of ``width``: eid, i, j. Edges to absent sites are left out."""
@@ -21,21 +19,3 @@ def triangular(sites: DataFrame, width: int, site: str = "site") -> DataFrame:
     diagonal = sites.where(F.pmod(F.col(site), F.lit(width)) < width - 1).select(F.col(site).alias("i"), (F.col(site) + width + 1).alias("j"))
     diagonal = diagonal.join(sites.select(F.col(site).alias("j")), "j", "left_semi").select("i", "j")
     return lattice(sites, width, site).select("i", "j").unionByName(diagonal)
-
-
-def evolved(parent: Column, t: float, taxon: str, site: Column, k: int = 4) -> Column:
-    """The state after branch length ``t`` from ``parent``: the same if the keyed uniform says so, else the next by it."""
-    u = keyed_uniform(F.lit(taxon), site)
-    same, other = jc_same(F.lit(t), k), jc_other(F.lit(t), k)
-    return F.when(u < same, parent).otherwise(F.pmod(parent + 1 + F.least(F.floor((u - same) / other), F.lit(k - 2)), F.lit(k))).cast("long")
-
-
-def alignment(spark: SparkSession, n_sites: int, branches: dict[str, float], inner: float, k: int = 4) -> DataFrame:
-    """Sites of the four-taxon tree ((a,b),(c,d)): site, a, b, c, d. ``inner`` is the branch between the two pairs."""
-    site = F.col("site")
-    root = F.floor(keyed_uniform(F.lit("root"), site) * k).cast("long")
-    rows = spark.range(n_sites).select(F.col("id").alias("site")).withColumn("x", root)
-    rows = rows.withColumn("y", evolved(F.col("x"), inner, "inner", site, k))
-    for taxon, t in branches.items():
-        rows = rows.withColumn(taxon, evolved(F.col("x" if taxon in "ab" else "y"), t, taxon, site, k))
-    return rows.select("site", *branches)
