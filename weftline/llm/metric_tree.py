@@ -110,6 +110,14 @@ def pages(points: np.ndarray, ids: np.ndarray, ints: np.ndarray, centre: np.ndar
     return out
 
 
+def kin(nodes: dict) -> dict:
+    """For each inner node, its children's numbers, centres, radii and distances to its own centre."""
+    below: dict = {}
+    for x in nodes.values():
+        below.setdefault(x["parent"], []).append(x)
+    return {p: (np.array([x["node"] for x in own]), np.array([x["centre"] for x in own]), np.array([x["radius"] for x in own]), np.array([x["parent_dist"] for x in own])) for p, own in below.items()}
+
+
 def walk(nodes: dict, children: dict, query: np.ndarray, own: int, k: int, norm2: float, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The best k (score, -vec_id) of ``found`` and of the tree's vectors, best first; in ``found``, NONE stands for no vector."""
     q = np.append(query.astype(np.float64), 0.0)
@@ -125,12 +133,13 @@ def walk(nodes: dict, children: dict, query: np.ndarray, own: int, k: int, norm2
             break
         x = nodes[node]
         if not x["leaf"]:
-            for child in children[node]:
-                y = nodes[child]
-                if abs(d - y["parent_dist"]) - y["radius"] <= limit:  # else its distance need not be computed
-                    e = float(_far(q, y["centre"]))
-                    if e - y["radius"] <= limit:
-                        heapq.heappush(heap, (e - y["radius"], child, e))
+            names, centres, radii, apart = children[node]
+            near = np.abs(d - apart) - radii <= limit  # of the others, no distance is computed
+            e = _far(centres[near], q)
+            least = e - radii[near]
+            good = least <= limit
+            for entry in zip(least[good].tolist(), names[near][good].tolist(), e[good].tolist(), strict=True):
+                heapq.heappush(heap, entry)
             continue
         near = np.abs(d - x["dists"]) <= limit
         near &= x["ids"] != own
@@ -161,13 +170,13 @@ def _searched(index: DataFrame, routed: DataFrame, k: int, dims: int, norm2: flo
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, int]] = []
         if left.num_rows and right.num_rows:
-            nodes, children = {}, {}
+            nodes: dict = {}
             for r in left.to_pylist():
                 r["centre"] = np.frombuffer(r["centre"])
                 if r["leaf"]:
                     r |= {"ids": np.frombuffer(r["ids"], dtype="<i8"), "vectors": np.frombuffer(r["vectors"], dtype="<i8").reshape(-1, dims), "dists": np.frombuffer(r["dists"])}
                 nodes[r["node"]] = r
-                children.setdefault(r["parent"], []).append(r["node"])
+            children = kin(nodes)
             for r in right.to_pylist():
                 query = np.frombuffer(r["data"].ljust(8 * dims, b"\0"), dtype="<i8")
                 known = [(r["least"], NONE)] * k if r["least"] is not None else []
