@@ -40,16 +40,22 @@ def _best(states: int):  # noqa: ANN202
     return lambda a, b: F.array(*(F.greatest(*(a[i * states + k] + b[k * states + j] for k in range(states))) for i, j in product(range(states), repeat=2)))
 
 
-def _steps(rows: DataFrame, segment: str, order: list[str], symbol: str, initial: list[float], transition: Matrix, emission: Matrix, logs: bool = False) -> DataFrame:
-    """segment, k, symbol and x: the matrix of each step. Every row of a first matrix is the initial distribution."""
+def _matrices(initial: list[float], transition: Matrix, emission: Matrix, logs: bool = False) -> tuple[Column, Column, Column]:
+    """The first steps' and later steps' matrices by symbol, and the place of column ``symbol`` in them: the last for a symbol
+    that says nothing."""
     n = len(initial)
     seen = [[emission[j][s] for j in range(n)] for s in range(len(emission[0]))] + [[1.0] * n]
     told = (lambda v: math.log(v) if v > 0 else float("-inf")) if logs else float
     literal = lambda m: F.array(*(F.lit(told(v)) for v in m))
     later = F.array(*(literal([transition[i][j] * e[j] for i in range(n) for j in range(n)]) for e in seen))
     first = F.array(*(literal([initial[j] * e[j] for _ in range(n) for j in range(n)]) for e in seen))
+    return first, later, F.when((F.col("symbol") >= 0) & (F.col("symbol") < len(seen) - 1), F.col("symbol")).otherwise(len(seen) - 1)
+
+
+def _steps(rows: DataFrame, segment: str, order: list[str], symbol: str, initial: list[float], transition: Matrix, emission: Matrix, logs: bool = False) -> DataFrame:
+    """segment, k, symbol and x: the matrix of each step. Every row of a first matrix is the initial distribution."""
+    first, later, code = _matrices(initial, transition, emission, logs)
     laid = numbered(rows.select(F.col(segment).alias("segment"), F.col(symbol).cast("int").alias("symbol"), *order), "segment", order)
-    code = F.when((F.col("symbol") >= 0) & (F.col("symbol") < len(seen) - 1), F.col("symbol")).otherwise(len(seen) - 1)
     m = F.when(F.col("k") == 0, F.get(first, code)).otherwise(F.get(later, code))
     return laid.select("segment", "k", "symbol", (m if logs else F.struct(m.alias("m"), F.lit(0.0).alias("scale"))).alias("x"))
 
@@ -58,14 +64,18 @@ def forward_log_likelihood(rows: DataFrame, segment: str, order: list[str], symb
     """segment, log_likelihood of its symbols (0 to n - 1) by the forward recursion; -inf where no path can emit them."""
     states = len(initial)
     times = _times(states)
-    level = _steps(rows, segment, order, symbol, initial, transition, emission).select("segment", "k", "x")
-    longest = level.agg(F.max("k")).first()[0] or 0
-    while True:
+    first, later, code = _matrices(initial, transition, emission)
+    laid = numbered(rows.select(F.col(segment).alias("segment"), F.col(symbol).cast("int").alias("symbol"), *order), "segment", order)
+    laid = laid.select("segment", "k", code.alias("symbol"))
+    longest = laid.agg(F.max("k")).first()[0] or 0
+    # symbols, not matrices, are gathered and folded
+    matrix = lambda p: F.struct(F.when(p["k"] == 0, F.get(first, p["symbol"])).otherwise(F.get(later, p["symbol"])).alias("m"), F.lit(0.0).alias("scale"))
+    blocks = laid.groupBy("segment", F.expr(f"k div {BLOCK}").alias("b")).agg(F.array_sort(F.collect_list(F.struct("k", "symbol"))).alias("parts"))
+    level = blocks.select("segment", F.col("b").alias("k"), F.aggregate(F.slice("parts", 2, BLOCK), matrix(F.col("parts")[0]), lambda a, p: times(a, matrix(p))).alias("x"))
+    while longest >= BLOCK:
+        level, longest = cut(level), longest // BLOCK
         blocks = level.groupBy("segment", F.expr(f"k div {BLOCK}").alias("k")).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("parts"))
         level = blocks.select("segment", "k", F.aggregate(F.slice("parts", 2, BLOCK), F.col("parts")[0]["x"], lambda a, p: times(a, p["x"])).alias("x"))
-        if longest < BLOCK:
-            break
-        level, longest = cut(level), longest // BLOCK
     # every row of the first matrix is the initial distribution, so any row of the product holds the forward weights
     last = sum((F.col("x.m")[j] for j in range(1, states)), F.col("x.m")[0])
     return level.select("segment", F.when(last > 0, F.col("x.scale") + F.log(last)).otherwise(float("-inf")).alias("log_likelihood"))

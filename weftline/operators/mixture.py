@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from weftline.functions.columns import keyed_uniform, log_gamma
@@ -80,19 +80,23 @@ def fit_gaussians(codes: DataFrame, params: list[tuple[float, float, float]], st
         r = em_step(codes, params).first()
         if r["log_likelihood"] is None:  # no rows
             break
-        n = sum(r[f"n{k}"] for k in range(len(params)))
         trace.append(r["log_likelihood"])
-        new = []
-        for k, (_, mean, var) in enumerate(params):
-            own = r[f"n{k}"]
-            if own > 0:
-                mean = r[f"s{k}"] / own
-                var = max(r[f"q{k}"] / own - mean**2, floor)
-            new.append((max(own / n, 5e-324), mean, var))
-        params = new
+        params = next_gaussians(r, params, floor)
     return params, trace
 
 
+def next_gaussians(r: Row, params: list[tuple[float, float, float]], floor: float = 1e-12) -> list[tuple[float, float, float]]:
+    """The parameters after the M step on the sums ``r`` of ``em_step``."""
+    n, new = sum(r[f"n{k}"] for k in range(len(params))), []
+    for k, (_, mean, var) in enumerate(params):
+        own = r[f"n{k}"]
+        if own > 0:
+            mean = r[f"s{k}"] / own
+            var = max(r[f"q{k}"] / own - mean**2, floor)
+        new.append((max(own / n, 5e-324), mean, var))
+    return new
+
+
 def merge_criterion(codes: DataFrame, params: list[tuple[float, float, float]]) -> DataFrame:
     """i < j, cosine: how alike two components share out the observations; null where one has none.
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from weftline.operators import codes, mixture
 from weftline.plans.common import table
+from weftline.sources.shared import new_folder
+from weftline.streaming import em
 
 START = [(0.3, 20_000.0, 1e8), (0.4, 40_000.0, 2e8), (0.3, 60_000.0, 3e8)]
 CENTRES = [[(1.0 if j % 4 == k else -1.0) * 0.1 for j in range(64)] for k in range(4)]
@@ -32,6 +34,14 @@ def _e_step(spark, sf):  # noqa: ANN001, ANN202
     return r.select(*(F.round(F.col(f"n{k}"), 4).alias(f"n{k}") for k in range(3)), F.round(F.col("log_likelihood"), 3).alias("log_likelihood"))
 
 
+def _stream_step(spark, sf):  # noqa: ANN001, ANN202
+    schema = spark.read.parquet(f"{sf}/lineitem.parquet").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/lineitem.parquet*")
+    folder = new_folder(spark, "stream-em")
+    r = em.mixture_step(stream, "l_extendedprice", START, f"{folder}/sums", f"{folder}/read")
+    return r.select(*(F.round(F.col(f"n{k}"), 4).alias(f"n{k}") for k in range(3)), F.round(F.col("log_likelihood"), 3).alias("log_likelihood"))
+
+
 _L = _components(START)
 _E_STEP = f"WITH c AS (SELECT CAST(l_extendedprice AS DOUBLE) AS x, count(*) AS n FROM lineitem GROUP BY ALL), l AS (SELECT n, {', '.join(f'{e} AS l{k}' for k, e in enumerate(_L))} FROM c), t AS (SELECT *, greatest(l0, l1, l2) AS m FROM l), z AS (SELECT *, exp(l0 - m) + exp(l1 - m) + exp(l2 - m) AS s FROM t) SELECT {', '.join(f'round(sum(n * exp(l{k} - m) / s), 4) AS n{k}' for k in range(3))}, round(sum(n * (m + ln(s))), 3) AS log_likelihood FROM z"
 _LISTS = "[" + ", ".join("[" + ", ".join(f"{x}::DOUBLE" for x in c) + "]" for c in CENTRES) + "]"
@@ -92,6 +102,7 @@ QUERIES = {
     "negbin_loglik": (_summed(lambda x: mixture.negative_binomial_log(x, 3.5, 0.12)), _sql("lgamma(3.5::DOUBLE + x) - lgamma(3.5::DOUBLE) - lgamma(x + 1) + 3.5 * ln(0.12::DOUBLE) + x * ln(0.88::DOUBLE)")),
     "betabin_loglik": (_summed(lambda x: mixture.beta_binomial_log(x, 60, 2.0, 3.0)), _sql("lgamma(61::DOUBLE) - lgamma(x + 1) - lgamma(61 - x) + lgamma(2 + x) - lgamma(2::DOUBLE) + lgamma(63 - x) - lgamma(3::DOUBLE) - lgamma(65::DOUBLE) + lgamma(5::DOUBLE)")),
     "gmm_e_step": (_e_step, _E_STEP),
+    "stream_em_step": (_stream_step, _E_STEP),
     "kmeans_cost": (
         lambda s, d: mixture.clustering_cost(table(s, d, "embeddings"), "embedding", CENTRES).withColumn("cost", F.round("cost", 6)),
         f"WITH c AS (SELECT unnest(range(0, 4)) AS k), f AS (SELECT vec_id, k, list_sum(list_transform(list_zip(embedding, list_extract({_LISTS}, k + 1)), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2]))) AS d FROM embeddings CROSS JOIN c), b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS r FROM f) SELECT CAST(k AS BIGINT) AS cluster, count(*) AS n, round(sum(d), 6) AS cost FROM b WHERE r = 1 GROUP BY k",

@@ -4,17 +4,29 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to ``spark.checkpoint.dir``; to a temporary folder only where that is unset in local mode."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset in local
+    mode."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path and not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(path or tempfile.mkdtemp(prefix="weftline-"))
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one that nothing has used yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
