@@ -64,3 +64,18 @@ def test_states_out_of_range_raise(spark):
     for run in (lambda: tree.pruning_log_likelihood(bad, shape), lambda: tree.sankoff_score(bad, shape, [[0.0, 1.0], [1.0, 0.0]]), lambda: tree.fitch_score(bad.selectExpr("99L as a", "b", "weight"), shape)):
         with pytest.raises(Exception, match="a state of a"):
             run().collect()
+
+
+def test_splits_that_sites_support(spark):
+    rng = random.Random(6)
+    names = ["t1", "t2", "t3", "x", "yy"]
+    rows = [(*(rng.choice([0, 0, 1, 1, rng.choice([2, None])]) for _ in names), rng.randint(1, 3)) for _ in range(80)]
+    want: dict = {}
+    for *states, n in rows:
+        own = [x for x, s in zip(names, states, strict=True) if s == states[0]]
+        other = [x for x in names if x not in own]
+        if None not in states and len(set(states)) == 2 and min(len(own), len(other)) > 1:
+            split = ",".join(own) + "|" + ",".join(other)
+            want[split] = want.get(split, 0) + n
+    table = spark.createDataFrame(rows, ", ".join(f"{x} long" for x in [*names, "weight"]))
+    assert dict(tree.split_support(table, names).collect()) == want and want

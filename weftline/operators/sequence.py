@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.operators.segments import carried, numbered, offsets, placed, shifted
+from weftline.operators.segments import carried, numbered, offsets, placed
 
 
 def ragged_offsets(rows: DataFrame, segment: str) -> DataFrame:
@@ -16,10 +16,18 @@ def ragged_offsets(rows: DataFrame, segment: str) -> DataFrame:
 
 
 def transition_mle(rows: DataFrame, segment: str, order: list[str], state: str) -> DataFrame:
-    """source, target, n, p: the counts and shares of steps from one state to the next within segments."""
-    laid = numbered(rows.select(F.col(segment).alias("segment"), F.col(state).alias("source"), *order), "segment", order)
-    pairs = laid.join(shifted(laid, "target", "source", 1), ["segment", "k"]).where("target is not null")
-    counts = pairs.groupBy("source", "target").agg(F.count("*").alias("n"))
+    """source, target, n, p: the counts and shares of steps from one state to the next within segments.
+
+    Steps within a range partition are a window's; one row a segment and part says where it begins and ends, and gives the
+    steps from part to part. Rows that tie in ``order`` stand by state. Steps to a null state are not counted.
+    """
+    laid = placed(rows.select(F.col(segment).alias("segment"), F.col(state).alias("source"), *order), "segment", order)
+    inside = Window.partitionBy("segment", "_part").orderBy(*order, "source")
+    steps = laid.select("source", F.lead("source").over(inside).alias("target"))
+    at = F.struct(*order, "source")
+    ends = laid.groupBy("segment", "_part").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    across = ends.select(F.col("last.source").alias("source"), F.lead("first.source").over(Window.partitionBy("segment").orderBy("_part")).alias("target"))
+    counts = steps.union(across).where("target is not null").groupBy("source", "target").agg(F.count("*").alias("n"))
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("source")))
 
 

@@ -172,11 +172,23 @@ def sankoff_score(patterns: DataFrame, tree: Tree, cost: Matrix, weight: str = "
 
 
 def split_support(patterns: DataFrame, taxa: list[str], weight: str = "weight") -> DataFrame:
-    """split, n: the sites that support each of the three ways to part four taxa in pairs."""
-    a, b, c, d = taxa
-    two = lambda x, y, z, w: (F.col(x) == F.col(y)) & (F.col(z) == F.col(w)) & (F.col(x) != F.col(z))
-    split = F.when(two(a, b, c, d), f"{a}{b}|{c}{d}").when(two(a, c, b, d), f"{a}{c}|{b}{d}").when(two(a, d, b, c), f"{a}{d}|{b}{c}")
-    return patterns.withColumn("split", split).where("split is not null").groupBy("split").agg(F.sum(weight).alias("n"))
+    """split, n: the sites that part the taxa in two sides of two or more, each of one state; any number of taxa.
+
+    A split is spelled as the side of the first taxon, a bar and the other side, names one after the other, with commas
+    between longer ones. Sites with nulls, or with more than two states, support none.
+    """
+    every = F.array(*(F.struct(F.lit(x).alias("x"), F.col(f"`{x}`").alias("s")) for x in taxa))
+    glue = "" if all(len(x) == 1 for x in taxa) else ","
+
+    def told(seen: Column) -> Column:
+        own = F.filter(seen, lambda e: e["s"] == seen[0]["s"])
+        other = F.filter(seen, lambda e: e["s"] != seen[0]["s"])
+        two = F.forall(seen, lambda e: e["s"].isNotNull()) & (F.size(F.array_distinct(F.transform(seen, lambda e: e["s"]))) == 2)
+        names = lambda side: F.array_join(F.transform(side, lambda e: e["x"]), glue)
+        return F.when(two & (F.size(own) > 1) & (F.size(other) > 1), F.concat(names(own), F.lit("|"), names(other)))
+
+    rows = patterns.select(F.transform(F.array(every), told)[0].alias("split"), F.col(weight).alias("_n")).where("split is not null")
+    return rows.groupBy("split").agg(F.sum("_n").alias("n"))
 
 
 def pattern_ratio(rows: DataFrame, columns: list[str]) -> DataFrame:

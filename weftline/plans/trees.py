@@ -116,6 +116,11 @@ QUERIES = {
         lambda s, d: tree.split_support(patterns(s, d, "abcd"), list("abcd")),
         f"WITH {lines_sql('abcd')}, s AS (SELECT weight, CASE WHEN a = b AND c = d AND a <> c THEN 'ab|cd' WHEN a = c AND b = d AND a <> b THEN 'ac|bd' WHEN a = d AND b = c AND a <> b THEN 'ad|bc' END AS split FROM pt) SELECT split, CAST(sum(weight) AS BIGINT) AS n FROM s WHERE split IS NOT NULL GROUP BY split",
     ),
+    "split_pattern_support_8": (
+        lambda s, d: tree.split_support(patterns(s, d), list(TAXA)),
+        f"WITH {lines_sql()}, l AS (SELECT weight, [{', '.join(TAXA)}] AS s FROM pt), t AS (SELECT weight, s, list_filter(range(1, {len(TAXA) + 1}), lambda i: s[i] = s[1]) AS own, list_filter(range(1, {len(TAXA) + 1}), lambda i: s[i] <> s[1]) AS other FROM l WHERE len(list_distinct(s)) = 2) "
+        f"SELECT array_to_string(list_transform(own, lambda i: substr('{TAXA}', i, 1)), '') || '|' || array_to_string(list_transform(other, lambda i: substr('{TAXA}', i, 1)), '') AS split, CAST(sum(weight) AS BIGINT) AS n FROM t WHERE len(own) > 1 AND len(other) > 1 GROUP BY 1",
+    ),
     "tree_path_distances": (
         _paths,
         "WITH RECURSIVE n AS (SELECT CAST(c_custkey AS BIGINT) AS node, CASE WHEN c_custkey > 1 THEN CAST(c_custkey // 2 AS BIGINT) END AS parent, 1 + c_nationkey * 0.25::DOUBLE AS length FROM customer), "
