@@ -126,9 +126,9 @@ def walk(nodes: dict, children: dict, query: np.ndarray, own: int, k: int, norm2
     root = nodes[0]
     d = float(_far(q, root["centre"]))
     heap = [(d - root["radius"], 0, d)]
+    limit = reach(base, found[-1][0]) if len(found) >= k else np.inf
     while heap:
         bound, node, d = heapq.heappop(heap)
-        limit = reach(base, found[-1][0]) if len(found) >= k else np.inf
         if bound > limit:
             break
         x = nodes[node]
@@ -142,14 +142,20 @@ def walk(nodes: dict, children: dict, query: np.ndarray, own: int, k: int, norm2
                 heapq.heappush(heap, entry)
             continue
         near = np.abs(d - x["dists"]) <= limit
-        near &= x["ids"] != own
-        ids = x["ids"][near]
-        scores = products(x["vectors"][near], query, base)
+        ids, vectors = x["ids"], x["vectors"]
+        if not near.all():
+            ids, vectors = ids[near], vectors[near]
+        scores = products(vectors, query, base)
         if len(found) >= k:
             good = scores >= found[-1][0]
+            if not good.any():
+                continue
             ids, scores = ids[good], scores[good]
+        other = ids != own
+        ids, scores = ids[other], scores[other]
         if len(ids):
             found = sorted([*found, *zip(scores.tolist(), (-i for i in ids.tolist()), strict=True)], reverse=True)[:k]
+            limit = reach(base, found[-1][0]) if len(found) >= k else np.inf
     return found
 
 
