@@ -48,15 +48,14 @@ def rows(spark, data, kind):
     return spark.createDataFrame(data, kind)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_forest_log_partition(spark, seed):
-    rng, q = random.Random(seed), 2 + seed % 2
+def test_forest_log_partition(spark):
+    rng, q = random.Random(3), 3
     nodes, edges, want = [], [], {}
-    for tree in range(3):
+    for tree in range(6):
         sites = list(range(8))
         h = {v: [rng.choice([0.0, 1.5, -2.0, float("-inf") if rng.random() < 0.2 else 0.3]) for _ in range(q)] for v in sites}
         h[0][0] = h[5][1] = 0.0
-        own = [(rng.randrange(v), v, rng.choice([-1.0, 0.5, 2.0])) for v in sites[1:] if v != 5 or tree]
+        own = [(rng.randrange(v), v, rng.choice([-1.0, 0.5, 2.0])) for v in sites[1:] if v != 5 or tree % 2]
         nodes += [(tree, v, h[v]) for v in sites]
         edges += [(tree, i, j, [w if s == t else 0.0 for s in range(q) for t in range(q)]) for i, j, w in own]
         root = parts(sites, own)
@@ -82,7 +81,7 @@ def test_unequal_pairs_keep_their_direction(spark):
 
 
 def test_a_long_path_and_a_star(spark):
-    n = 3000
+    n = 300
     edges = [(0, v, v + 1) for v in range(n - 1)] + [(1, 0, v) for v in range(1, n)]
     e = rows(spark, edges, "tree int, i long, j long").withColumn("pair", forests.potts_pair(F.lit(0.8), 3))
     nodes = spark.range(n).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("tree"), F.col("id").alias("site"), F.array(*[F.lit(0.0)] * 3).alias("field"))
@@ -100,51 +99,49 @@ def test_loops_raise(spark):
             forests.forest_log_partition(nodes, e, 2).collect()
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_spanning_forest_is_the_least(spark, seed):
-    rng = random.Random(seed)
-    pairs = [p for p in itertools.combinations(range(30), 2) if rng.random() < (0.05, 0.1, 0.4)[seed]]
+def test_spanning_forest_is_the_least(spark):
+    rng = random.Random(5)
+    pairs = [(30 * k + i, 30 * k + j) for k in range(3) for i, j in itertools.combinations(range(30), 2) if rng.random() < (0.05, 0.1, 0.4)[k]]
     edges = [(i, j, rng.randrange(6)) for i, j in pairs]
     got = forests.spanning_forest(rows(spark, edges, "i long, j long, order int")).collect()
     assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == kruskal(edges)
 
 
 def test_forests_cover_every_edge(spark):
-    pairs = list(itertools.combinations(range(9), 2)) + [(20, 21)]
+    pairs = list(itertools.combinations(range(5), 2)) + [(20, 21)]
     found, k = forests.covering_forests(rows(spark, pairs, "i long, j long"), 2)
     got = found.collect()
-    assert {(r.i, r.j) for r in got} == set(pairs) and 5 <= k <= 9
+    assert {(r.i, r.j) for r in got} == set(pairs) and 3 <= k <= 5
     times = {(i, j): sum((r.i, r.j) == (i, j) for r in got) for i, j in pairs}
     assert all(times[r.i, r.j] == r.times for r in got)
     for tree in range(k):
         own = [(r.i, r.j, 0) for r in got if r.tree == tree]
-        assert len(own) == 9 and kruskal(own) == {e[:2] for e in own}
+        assert len(own) == 5 and kruskal(own) == {e[:2] for e in own}
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_bounds_hold_the_log_partition(spark, seed):
-    rng, q = random.Random(seed), 3
+def test_bounds_hold_the_log_partition(spark):
+    rng, q = random.Random(2), 3
     pairs = [(v, v + 1) for v in (0, 1, 3, 4, 6, 7)] + [(v, v + 3) for v in range(6)] + [(10, 11), (11, 12)]
-    weights = [0.4, 1.1] if seed else [-0.7, 0.9]
-    edges = [(i, j, rng.choice(weights)) for i, j in pairs] + [(1, 0, 0.5), (4, 4, 0.25)]
+    edges = [(i, j, rng.choice([-0.7, 0.9]) if i < 10 else 1.1) for i, j in pairs] + [(1, 0, 0.5), (4, 4, 0.25)]
     sites = [*range(9), 10, 11, 12, 15]
     h = {v: [rng.uniform(-1, 1) for _ in range(q)] for v in sites}
     e, f = rows(spark, edges, "i long, j long, w double"), rows(spark, list(h.items()), "site long, h array<double>")
-    got = {r.component: r for r in forests.log_partition_bounds(e, f, q).collect()}
+    found = forests.log_partition_bounds(e, f, q, 4).join(forests.spanning_tree_bound(e, f, q).drop("sites"), "component")
+    got = {r.component: r for r in found.collect()}
     assert {c: r.sites for c, r in got.items()} == {0: 9, 10: 3, 15: 1}
     root = parts(sites, edges)
     for c, r in got.items():
         own = [x for x in edges if root[x[0]] == c]
         z = enumerated([v for v in sites if root[v] == c], own, h, q)
-        assert r.mean_field <= z + 1e-9 and z - 1e-9 <= r.spanning <= r.saturated + 1e-9
+        assert r.mean_field <= z + 1e-9 and z - 1e-9 <= r.bound <= r.saturated + 1e-9
         assert (r.decoupled is None) == any(w < 0 for *_, w in own)
         assert r.decoupled is None or r.decoupled <= r.mean_field + 1e-6
         if c:
-            assert r.spanning == pytest.approx(z)
+            assert r.bound == pytest.approx(z)
 
 
 def test_no_edges_and_no_sites(spark):
     none = rows(spark, [], "i long, j long, w double")
-    one = forests.log_partition_bounds(none, rows(spark, [(7, [0.0, 1.0])], "site long, h array<double>"), 2).first()
-    assert one.component == 7 and one.spanning == one.decoupled == pytest.approx(math.log(1 + math.e))
-    assert forests.log_partition_bounds(none, rows(spark, [], "site long, h array<double>"), 2).collect() == []
+    one = forests.log_partition_bounds(none, rows(spark, [(7, [0.0, 1.0])], "site long, h array<double>"), 2, 1).first()
+    assert one.component == 7 and one.decoupled == one.mean_field == pytest.approx(math.log(1 + math.e))
+    assert forests.spanning_tree_bound(none, rows(spark, [], "site long, h array<double>"), 2, 0).collect() == []

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import bond_components
-from weftline.sources.shared import cut
+from weftline.sources.shared import laid
 
 NEVER = float("-inf")
 
@@ -54,31 +54,31 @@ def forest_log_partition(nodes: DataFrame, edges: DataFrame, q: int) -> DataFram
     two becomes an edge between its neighbours. A constant share of the nodes goes in each round, whatever the shape, so that
     a path of n nodes takes log n rounds as a star does. All forests go side by side. A loop raises.
     """
-    nodes = cut(nodes.select("tree", "site", F.col("site").alias("least"), F.lit(1).cast("long").alias("sites"), "field"))
-    arcs = cut(_both(edges.select("tree", F.col("i").alias("a"), F.col("j").alias("b"), "pair"), q))
+    nodes = laid(nodes.select("tree", "site", F.col("site").alias("least"), F.lit(1).cast("long").alias("sites"), "field"))
+    arcs = laid(_both(edges.select("tree", F.col("i").alias("a"), F.col("j").alias("b"), "pair"), q))
     turn = 0
     while not arcs.isEmpty():
         rank = lambda x, turn=turn: F.struct(F.xxhash64(F.lit(turn), "tree", x).alias("r"), F.col(x).alias("s"))
         degree = arcs.groupBy("tree", F.col("a").alias("b")).agg(F.count("*").alias("n"))
         seen = arcs.select("tree", "a", "b").join(degree, ["tree", "b"]).groupBy("tree", "a").agg(F.count("*").alias("n"), F.min(F.when(F.col("n") <= 2, rank("b"))).alias("rival"))
-        gone = cut(seen.where((F.col("n") <= 2) & (F.col("rival").isNull() | (rank("a") < F.col("rival")))).select("tree", "a"))
+        gone = laid(seen.where((F.col("n") <= 2) & (F.col("rival").isNull() | (rank("a") < F.col("rival")))).select("tree", "a"))
         if gone.isEmpty():
             raise ValueError("the edges have a loop")
         # one or two edges each
         leaving = arcs.join(gone, ["tree", "a"]).groupBy("tree", "a").agg(F.array_sort(F.collect_list(F.struct("b", "pair"))).alias("to"))
         leaving = leaving.join(nodes.withColumnRenamed("site", "a"), ["tree", "a"])
-        leaving = cut(leaving.withColumn("two", F.when(F.size("to") < 2, False).when(F.col("to")[0]["b"] == F.col("to")[1]["b"], F.raise_error(F.lit("the edges have a loop")).cast("boolean")).otherwise(True)))
+        leaving = laid(leaving.withColumn("two", F.when(F.size("to") < 2, False).when(F.col("to")[0]["b"] == F.col("to")[1]["b"], F.raise_error(F.lit("the edges have a loop")).cast("boolean")).otherwise(True)))
         first, second = F.expr("to[0].pair"), F.expr("to[1].pair")
         message = F.transform(_labels(q), lambda t: _log_sum(F.transform(_labels(q), lambda r: F.get("field", r) + F.get(first, r * q + t))))
         given = leaving.select("tree", F.expr("to[0].b").alias("site"), "least", "sites", F.when(F.col("two"), F.array(*[F.lit(0.0)] * q)).otherwise(message).alias("m"))
         sums = given.groupBy("tree", "site").agg(F.min("least").alias("l"), F.sum("sites").alias("n"), F.array(*(F.sum(F.get("m", F.lit(t))) for t in range(q))).alias("m"))
         stay = nodes.join(gone.withColumnRenamed("a", "site"), ["tree", "site"], "left_anti").join(sums, ["tree", "site"], "left")
         added = F.when(F.col("m").isNull(), F.col("field")).otherwise(F.zip_with("field", "m", lambda x, y: x + y))
-        nodes = cut(stay.select("tree", "site", F.least("least", "l").alias("least"), (F.col("sites") + F.coalesce("n", F.lit(0))).alias("sites"), added.alias("field")))
+        nodes = laid(stay.select("tree", "site", F.least("least", "l").alias("least"), (F.col("sites") + F.coalesce("n", F.lit(0))).alias("sites"), added.alias("field")))
         through = F.transform(_labels(q * q), lambda p: _log_sum(F.transform(_labels(q), lambda r: F.get(first, r * q + F.floor(p / q).cast("int")) + F.get("field", r) + F.get(second, r * q + p % q))))
         new = leaving.where("two").select("tree", F.expr("to[0].b").alias("a"), F.expr("to[1].b").alias("b"), through.alias("pair"))
         rest = arcs.join(gone, ["tree", "a"], "left_anti").join(gone.withColumnRenamed("a", "b"), ["tree", "b"], "left_anti")
-        arcs = cut(rest.select("tree", "a", "b", "pair").union(_both(new, q)))
+        arcs = laid(rest.select("tree", "a", "b", "pair").union(_both(new, q)))
         turn += 1
     return nodes.select("tree", F.col("least").alias("component"), "sites", _log_sum(F.col("field")).alias("log_z"))
 
@@ -89,23 +89,23 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     Each round every component takes its least edge out; the trees of these choices become one component by pointer jumping,
     and of the edges between two components the least stays. Components at least halve, so that rounds are few.
     """
-    left = cut(edges.where("i <> j").select("i", "j", F.col("i").alias("a"), F.col("j").alias("b"), F.struct("order", "i", "j").alias("o")))
+    left = laid(edges.where("i <> j").select("i", "j", F.col("i").alias("a"), F.col("j").alias("b"), F.struct("order", "i", "j").alias("o")))
     done: DataFrame | None = None
     while not left.isEmpty():
         ends = left.select(F.col("a").alias("c"), F.col("b").alias("to"), "o").union(left.select("b", "a", "o"))
-        pick = cut(ends.groupBy("c").agg(F.min(F.struct("o", "to")).alias("m")).select("c", "m.to", F.col("m.o.i").alias("i"), F.col("m.o.j").alias("j")))
+        pick = laid(ends.groupBy("c").agg(F.min(F.struct("o", "to")).alias("m")).select("c", "m.to", F.col("m.o.i").alias("i"), F.col("m.o.j").alias("j")))
         chosen = pick.select("i", "j").distinct()
         done = chosen if done is None else done.union(chosen)
         # two components that chose one edge point at each other: the smaller becomes the root
         back = pick.select(F.col("c").alias("to"), F.col("to").alias("again"))
-        hooks = cut(pick.join(back, "to").select("c", F.when((F.col("again") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"), F.lit(True).alias("moved")))
+        hooks = laid(pick.join(back, "to").select("c", F.when((F.col("again") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"), F.lit(True).alias("moved")))
         while not hooks.where("moved").isEmpty():
             jump = hooks.select(F.col("c").alias("to"), F.col("to").alias("next"))
-            hooks = cut(hooks.join(jump, "to").select("c", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            hooks = laid(hooks.join(jump, "to").select("c", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
         root = lambda x: hooks.select(F.col("c").alias(x), F.col("to").alias(f"{x}2"))  # noqa: E731, B023
         met = left.join(root("a"), "a").join(root("b"), "b").where("a2 <> b2")
         left = met.groupBy(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).agg(F.min("o").alias("o"))
-        left = cut(left.select(F.col("o.i").alias("i"), F.col("o.j").alias("j"), "a", "b", "o"))
+        left = laid(left.select(F.col("o.i").alias("i"), F.col("o.j").alias("j"), "a", "b", "o"))
     return done if done is not None else edges.select("i", "j").limit(0)
 
 
@@ -117,12 +117,12 @@ def covering_forests(edges: DataFrame, least: int = 1, priority: Callable[[int],
     Their number grows with the density of the densest part, not with the number of edges.
     """
     order = priority or (lambda k: F.xxhash64(F.lit(k), "i", "j"))
-    times, forests, k = cut(edges.where("i <> j").select("i", "j", F.lit(0).alias("times"))), None, 0
+    times, forests, k = laid(edges.where("i <> j").select("i", "j", F.lit(0).alias("times"))), None, 0
     while k < least or not times.where("times = 0").isEmpty():
-        chosen = cut(spanning_forest(times.select("i", "j", F.struct("times", order(k).alias("p")).alias("order"))))
+        chosen = laid(spanning_forest(times.select("i", "j", F.struct("times", order(k).alias("p")).alias("order"))))
         own = chosen.select(F.lit(k).alias("tree"), "i", "j")
         forests = own if forests is None else forests.union(own)
-        times = cut(times.join(chosen.withColumn("one", F.lit(1)), ["i", "j"], "left").select("i", "j", (F.col("times") + F.coalesce("one", F.lit(0))).alias("times")))
+        times = laid(times.join(chosen.withColumn("one", F.lit(1)), ["i", "j"], "left").select("i", "j", (F.col("times") + F.coalesce("one", F.lit(0))).alias("times")))
         k += 1
     if forests is None:
         return times.select(F.lit(0).alias("tree"), "i", "j", "times"), k
@@ -136,7 +136,7 @@ def simple(edges: DataFrame, field: DataFrame, q: int) -> tuple[DataFrame, DataF
     own = pairs.where("i = j").select(F.col("i").alias("site"), F.col("w").alias("own"))
     h = F.transform("h", lambda x: x + F.coalesce("own", F.lit(0.0)))
     checked = F.when(F.size("h") == q, h).otherwise(F.raise_error(F.lit(f"a field does not list {q} labels")).cast("array<double>"))
-    return cut(pairs.where("i < j")), cut(field.join(own, "site", "left").select("site", checked.alias("h")))
+    return laid(pairs.where("i < j")), laid(field.join(own, "site", "left").select("site", checked.alias("h")))
 
 
 def spanning_tree_bound(edges: DataFrame, field: DataFrame, q: int, least: int = 2, priority: Callable[[int], Column] | None = None) -> DataFrame:
@@ -156,45 +156,37 @@ def spanning_tree_bound(edges: DataFrame, field: DataFrame, q: int, least: int =
 def mean_field(edges: DataFrame, field: DataFrame, q: int, sweeps: int, damping: float = 0.5) -> DataFrame:
     """site, p: the label shares of each site after ``sweeps`` damped sweeps over all sites at once, from its field alone."""
     names = range(q)
-    near = cut(edges.select(F.col("i").alias("site"), F.col("j").alias("other"), "w").union(edges.select("j", "i", "w")))
+    near = laid(edges.select(F.col("i").alias("site"), F.col("j").alias("other"), "w").union(edges.select("j", "i", "w")))
 
     def shares(x: Column) -> Column:
         return _bound(x, lambda a: _bound(_log_sum(a), lambda z: F.transform(a, lambda v: F.exp(v - z))))
 
-    now = cut(field.select("site", "h", shares(F.col("h")).alias("p")))
+    now = laid(field.select("site", "h", shares(F.col("h")).alias("p")))
     for _ in range(sweeps):
         pull = near.join(now.select(F.col("site").alias("other"), "p"), "other").groupBy("site").agg(F.array(*(F.sum(F.col("w") * F.get("p", F.lit(s))) for s in names)).alias("m"))
         met = now.join(pull, "site", "left")
         new = shares(F.when(F.col("m").isNull(), F.col("h")).otherwise(F.zip_with("h", "m", lambda x, y: x + y)))
-        now = cut(met.select("site", "h", F.zip_with("p", new, lambda x, y: damping * x + (1 - damping) * y).alias("p")))
+        now = laid(met.select("site", "h", F.zip_with("p", new, lambda x, y: damping * x + (1 - damping) * y).alias("p")))
     return now.select("site", "p")
 
 
-def log_partition_bounds(edges: DataFrame, field: DataFrame, q: int, sweeps: int = 10, least: int = 2, priority: Callable[[int], Column] | None = None) -> DataFrame:
-    """component, sites, decoupled, mean_field, spanning, saturated: bounds on each component's log partition, from below by the
-    first two, from above by the others.
+def log_partition_bounds(edges: DataFrame, field: DataFrame, q: int, sweeps: int = 10) -> DataFrame:
+    """component, sites, decoupled, mean_field, saturated: bounds on each component's log partition, from below by the first
+    two, from above by the last; ``spanning_tree_bound`` is tighter and takes more rounds.
 
     ``decoupled`` drops all edges and is null where a component has a negative weight, under which it is no bound;
     ``mean_field`` is the value of the product of ``mean_field``'s shares, a bound after any number of sweeps; ``saturated``
     gives every labelling the weight that no labelling exceeds.
     """
     edges, field = simple(edges, field, q)
-    upper = spanning_tree_bound(edges, field, q, least, priority)
-    roots = bond_components(edges)
-    site = field.join(mean_field(edges, field, q, sweeps), "site").join(roots, "site", "left").select("site", F.coalesce("root", "site").alias("component"), "h", "p")
-    site = cut(site)
+    met = field.join(mean_field(edges, field, q, sweeps), "site").join(bond_components(edges), "site", "left")
+    site = laid(met.select("site", F.coalesce("root", "site").alias("component"), "h", "p"))
     add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
     own = add(F.zip_with("p", "h", lambda p, h: F.when(p > 0, p * (h - F.log(p))).otherwise(0.0)))
-    by_site = site.groupBy("component").agg(F.sum(_log_sum(F.col("h"))).alias("free"), F.sum(own).alias("own"), F.sum(F.array_max("h")).alias("top"))
+    by_site = site.groupBy("component").agg(F.count("*").alias("sites"), F.sum(_log_sum(F.col("h"))).alias("free"), F.sum(own).alias("own"), F.sum(F.array_max("h")).alias("top"))
     a = site.select(F.col("site").alias("i"), "component", F.col("p").alias("pi"))
     b = site.select(F.col("site").alias("j"), F.col("p").alias("pj"))
     by_edge = edges.join(a, "i").join(b, "j").groupBy("component").agg(F.sum(F.col("w") * add(F.zip_with("pi", "pj", lambda x, y: x * y))).alias("met"), F.sum(F.greatest("w", F.lit(0.0))).alias("most"), F.min("w").alias("low"))
-    met = upper.join(by_site, "component").join(by_edge, "component", "left").fillna(0.0, ["met", "most", "low"])
-    return met.select(
-        "component",
-        "sites",
-        F.when(F.col("low") >= 0, F.col("free")).alias("decoupled"),
-        (F.col("own") + F.col("met")).alias("mean_field"),
-        F.col("bound").alias("spanning"),
-        (F.col("sites") * math.log(q) + F.col("top") + F.col("most")).alias("saturated"),
-    )
+    both = by_site.join(by_edge, "component", "left").fillna(0.0, ["met", "most", "low"])
+    saturated = F.col("sites") * math.log(q) + F.col("top") + F.col("most")
+    return both.select("component", "sites", F.when(F.col("low") >= 0, F.col("free")).alias("decoupled"), (F.col("own") + F.col("met")).alias("mean_field"), saturated.alias("saturated"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES: tuple[str, ...] = ("graphs", "sequences", "trees", "topologies", "mixtures", "families", "factors", "ranges", "fields", "comparisons", "models")
+MODULES: tuple[str, ...] = ("graphs", "sequences", "trees", "topologies", "mixtures", "families", "factors", "forests", "ranges", "fields", "comparisons", "models")
 
 
 def _all() -> dict[str, tuple[Callable, str | None]]:

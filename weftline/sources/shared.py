@@ -30,3 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed to the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def laid(df: DataFrame, name: str = "laid") -> DataFrame:
+    """``df`` written to the shared folder and reread.
+
+    For long iterations: a checkpoint hands on what the planner has inferred of its columns, which then grows from round to
+    round; a table that is read knows nothing but its files.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
