@@ -219,6 +219,56 @@ def nni_neighbours(trees: DataFrame) -> DataFrame:
     return at.select("tree", "branch", "swap", F.concat(part(F.lit(0), a0), part(b0, b1 + 1), part(a1 + 1, b0), part(a0, a1 + 1), part(b1 + 1, F.size("steps"))).alias("steps"))
 
 
+def spr_neighbours(trees: DataFrame, radius: int | None = None) -> DataFrame:
+    """tree, node, onto, upper, steps: the other trees that cutting one branch and grafting the cut part onto another makes.
+
+    Trees are unrooted, as for ``nni_neighbours``. The branch above ``node`` is cut; what goes is the subtree below it or, where
+    ``upper``, all the rest, and it is grafted onto the branch above ``onto``, at most ``radius`` nodes away from the place
+    it left. Equal trees come once, by the least (node, onto, upper): 2 (n - 3) (2 n - 7) of n leaves without a radius. The
+    node at the graft has no name and no length. Each new program is put together from slices of the old one.
+    """
+    if radius is not None and radius < 1:
+        raise ValueError("a radius is at least 1")
+    every = F.sequence(F.lit(0), F.size("steps") - 1)
+    size, begin = lambda k: F.get("sizes", k), lambda k: k - F.get("sizes", k) + 1
+    rows = sized(trees).select("tree", "steps", "sizes")
+    over = lambda k: F.filter(every, lambda j: (j >= k) & (begin(j) <= k))
+    rows = rows.withColumn("depths", F.transform(every, lambda k: F.size(over(k)) - 1))
+    cut_at = rows.withColumn("node", F.explode(F.sequence(F.lit(0), F.size("steps") - 2)))
+    # the nodes that hold the cut one, itself first and then its parent
+    cut_at = cut_at.withColumn("above", over(F.col("node"))).withColumn("p", F.get("above", F.lit(1))).withColumn("above", F.slice("above", 2, F.size("above") - 1))
+    shared = lambda y: F.size(F.filter("above", lambda a: (a >= y) & (begin(a) <= y))) - 1
+    depth = lambda k: F.get("depths", k)
+    away = lambda y: depth(F.col("p")) - shared(y) + F.greatest(depth(y) - 1 - shared(y), F.lit(0))
+    near = lambda d: (d >= 1) if radius is None else d.between(1, radius)
+    inside = lambda y: (y <= F.col("node")) & (y >= begin(F.col("node")))
+    lower = F.filter(F.sequence(F.lit(0), F.size("steps") - 2), lambda y: ~inside(y) & near(away(y)))
+    upper = F.filter(F.sequence(F.lit(0), F.size("steps") - 2), lambda y: inside(y) & (y < F.col("node")) & near(depth(y) - 1 - depth(F.col("node"))))
+    both = F.concat(F.transform(lower, lambda y: F.struct(y.alias("onto"), F.lit(False).alias("upper"))), F.transform(upper, lambda y: F.struct(y.alias("onto"), F.lit(True).alias("upper"))))
+    pairs = cut_at.withColumn("e", F.explode(both)).select("tree", "node", "e.onto", "e.upper", "steps", "sizes", "p")
+    node, onto = F.col("node"), F.col("onto")
+    part = lambda k: F.slice("steps", begin(k) + 1, size(k))
+    blank = lambda k: F.get("steps", k).withField("kids", F.lit(2)).withField("name", F.lit("")).withField("length", F.lit(None).cast("double"))
+    # without the cut part its parent goes; a root that is left with two children takes those of an inner one instead
+    sibling = F.get(F.filter(every, lambda k: (k != node) & (F.get("steps", k)["kids"] > 0) & (F.size(over(k)) == 2)), F.lit(0))
+    goes = F.when(F.col("p") == F.size("steps") - 1, sibling).otherwise(F.col("p"))
+    pairs = pairs.withColumn("goes", goes)
+    own = lambda k: F.array(F.get("steps", k))
+    none = F.slice("steps", 1, 0)
+    moved = F.flatten(F.transform(every, lambda k: F.when(inside(k) | (k == F.col("goes")), none).when(k == onto, F.concat(own(k), part(node), F.array(blank(F.col("p"))))).otherwise(own(k))))
+    # the nodes between the graft and the cut turn round: each keeps its other child and takes the one above as the second
+    path = F.filter(F.sequence(onto + 1, node), lambda k: begin(k) <= onto)
+    pairs = pairs.withColumn("path", F.when(F.col("upper"), path))
+    child = lambda j: F.when(j == 0, onto).otherwise(F.get("path", F.greatest(j - 1, F.lit(0))))
+    other = lambda k, j: F.when(child(j) == k - 1, k - 1 - size(k - 1)).otherwise(k - 1)
+    blocks = F.transform("path", lambda k, j: F.concat(part(other(k, j)), F.when(k == node, none).otherwise(own(k))))
+    turned = F.concat(F.slice("steps", F.lit(1), begin(node)), F.flatten(F.reverse(blocks)), part(onto), F.array(blank(node)), F.slice("steps", node + 2, F.size("steps")))
+    made = cut(pairs.select(F.struct("tree", "node", "onto", "upper").alias("tree"), F.when(F.col("upper"), turned).otherwise(moved).alias("steps")))
+    keys = topology_keys(made).select(F.col("tree.tree").alias("of"), "key", "tree")
+    kept = keys.join(topology_keys(trees).withColumnRenamed("tree", "of"), ["of", "key"], "left_anti").groupBy("of", "key").agg(F.min("tree").alias("tree"))
+    return made.join(kept.select("tree"), "tree", "left_semi").select("tree.tree", "tree.node", "tree.onto", "tree.upper", "steps")
+
+
 def columns_of(patterns: DataFrame, taxa: list[str], weight: str = "weight", block: int = 1024) -> DataFrame:
     """name, block, masks, weights: the states of each taxon as bit masks, about ``block`` patterns a row.
 
