@@ -84,6 +84,16 @@ def _neighbour_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scores.groupBy(F.col("tree.tree").alias("tree"), "score").agg(F.count("*").alias("n"))
 
 
+def _regraft_scores(spark: SparkSession, sf: str) -> DataFrame:
+    near = topology.spr_neighbours(_path_programs(spark, sf), 1).select(F.struct("tree", "node", "onto", "upper").alias("tree"), "steps")
+    scores = topology.fitch_scores(near, _columns(spark, sf))
+    return scores.groupBy(F.col("tree.tree").alias("tree"), "score").agg(F.count("*").alias("n"))
+
+
+def _regrafts(spark: SparkSession, sf: str) -> DataFrame:
+    return topology.spr_neighbours(_path_programs(spark, sf)).groupBy("tree").agg(F.count("*").alias("trees"), F.sum(F.size("steps").cast("long")).alias("nodes"))
+
+
 def _climb(spark: SparkSession, sf: str) -> DataFrame:
     return topology.climbed(_path_programs(spark, sf), _columns(spark, sf), 1).select("tree", "score", F.col("settled"))
 
@@ -119,6 +129,9 @@ QUERIES = {
         "SELECT a, b, CAST(count(*) FILTER (l + r = 1) AS BIGINT) AS distance, round(count(*) FILTER (l + r = 1) / CAST(sum(l + r) AS DOUBLE), 9) AS normalised FROM m GROUP BY a, b",
     ),
     "nni_fitch_scores": (_neighbour_scores, f"WITH RECURSIVE {_PATTERNS}, {_RUNS} SELECT tree, score, count(*) AS n FROM scores WHERE j > 0 GROUP BY ALL"),
+    # one node away, regrafts are the interchanges
+    "spr_fitch_scores": (_regraft_scores, f"WITH RECURSIVE {_PATTERNS}, {_RUNS} SELECT tree, score, count(*) AS n FROM scores WHERE j > 0 GROUP BY ALL"),
+    "spr_neighbourhoods": (_regrafts, f"WITH RECURSIVE {_PATTERNS}, {_RUNS} SELECT tree, 2 * (len(o) - 3) * (2 * len(o) - 7) AS trees, 2 * (len(o) - 3) * (2 * len(o) - 7) * (2 * len(o) - 2) AS nodes FROM q"),
     "parsimony_round": (
         _climb,
         f"WITH RECURSIVE {_PATTERNS}, {_RUNS}, b AS (SELECT tree, min(score) FILTER (j = 0) AS own, min(score) FILTER (j > 0) AS least FROM scores GROUP BY tree) SELECT tree, least(own, least) AS score, least >= own AS settled FROM b",
