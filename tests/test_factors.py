@@ -104,3 +104,19 @@ def test_odd_graphs(spark):
     assert {r["p"] for r in factors.marginals(*alone).where("v = 0").collect()} == {None}
     with pytest.raises(ValueError, match="twice"):
         factors.solve(*frames(spark, {0: 2}, [(0, 0, 0), (0, 1, 0)], {(0, (0, 0)): 1.0}))
+
+
+def test_whole_tables_stay_one_row_a_factor(spark):
+    """A chain with a variable of many states, from tables in row-major order: a row a factor, not one for each entry and axis."""
+    rng = random.Random(7)
+    card = {v: 20 if v == 3 else 2 for v in range(8)}
+    axes = [(f, k, v) for f in range(7) for k, v in enumerate((f + 1, f) if f % 2 else (f, f + 1))]
+    entries = {(f, idx): NEVER if rng.random() < 0.1 and any(idx) else rng.uniform(-2, 2) for f in range(7) for idx in itertools.product(*(range(card[v]) for g, _, v in sorted(axes) if g == f))}
+    variables, rows, _ = frames(spark, card, axes, entries)
+    weights = spark.createDataFrame([(f, [w for (g, _), w in sorted(entries.items()) if g == f]) for f in range(7)], "f long, weights array<double>")
+    parts, _ = factors._packed(variables, rows, weights)
+    assert parts.count() == 7
+    every = list(enumerated(card, axes, entries))
+    m = {(r["v"], r["state"]): r["m"] for r in factors.solve(variables, rows, weights).collect()}
+    assert m == {(v, s): pytest.approx(logsum([w for x, w in every if x[v] == s]), abs=1e-9) for v, n in card.items() for s in range(n)}
+    assert [tuple(r) for r in factors.log_partition(variables, rows, weights).collect()] == [(0, pytest.approx(logsum([w for _, w in every]), abs=1e-9))]

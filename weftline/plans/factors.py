@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import itertools
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import factors
 from weftline.plans.common import table
+from weftline.sources.shared import laid
 
 #: States of an order and of a line.
 OF_ORDER, OF_LINE = 3, 2
@@ -14,18 +18,23 @@ OF_ORDER, OF_LINE = 3, 2
 
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("o"), F.col("l_linenumber").cast("long").alias("k")).agg(F.min("l_suppkey").cast("long").alias("s"))
+    lines = laid(lines, "lines")
     lines = lines.withColumn("f", F.expr("o * 8 + (k + 1) div 2"))
     orders = lines.select((F.col("o") * 8).alias("v")).distinct()
     variables = orders.withColumn("card", F.lit(OF_ORDER)).union(lines.select((F.col("o") * 8 + F.col("k")).alias("v"), F.lit(OF_LINE).alias("card")))
-    heads = lines.groupBy("f").agg(F.first("o").alias("o"), F.count("*").alias("n"), F.sum("s").alias("s"))
-    axes = heads.select("f", F.lit(0).alias("axis"), (F.col("o") * 8).alias("v"))
-    second = (F.col("k") % 2 == 0) & (F.col("n") == 2)
-    axes = axes.union(lines.join(heads.select("f", "n"), "f").select("f", F.when(second, 2).otherwise(1).alias("axis"), (F.col("o") * 8 + F.col("k")).alias("v")))
-    tuples = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(OF_ORDER - 1)), lambda a: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(OF_LINE - 1)), lambda b: F.when(F.col("n") == 1, F.array(F.array(a, b))).otherwise(F.array(*(F.array(a, b, F.lit(c)) for c in range(OF_LINE))))))))
-    listed = heads.select("f", "s", F.explode(tuples).alias("idx"))
-    code = F.aggregate("idx", F.lit(0).cast("long"), lambda acc, x: acc * 3 + x) + F.col("s")
-    entries = listed.select("f", "idx", F.when(code % 11 == 0, F.lit(float("-inf"))).otherwise((code % 7) * 0.3).alias("logv"))
-    return variables, axes, entries.where("logv <> 0")
+    heads = lines.groupBy("f").agg(F.first("o").alias("o"), F.count("*").alias("n"), F.sum("s").alias("s"), F.min("k").alias("k"))
+    # the order, the line or both lines of the pair
+    own = F.array(F.col("o") * 8, F.col("o") * 8 + F.col("k"), F.when(F.col("n") == 2, F.col("o") * 8 + F.col("k") + 1))
+    axes = heads.select("f", F.posexplode(F.filter(own, lambda v: v.isNotNull())).alias("axis", "v"))
+    places = lambda n: itertools.product(range(OF_ORDER), *[range(OF_LINE)] * n)
+    codes = F.when(F.col("n") == 1, _codes(places(1))).otherwise(_codes(places(2)))
+    code = lambda x: x + F.col("s")
+    weights = F.transform(codes, lambda x: F.when(code(x) % 11 == 0, F.lit(float("-inf"))).otherwise((code(x) % 7) * 0.3))
+    return variables, axes, heads.select("f", weights.alias("weights"))
+
+
+def _codes(places) -> Column:  # noqa: ANN001
+    return F.array(*(F.lit(reduce(lambda acc, x: acc * 3 + x, p, 0)).cast("long") for p in places))
 
 
 def _log_partition(spark: SparkSession, sf: str) -> DataFrame:

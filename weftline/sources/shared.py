@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark drops the shuffle files of a query when that ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset in local
@@ -36,8 +39,14 @@ def laid(df: DataFrame, name: str = "laid") -> DataFrame:
     """``df`` written to the shared folder and reread.
 
     For long iterations: a checkpoint hands on what the planner has inferred of its columns, which then grows from round to
-    round; a table that is read knows nothing but its files.
+    round; a table that is read knows nothing but its files. They are compressed, and the shuffles that made them go at once.
     """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
