@@ -74,3 +74,20 @@ def test_merged_segments_equal_the_greedy_rule(spark, least, heavy):
     assert held == {(g, k): m for g, own in rows.items() for k, m in enumerate(greedy(own, least, heavy))}
     assert ranges.floored(table.limit(0), "g", ["k"], "len", least).count() == 0
     assert got.where(F.col("merged").isNull()).count() == 0
+
+
+def test_range_totals_equal_those_of_the_pairs(spark):
+    rng = random.Random(4)
+    odd = [None, math.nan, math.inf, -math.inf, 0.0, -0.0, 1e300]
+    points = [(i, rng.choice([rng.uniform(-50, 50), float(rng.randint(-9, 9))]), i % 3) for i in range(300)] + [(400 + k, x, 0) for k, x in enumerate(odd)] + [(450, 1.0, None)]
+    spans = []
+    for j in range(120):
+        a = rng.choice([rng.uniform(-60, 50), float(rng.randint(-9, 9))])
+        spans.append((j // 2 if j < 20 else j, a, a + rng.choice([0.0, 1e-9, 0.3, 4.0, 40.0, 1e6, -1.0]), j % 3))
+    spans += [(200, -math.inf, math.inf, 0), (201, None, 3.0, 0), (202, 1.0, math.nan, 0), (203, 0.0, 0.0, 0), (204, -9.0, 9.0, None)]
+    p, s = spark.createDataFrame(points, "p long, at double, g long"), spark.createDataFrame(spans, "s long, lo double, hi double, g long")
+    for on in (["g"], []):
+        want = ranges.range_join(p, s, "at", "lo", "hi", on).groupBy("s").agg(F.count("*").alias("n"), F.min("p").alias("first"))
+        got = ranges.range_totals(p, s, "at", "lo", "hi", "s", "p", on)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert ranges.range_totals(p, s.limit(0), "at", "lo", "hi", "s", "p").count() == 0

@@ -36,6 +36,51 @@ def range_join(points: DataFrame, spans: DataFrame, at: str, low: str, high: str
     return met.drop("_power", "_bin", "_low", "_high", "_at")
 
 
+def range_totals(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, span: str, counted: str, on: list[str] | None = None) -> DataFrame:
+    """``span``, n, first: of the points that lie in each span (low <= at <= high) and agree in the columns ``on``, the number
+    and the least ``counted``. Spans that hold no point have no row, and spans of one name are added up.
+
+    The pairs are never laid out. Places are numbered in order, and the ends of a span become a run of places. Runs of 1, 2,
+    4, ... places that start at multiples of their length hold what their points add up to; a span is put together from at
+    most two of each length. The work is that of points and spans times the logarithm of the places, whatever the spans
+    hold. Nulls, not-a-numbers and spans that end before they start meet nothing; infinite ends are as far as doubles go.
+    """
+    on = on or []
+    far = 1.7e308
+    held = lambda c: F.greatest(F.least(F.col(c).cast("double"), F.lit(far)), F.lit(-far)) + 0.0
+    sound = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    group = F.struct(*on) if on else F.lit(0)
+    whole = F.lit(True)
+    for c in on:
+        whole = whole & F.col(c).isNotNull()
+    live = points.where(sound(at) & whole).select(group.alias("segment"), held(at).alias("x"), F.col(counted).alias("first"))
+    places = live.groupBy("segment", "x").agg(F.count("*").alias("n"), F.min("first").alias("first"))
+    places = cut(numbered(places, "segment", ["x"]).select("segment", "x", "k", "n", "first"))
+    good = spans.where(sound(low) & sound(high) & (F.col(low) <= F.col(high)) & whole).withColumn("_id", F.monotonically_increasing_id())
+    # of equal numbers a low end comes before the place and a high end after it
+    ends = good.select(group.alias("segment"), F.col(span).alias("_span"), "_id", F.explode(F.array(F.struct(held(low).alias("x"), F.lit(0).alias("side")), F.struct(held(high).alias("x"), F.lit(2).alias("side")))).alias("e"))
+    ends = cut(ends.select("segment", "e.x", "e.side", "_id", F.lit(None).cast("long").alias("k"), "_span"))
+    kind = spans.schema[span].dataType
+    both = places.select("segment", "x", F.lit(1).alias("side"), F.lit(-1).cast("long").alias("_id"), "k", F.lit(None).cast(kind).alias("_span")).union(ends)
+    order = ["x", "side", "_id"]
+    met = carried(placed(both, "segment", order), "segment", order, F.col("k"), "last", "before").where("side <> 1")
+    stop = F.coalesce(F.col("before") + 1, F.lit(0))
+    runs = met.groupBy("segment", "_id").agg(F.first("_span").alias("_span"), F.min(stop).alias("a"), F.max(stop).alias("b")).where("a < b")
+    runs = cut(runs)
+    top = runs.agg(F.max(F.col("b") - F.col("a"))).first()[0]
+    levels = (top or 1).bit_length()
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+    of = lambda c: F.expr(f"shiftright({c}, level)")
+    blocks = places.select("segment", "k", "n", "first", level).groupBy("segment", "level", of("k").alias("block")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    # at each level a run gives up a block at an odd start and one before an odd end, as long as anything is left
+    up = F.expr("shiftright(a + shiftleft(1L, level) - 1, level)")
+    laid = runs.select("segment", "_span", "a", "b", level).withColumns({"up": up, "down": of("b")}).where("up < down")
+    given = F.filter(F.array(F.when(F.col("up") % 2 == 1, F.col("up")), F.when((F.col("down") % 2 == 1) & ((F.col("up") % 2 == 0) | (F.col("down") - 1 > F.col("up"))), F.col("down") - 1)), lambda x: x.isNotNull())
+    parts = laid.select("segment", "_span", "level", F.explode(given).alias("block"))
+    found = parts.join(blocks, ["segment", "level", "block"]).groupBy("_span").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return found.withColumnRenamed("_span", span)
+
+
 def categorical_draws(entries: DataFrame, weights: DataFrame, entry: str, row: str, u: str, state: str, weight: str) -> DataFrame:
     """``entry``, ``row`` and ``state``: for each entry the state of its row at which the cumulative weight passes u times
     the row's total; u is from 0 to 1, and a u of 1 draws the last state.
