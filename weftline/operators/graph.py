@@ -75,16 +75,17 @@ def bond_components(edges: DataFrame) -> DataFrame:
     """site, root: the smallest site of each component; sites without bonds have no row.
 
     Each round takes the least label of the neighbours and then that label's own label, until nothing changes; rounds are
-    checkpointed, so that plans stay small and a lost executor costs one round at most.
+    checkpointed, so that plans stay small and a lost executor costs one round at most. Joins are by sorting, so that no
+    round sends a table through the driver.
     """
-    near = cut(both_ways(edges).select("site", "other").distinct())
+    near = cut(both_ways(edges).select("site", "other").distinct()).hint("merge")
     roots = near.groupBy("site").agg(F.least(F.first("site"), F.min("other")).alias("root"))
     while True:
-        roots = cut(roots)
+        roots = cut(roots).hint("merge")
         least = near.join(roots.select(F.col("site").alias("other"), F.col("root").alias("r")), "other").groupBy("site").agg(F.min("r").alias("r"))
-        met = cut(roots.join(least, "site").select("site", F.col("root").alias("old"), F.least("root", "r").alias("root")))
+        met = cut(roots.join(least, "site").select("site", F.col("root").alias("old"), F.least("root", "r").alias("root"))).hint("merge")
         jump = met.select(F.col("site").alias("root"), F.col("root").alias("next"))
-        moved = cut(met.join(jump, "root").select("site", "old", F.least("root", "next").alias("root")))
+        moved = cut(met.join(jump, "root").select("site", "old", F.least("root", "next").alias("root"))).hint("merge")
         roots = moved.select("site", "root")
         if moved.where("old != root").isEmpty():
             return roots

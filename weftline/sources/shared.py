@@ -40,6 +40,7 @@ def laid(df: DataFrame, name: str = "laid") -> DataFrame:
 
     For long iterations: a checkpoint hands on what the planner has inferred of its columns, which then grows from round to
     round; a table that is read knows nothing but its files. They are compressed, and the shuffles that made them go at once.
+    Joins with them are by sorting: broadcasts of small tables would go through the driver anew in every round.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
@@ -49,4 +50,4 @@ def laid(df: DataFrame, name: str = "laid") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
