@@ -145,3 +145,13 @@ def test_no_edges_and_no_sites(spark):
     one = forests.log_partition_bounds(none, rows(spark, [(7, [0.0, 1.0])], "site long, h array<double>"), 2, 1).first()
     assert one.component == 7 and one.decoupled == one.mean_field == pytest.approx(math.log(1 + math.e))
     assert forests.spanning_tree_bound(none, rows(spark, [], "site long, h array<double>"), 2, 0).collect() == []
+
+
+def test_rounds_send_no_table_through_the_driver(spark):
+    from weftline.operators.graph import bond_components
+
+    edges = rows(spark, [(v, v + 1, 1.0) for v in range(5)], "i long, j long, w double")
+    table = forests.laid(edges)
+    roots = bond_components(edges)
+    for met in (table.join(rows(spark, [(1, 2)], "i long, x long"), "i"), rows(spark, [(1, 2)], "site long, x long").join(roots, "site"), forests.mean_field(edges, rows(spark, [(v, [0.0, 0.1]) for v in range(6)], "site long, h array<double>"), 2, 1).join(roots, "site")):
+        assert met.count() and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()

@@ -18,7 +18,7 @@ _PRIME = 1000003
 
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     edges, labels = labelled_lattice(spark, sf)
-    bonds = graph.with_labels(edges, labels).where("li = lj").select("i", "j", "w")
+    bonds = graph.with_labels(edges, labels.hint("merge")).where("li = lj").select("i", "j", "w")
     return bonds, labels.select("site", F.array(*(F.pmod(F.col("site") * (s + 1), F.lit(5)) * 0.2 for s in range(STATES))).alias("h"))
 
 
