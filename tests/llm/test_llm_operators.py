@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import language, licenses, metric_tree, mixing, near_dups, packing, quality, quality_rules, secret_scan, token_store
+from weftline.llm import language, licenses, metric_tree, mixing, near_dups, packing, quality, quality_rules, secret_scan, token_store, tokens
 from weftline.llm.common import new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, _words long"
@@ -475,6 +475,43 @@ def test_token_queries_on_whole_documents(spark, query):
         assert sorted(map(tuple, token_store.op9_token_store(spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
 
 
+def test_odd_texts_are_cut_where_pre_tokens_end():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    parts = ["don't", "a.b.c", "x's", "'re", "O'Brien", " ", "  ", "\n", "\n\n", "\r\n", "\t", "\x00", "\u00a0", "\u0085", "\u3000", ",", "...", "_", "é", "e\u0301", "ñ!", "12.5", "ß?", "日本。", "😀!", "×,", "ʰ.", "<|endoftext|>", "a", "ة.", "\x1c", "-"]
+    draw = np.random.default_rng(9)
+    texts = ["", None, *parts, *("".join(parts[i] for i in draw.integers(0, len(parts), n)) for n in draw.integers(1, 30, 3000))]
+    enc = tokens.Encoder(path, 20_000)
+    for some in (texts, texts[:50], texts[::-1]):
+        ids, at = enc.encode(pa.array(some, pa.string()))
+        for x, a, b in zip(some, at[:-1], at[1:], strict=True):
+            assert ids[a:b].tolist() == t.encode(x or "", add_special_tokens=False).ids, x
+
+
+def test_words_are_encoded_once_whatever_stands_around_them():
+    import public_tokenizers
+
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    asked = []
+
+    class Counted:
+        def __init__(self, own):
+            self.own = own
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(x for t in texts for x in t.split("\n") if x)
+            return self.own.encode_batch_fast(texts, **options)
+
+    enc.tokenizer = Counted(enc.tokenizer)
+    words = ["".join(chr(97 + int(d)) for d in str(k)) for k in range(1000)]
+    enc.encode(pa.array([" ".join(f"{w}{x}" for x in ("", ".", ",", ";", "!", "\n" + w)) for w in words]))
+    # with and without a space before it, and the signs
+    assert len(asked) <= 2 * len(words) + 10
+
+
 def test_licenses(docs, empty):
     got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
     assert got[12]["notices"] == "MIT" and got[12]["license"] is None and got[5]["notices"] == "" and got[0]["digest"] is None

@@ -245,19 +245,23 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
         zeros = bytes(4 * MOST)
         after = [zlib.crc32(zeros[: 4 * k]) for k in range(MOST + 1)]
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                parts = sorted(r["parts"], key=lambda p: p["pos"])
-                if merkle_root([p["address"] for p in parts]) != r["root"]:
-                    raise ValueError(f"document {r['doc_id']} has another Merkle root")
-                size = sum(p["bytes"] for p in parts)
-                wide = {2 * r["n_tokens"]: 2, 4 * r["n_tokens"]: 4}.get(size)
+            n, rows = batch.num_rows, []
+            lengths = pc.list_value_length(batch.column(4)).to_numpy(zero_copy_only=False)
+            pos, *columns = batch.column(4).flatten().flatten()
+            order = pa.array(np.lexsort((pos.to_numpy(), np.repeat(np.arange(n), lengths))))
+            keys, *numbers = (c.take(order).to_pylist() for c in columns)
+            ends = np.cumsum(lengths).tolist()
+            for doc, tokens, root, a, b in zip(batch.column(0), batch.column(2).to_pylist(), batch.column(3).to_pylist(), [0, *ends], ends, strict=False):
+                if merkle_root(keys[a:b]) != root:
+                    raise ValueError(f"document {doc} has another Merkle root")
+                sizes = numbers[0][a:b]
+                wide = {2 * tokens: 2, 4 * tokens: 4}.get(sum(sizes))
                 if not wide:
-                    raise ValueError(f"document {r['doc_id']} has another length")
+                    raise ValueError(f"document {doc} has another length")
                 crc = 0
-                for p in parts:
-                    k = p["bytes"] // wide
-                    crc = zlib.crc32(zeros[: 4 * k], crc) ^ after[k] ^ p["crc2" if wide == 2 else "crc4"]
+                for size, own in zip(sizes, numbers[1 if wide == 2 else 2][a:b], strict=True):
+                    k = size // wide
+                    crc = zlib.crc32(zeros[: 4 * k], crc) ^ after[k] ^ own
                 rows.append(crc)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
