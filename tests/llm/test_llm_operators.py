@@ -85,6 +85,28 @@ def test_near_duplicates_in_a_group_at_the_threshold(spark):
     assert 1 < len(set(least)) < 0.8 * len(texts)  # many are linked and many are not
 
 
+def test_symbol_rows_are_made_once_and_a_group_does_not_meet_itself(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    sig = {k: draw.integers(0, 1 << 16, near_dups.SYMBOLS, dtype=np.uint16) for k in ("hub", "group", "other")}
+    rows = [(0, sig["hub"])] + [(k, sig["group"]) for k in range(1, 41)] + [(k, sig["other"]) for k in range(41, 61)] + [(61, sig["other"])]
+    classes = spark.createDataFrame([(k, x.tobytes()) for k, x in rows], "rep long, signature binary")
+    # the hub 0; 1 to 40 are linked with each other, 41 to 60 with each other, 61 with none yet
+    labelled = spark.createDataFrame([(7, k, 100 - k, 0 if k == 0 else 1 if k <= 40 else 41 if k <= 60 else 61) for k, _ in rows], "key long, rep long, pop long, component long")
+    sets = spark.createDataFrame([(k, np.arange(5, dtype=np.uint64).tobytes()) for k, _ in rows], "rep long, members binary")
+    plans, made, staged = [], {}, near_dups.staged
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        made[name] = staged(df, name)
+        return made[name]
+
+    monkeypatch.setattr(near_dups, "staged", seen)
+    pairs = near_dups._open_pairs(labelled, classes, sets, 80, near_dups.DISTANCE)
+    assert sorted(map(tuple, pairs.collect())) == [(k, 61) for k in range(41, 61)]
+    assert sum(p.count("Generate explode(symbols") for p in [*plans, pairs._jdf.queryExecution().optimizedPlan().toString()]) == 1
+    assert {r["component"] for r in made["symbols"].collect()} == {41, 61}
+
+
 def test_hamming_join_keys_find_all_pairs_under_the_distance():
     draw = np.random.default_rng(1)
     for _ in range(300):

@@ -172,7 +172,7 @@ def _open_pairs(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     best = many.groupBy("home").agg((-F.max("hub")["back"]).alias("hub"))
     many = many.groupBy("home", "rep").agg(F.first("component").alias("component")).join(best, "home").where("rep != hub")
     placed = staged(_placed(many, classes, distance), "placed")
-    symbols = placed.select("home", "rep", "component", "off", F.explode("symbols").alias("symbol"))
+    symbols = _shared(staged(placed.select("home", "rep", "component", "off", F.explode("symbols").alias("symbol")), "symbols"), distance)
     x = symbols.where(F.col("off") > distance).select("home", "symbol", F.col("rep").alias("a"), F.col("component").alias("ca"))
     y = symbols.select("home", "symbol", F.col("rep").alias("b"), F.col("component").alias("cb"))
     pairs = pairs.union(x.join(y, ["home", "symbol"]).where("ca != cb").select("a", "b"))
@@ -229,6 +229,17 @@ def _placed(members: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
     return members.join(own, "rep").join(base, "hub").select("home", "hub", "rep", "component", "x", "y").mapInArrow(work, "home long, hub long, rep long, component long, off long, symbols array<long>")
 
 
+def _shared(symbols: DataFrame, distance: int) -> DataFrame:
+    """The symbol rows (home, rep, component, off, symbol) that a pair can come of, written once for both its sides.
+
+    Those are of symbols that several components have, one of them far from the hub. What a large group of linked members
+    has to itself would meet itself otherwise, and give nothing.
+    """
+    several = symbols.groupBy("home", "symbol").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("off").alias("most"))
+    several = several.where((F.col("x") != F.col("y")) & (F.col("most") > distance)).select("home", "symbol")
+    return staged(symbols.join(several, ["home", "symbol"]).select("home", "rep", "component", "off", "symbol"), "symbols")
+
+
 def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Differences from the hub, of which linked members share one.
 
