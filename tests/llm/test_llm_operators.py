@@ -413,6 +413,42 @@ def test_top_k_of_large_vectors(spark):
         metric_tree.top_k(df, df.where("vec_id >= 200")).collect()
 
 
+def test_queries_go_through_a_tree_together():
+    draw = np.random.default_rng(12)
+    ints = np.floor(1024 * draw.normal(size=(3000, 6))).astype(np.int64)
+    ints[100:120] = ints[100]  # ties
+    norm2 = float((ints.astype(np.float64) ** 2).sum(axis=1).max())
+    points, ids = metric_tree._lifted(ints, norm2), np.arange(3000)
+    ids[200:230] = 7  # an id that repeats
+    names = ["node", "parent", "leaf", "centre", "radius", "parent_dist", "ids", "vectors", "dists"]
+    looked = []
+
+    class Nodes(dict):
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+    nodes = Nodes()
+    for x in metric_tree.pages(points, ids, ints, points[0]):
+        r = dict(zip(names, x, strict=True))
+        r["centre"] = np.frombuffer(r["centre"])
+        if r["leaf"]:
+            r |= {"ids": np.frombuffer(r["ids"], dtype="<i8"), "vectors": np.frombuffer(r["vectors"], dtype="<i8").reshape(-1, 6)}
+            r["floats"] = r["vectors"].astype(np.float64)
+        nodes[r["node"]] = r
+    tree = metric_tree.Tree(nodes)
+    looked.clear()
+    own = [*range(0, 400), 7, 100, 5000]
+    queries = np.vstack([ints[:400], ints[200], ints[100], ints[0]])
+    known = [None if k % 3 else int(np.sort(ints @ q)[-8]) for k, q in enumerate(queries)]
+    got = metric_tree.walk(tree, queries, own, 10, norm2, known)
+    # a node is looked at when bounds are made, and a leaf twice at most, however many queries there are
+    assert len(looked) <= 3 * len(nodes)
+    for q, i, least, best in zip(queries, own, known, got, strict=True):
+        want = sorted(((int(s), -int(j)) for s, j in zip(ints @ q, ids, strict=True) if j != i), reverse=True)[:10]
+        assert [x for x in best if x[1] != metric_tree.NONE] == [x for x in want if least is None or x[0] >= least]
+
+
 def test_top_k_ties_in_other_trees(spark):
     draw = np.random.default_rng(5)
     ids = [int(i) for i in draw.permutation(240)]

@@ -2,13 +2,13 @@
 
 An extra component makes all stored vectors equally long, so that the largest inner product is the smallest Euclidean
 distance. Vectors go to the tree of their nearest pivot (salted where a pivot has many); a tree is a set of pages:
-routing nodes and leaves with a centre, a covering radius and the distance to their parent's centre. A query walks the
-nodes best first and leaves out, by the triangle inequality, what the stored distances show to be too far.
+routing nodes and leaves with a centre, a covering radius and the distance to their parent's centre. A tree's
+queries walk its nodes together; each leaves out, by the triangle inequality, what the stored distances show to be too far
+for it, and a leaf's vectors meet the queries that are left in one product of matrices.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +21,8 @@ from weftline.llm.common import staged, table
 
 #: Pivots (a bounded sample), about how many vectors a tree has, a node's children, a leaf's vectors, a block's queries.
 PIVOTS, TREE, FANOUT, PAGE, QUERIES = 32, 4096, 12, 64, 8192
+#: The queries that go through a tree together.
+BLOCK = 1024
 #: How many pivots' trees a query goes to before all others that its bound leaves.
 CLOSE = 4
 SCALE = 1024
@@ -110,52 +112,94 @@ def pages(points: np.ndarray, ids: np.ndarray, ints: np.ndarray, centre: np.ndar
     return out
 
 
-def kin(nodes: dict) -> dict:
-    """For each inner node, its children's numbers, centres, radii and distances to its own centre."""
-    below: dict = {}
-    for x in nodes.values():
-        below.setdefault(x["parent"], []).append(x)
-    return {p: (np.array([x["node"] for x in own]), np.array([x["centre"] for x in own]), np.array([x["radius"] for x in own]), np.array([x["parent_dist"] for x in own])) for p, own in below.items()}
-
-
-def walk(nodes: dict, children: dict, query: np.ndarray, own: int, k: int, norm2: float, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The best k (score, -vec_id) of ``found`` and of the tree's vectors, best first; in ``found``, NONE stands for no vector."""
-    q = np.append(query.astype(np.float64), 0.0)
-    base = float(q @ q) + norm2
-
-    root = nodes[0]
-    d = float(_far(q, root["centre"]))
-    heap = [(d - root["radius"], 0, d)]
-    limit = reach(base, found[-1][0]) if len(found) >= k else np.inf
-    while heap:
-        bound, node, d = heapq.heappop(heap)
-        if bound > limit:
-            break
-        x = nodes[node]
-        if not x["leaf"]:
-            names, centres, radii, apart = children[node]
-            near = np.abs(d - apart) - radii <= limit  # of the others, no distance is computed
-            e = _far(centres[near], q)
-            least = e - radii[near]
-            good = least <= limit
-            for entry in zip(least[good].tolist(), names[near][good].tolist(), e[good].tolist(), strict=True):
-                heapq.heappush(heap, entry)
-            continue
-        near = np.abs(d - x["dists"]) <= limit
-        ids, vectors = x["ids"], x["vectors"]
-        if not near.all():
-            ids, vectors = ids[near], vectors[near]
-        scores = products(vectors, query, base)
-        if len(found) >= k:
-            good = scores >= found[-1][0]
-            if not good.any():
-                continue
-            ids, scores = ids[good], scores[good]
-        other = ids != own
-        ids, scores = ids[other], scores[other]
-        if len(ids):
-            found = sorted([*found, *zip(scores.tolist(), (-i for i in ids.tolist()), strict=True)], reverse=True)[:k]
-            limit = reach(base, found[-1][0]) if len(found) >= k else np.inf
+class Tree:
+    """The nodes of one tree: those of each depth with their parents, and the leaves' vectors."""
+
+    def __init__(self, nodes: dict):
+        self.nodes = nodes
+        depth: dict[int, int] = {}
+        for n in sorted(nodes):  # parents come before their children
+            depth[n] = depth[nodes[n]["parent"]] + 1 if nodes[n]["parent"] >= 0 else 0
+        self.levels = [[n for n in sorted(nodes) if depth[n] == k] for k in range(max(depth.values()) + 1)]
+
+    def bounds(self, queries: np.ndarray, limits: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """The leaves, and for each query and leaf the least distance of a vector there; infinite where a node above or the
+        leaf itself is out of the query's limit. A child's centre is looked at only by queries that come to its parent and
+        that the stored distance between both centres does not rule out."""
+        out: list[np.ndarray] = []
+        leaves: list[int] = []
+        n = len(queries)
+        apart = {-1: np.zeros(n)}
+        alive = {-1: np.arange(n)}
+        for level in self.levels:
+            below, far = {}, {}
+            for node in level:
+                x = self.nodes[node]
+                own = alive[x["parent"]]
+                if x["parent"] >= 0:
+                    own = own[np.abs(apart[x["parent"]][own] - x["parent_dist"]) - x["radius"] <= limits[own]]
+                d = np.full(n, np.inf)
+                if len(own):
+                    d[own] = _far(queries[own], x["centre"])
+                    own = own[d[own] - x["radius"] <= limits[own]]
+                if x["leaf"]:
+                    least = np.full(n, np.inf)
+                    least[own] = d[own] - x["radius"]
+                    leaves.append(node)
+                    out.append(least)
+                else:
+                    below[node], far[node] = own, d
+            alive, apart = below, far
+        return leaves, np.array(out).reshape(len(leaves), n)
+
+
+#: Sums of products below this are exact in doubles, in any order.
+EXACT = 2.0**52
+
+
+def walk(tree: Tree, queries: np.ndarray, own: list[int], k: int, norm2: float, known: list[int | None]) -> list[list[tuple[int, int]]]:
+    """The best k (score, -vec_id) of the tree's vectors for each query, best first; NONE stands for vectors found before.
+
+    ``known`` has the k-th score that a query has from other trees, if it has k. All queries of a block go through the
+    tree together: each first to the leaf that is nearest, then, leaf by leaf in ascending order of the least bound, those
+    whose own limit does not rule the leaf out, in one product of matrices.
+    """
+    points = np.hstack([queries.astype(np.float64), np.zeros((len(queries), 1))])
+    bases = (points * points).sum(axis=1) + norm2
+    found: list[list[tuple[int, int]]] = [[(s, NONE)] * k if s is not None else [] for s in known]
+    reached = lambda i: reach(bases[i], found[i][-1][0]) if len(found[i]) >= k else np.inf
+    limits = np.array([reached(i) for i in range(len(queries))])
+    leaves, least = tree.bounds(points, limits)
+    if not leaves:
+        return found
+    exact = bool((bases < EXACT).all())
+    floats = queries.astype(np.float64) if exact else queries
+
+    def visit(leaf: int, who: np.ndarray) -> None:
+        x = tree.nodes[leaf]
+        if exact:
+            scores = floats[who] @ x["floats"].T
+        else:
+            scores = np.array([products(x["vectors"], queries[i], bases[i]) for i in who], dtype=object).reshape(len(who), len(x["ids"]))
+        for row, i in zip(scores, who.tolist(), strict=True):
+            good = x["ids"] != own[i]
+            if len(found[i]) >= k:
+                good &= row >= found[i][-1][0]
+            some = np.flatnonzero(good)
+            if len(some) > k:  # with all that equal the k-th
+                some = some[row[some] >= np.sort(row[some])[-k]]
+            new = [(int(row[j]), -int(x["ids"][j])) for j in some.tolist()]
+            if new:
+                found[i] = sorted([*found[i], *new], reverse=True)[:k]
+                limits[i] = reached(i)
+
+    first = least.argmin(axis=0)
+    open_ = np.isfinite(least[first, np.arange(len(queries))])
+    for j in np.unique(first[open_]).tolist():
+        visit(leaves[j], np.flatnonzero(open_ & (first == j)))
+    for j in np.argsort(least.min(axis=1), kind="stable").tolist():
+        if len(who := np.flatnonzero((least[j] <= limits) & np.isfinite(least[j]) & (first != j))):
+            visit(leaves[j], who)
     return found
 
 
@@ -180,17 +224,20 @@ def _searched(index: DataFrame, routed: DataFrame, k: int, dims: int, norm2: flo
             for r in left.to_pylist():
                 r["centre"] = np.frombuffer(r["centre"])
                 if r["leaf"]:
-                    r |= {"ids": np.frombuffer(r["ids"], dtype="<i8"), "vectors": np.frombuffer(r["vectors"], dtype="<i8").reshape(-1, dims), "dists": np.frombuffer(r["dists"])}
+                    r |= {"ids": np.frombuffer(r["ids"], dtype="<i8"), "vectors": np.frombuffer(r["vectors"], dtype="<i8").reshape(-1, dims)}
+                    r["floats"] = r["vectors"].astype(np.float64)
                 nodes[r["node"]] = r
-            children = kin(nodes)
-            for r in right.to_pylist():
-                query = np.frombuffer(r["data"].ljust(8 * dims, b"\0"), dtype="<i8")
-                known = [(r["least"], NONE)] * k if r["least"] is not None else []
-                for score, minus in walk(nodes, children, query, r["query_id"], k, norm2, known):
-                    if minus != NONE:
-                        if not -(1 << 63) <= score < 1 << 63:
-                            raise OverflowError(f"the score of vectors {r['query_id']} and {-minus} does not fit a long")
-                        rows.append((r["query_id"], -minus, score))
+            tree = Tree(nodes)
+            names = right["query_id"].to_pylist()
+            for at in range(0, len(names), BLOCK):
+                part = right.slice(at, BLOCK)
+                own = names[at : at + BLOCK]
+                for query, best in zip(own, walk(tree, _matrix(part["data"], dims), own, k, norm2, part["least"].to_pylist()), strict=True):
+                    for score, minus in best:
+                        if minus != NONE:
+                            if not -(1 << 63) <= score < 1 << 63:
+                                raise OverflowError(f"the score of vectors {query} and {-minus} does not fit a long")
+                            rows.append((query, -minus, score))
         cols = list(zip(*rows, strict=True)) or [()] * 3
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
 
